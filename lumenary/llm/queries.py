@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from lumenary.llm import decontamination
+from lumenary.llm.decontamination import op1_decontamination
 from lumenary.llm.packing import op9_tree_packing
 from lumenary.llm.sharding import op4_ring_sharding
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_ring_sharding": op4_ring_sharding,
     "op9_tree_packing": op9_tree_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_decontamination": decontamination.SQL,
+}

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lumenary.llm.common import BROADCAST_BYTES, ascii_lower, table
 
-#: Everything but word characters; words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words. Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-cased, so A-Z are in words here.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHINGLE = 2
 
 

@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -20,13 +21,11 @@ _MASK = (1 << 64) - 1
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of consecutive rows; null texts stay None."""
     col = batch.column(column)
-    size = col.offsets if hasattr(col, "offsets") else None
-    ends = np.asarray(size, dtype=np.int64)[1:] if size is not None else np.cumsum([len(x.as_py() or "") for x in col])
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at, n = 0, len(col)
     while at < n:
-        base = ends[at - 1] if at else (int(np.asarray(size)[0]) if size is not None else 0)
-        to = max(at + 1, int(np.searchsorted(ends, base + SLICE, "right")))
-        to = min(to, n)
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right"))
+        to = min(max(at + 1, to), n)
         yield at, col.slice(at, to - at).to_pylist()
         at = to
 
@@ -61,10 +60,17 @@ _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 
 
+#: All ASCII but letters and digits.
+GAPS = np.zeros(256, bool)
+GAPS[:128] = [not chr(c).isalnum() for c in range(128)]
+
+
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of texts: byte data, starts, ends and the text each word is of."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of texts: byte data, starts, ends and the text each word is of.
 
-    def __init__(self, texts: list[str | None], lower: bool = True):
+    ``gaps`` marks other bytes that end words; the line feed must be one of them."""
+
+    def __init__(self, texts: list[str | None], lower: bool = True, gaps: np.ndarray = SPACES):
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.n = len(parts)
         self.data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
@@ -72,7 +78,7 @@ class Words:
             self.data = _fold[self.data]
         self.lengths = np.fromiter(map(len, parts), np.int64, self.n)
         self.begin = np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]]).astype(np.int64)
-        space = SPACES[self.data]
+        space = gaps[self.data]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
         self.first = np.searchsorted(self.starts, np.append(self.begin, len(self.data)))  # of each text's words
@@ -104,3 +110,13 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
     whole = shingles(h, size) if len(h) >= size else h[:0]  # of all texts at once; those over a border are left out below
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
         yield np.unique(whole[a : b - size + 1] if b - a >= size else shingles(h[a:b], size))
+
+
+def per_text(words: Words, flags: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are flagged."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[words.begin + words.lengths] - total[words.begin]
+
+
+def columns(**values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values.values()], list(values))

@@ -6,6 +6,7 @@ from lumenary.llm import decontamination
 from lumenary.llm.decontamination import op1_decontamination
 from lumenary.llm.language import op6_language_id
 from lumenary.llm.packing import op9_tree_packing
+from lumenary.llm.quality_rules import op7_quality_rules
 from lumenary.llm.secrets import op10_secret_scan
 from lumenary.llm.sharding import op4_ring_sharding
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_ring_sharding": op4_ring_sharding,
     "op6_language_id": op6_language_id,
+    "op7_quality_rules": op7_quality_rules,
     "op9_tree_packing": op9_tree_packing,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -6,13 +6,17 @@ from lumenary.llm import decontamination
 from lumenary.llm.decontamination import op1_decontamination
 from lumenary.llm.language import op6_language_id
 from lumenary.llm.packing import op9_tree_packing
+from lumenary.llm.quality_classifier import op5_quality_classifier
 from lumenary.llm.quality_rules import op7_quality_rules
 from lumenary.llm.secrets import op10_secret_scan
 from lumenary.llm.sharding import op4_ring_sharding
+from lumenary.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_ring_sharding": op4_ring_sharding,
+    "op2_toxicity": op2_toxicity,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
     "op9_tree_packing": op9_tree_packing,

@@ -30,12 +30,13 @@ def word_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarra
         yield np.unique(h[a:b], return_counts=True)
 
 
-def vocabulary(rows: list[np.ndarray], toxic: np.ndarray, least_rows: int = 5, least_ratio: float = 8.0, most: int = 2000) -> np.ndarray:
-    """Words in at least ``least_rows`` toxic rows whose share there is ``least_ratio`` times that elsewhere."""
+def vocabulary(rows: list[np.ndarray], toxic: np.ndarray, least_rows: int = 5, least_share: float = 0.01, least_ratio: float = 8.0, most: int = 2000) -> np.ndarray:
+    """Words in at least ``least_rows`` toxic rows and ``least_share`` of them, whose share there is ``least_ratio`` times that elsewhere."""
     if not toxic.any():
         return np.zeros(0, np.uint64)
     bad, n = np.unique(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t]), return_counts=True)
-    bad, n = bad[n >= least_rows], n[n >= least_rows]
+    enough = n >= max(least_rows, least_share * toxic.sum())
+    bad, n = bad[enough], n[enough]
     good, m = np.unique(np.concatenate([np.zeros(0, np.uint64), *[r for r, t in zip(rows, toxic, strict=True) if not t]]), return_counts=True)
     at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
     other = np.where(good[at] == bad, m[at], 0) if len(good) else np.zeros(len(bad))
@@ -45,7 +46,7 @@ def vocabulary(rows: list[np.ndarray], toxic: np.ndarray, least_rows: int = 5, l
     return np.sort(bad[keep][order])
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, penalty: float = 1e-4, steps: int = 3000, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, penalty: float = 1e-4, steps: int = 1500, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by maximum likelihood (Adam steps; gaps between thresholds stay positive)."""
     n, k = x.shape
     p = np.zeros(k + GRADES - 1)
@@ -105,7 +106,7 @@ def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) ->
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 12000) -> Model:
     """Fits on about ``most_rows`` of the labelled rows at most, taken by a hash of their ids."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), "toxic")
     share = -(-most_rows * (1 << 20) // max(1, known.count()))

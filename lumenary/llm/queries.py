@@ -6,6 +6,7 @@ from lumenary.llm import decontamination
 from lumenary.llm.decontamination import op1_decontamination
 from lumenary.llm.language import op6_language_id
 from lumenary.llm.packing import op9_tree_packing
+from lumenary.llm.pii import op8_pii
 from lumenary.llm.quality_classifier import op5_quality_classifier
 from lumenary.llm.quality_rules import op7_quality_rules
 from lumenary.llm.secrets import op10_secret_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_pii": op8_pii,
     "op9_tree_packing": op9_tree_packing,
     "op10_secret_scan": op10_secret_scan,
 }

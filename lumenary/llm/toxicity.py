@@ -19,6 +19,7 @@ from lumenary.llm.batches import GAPS, Words, slices
 from lumenary.llm.common import Scratch, table
 
 GRADES = 4
+LEAST_TOXIC = 0.3  # of P(grade > 0)
 BOUNDS = (0.5, 3.5, 9.5)  # hits from which a toxic row has grade 1, 2, 3
 
 
@@ -133,7 +134,7 @@ SCHEMA = "doc_id long, severity double, grade int, p_toxic double, toxic boolean
 
 def graded(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity (expected grade, 0 to 3), grade (the likeliest), p_toxic (that of a grade above 0) and
-    toxic (p_toxic >= 0.5) for each row of ``docs`` (doc_id, text). Null and empty texts have no words; repeated
+    toxic (p_toxic >= LEAST_TOXIC) for each row of ``docs`` (doc_id, text). Null and empty texts have no words; repeated
     rows each get their row; other columns are not read."""
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def graded(docs: DataFrame, model: Model) -> DataFrame:
                 p = np.array([model.grades(model.features(*c)) for c in word_counts(texts)])
                 above = 1 - p[:, 0]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(texts)), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(above), pa.array(above >= 0.5)],
+                    [ids.slice(at, len(texts)), pa.array(p @ np.arange(GRADES)), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(above), pa.array(above >= LEAST_TOXIC)],
                     ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(grade, SCHEMA)

@@ -1,6 +1,6 @@
 """Whole texts as numpy arrays: words, word hashes and shingles of many texts at a time.
 
-Texts are taken in slices of about ``SLICE`` characters, so a worker's memory stays bounded however
+Texts are taken in slices of about ``SLICE`` bytes, so a worker's memory stays bounded however
 long the Arrow batch is; a single text longer than that is a slice of its own, and stays whole.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 

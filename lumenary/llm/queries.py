@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lumenary.llm import decontamination
+from lumenary.llm import decontamination, jaccard_join
 from lumenary.llm.decontamination import op1_decontamination
+from lumenary.llm.jaccard_join import op3_ngram_jaccard_join
 from lumenary.llm.language import op6_language_id
 from lumenary.llm.packing import op9_tree_packing
 from lumenary.llm.pii import op8_pii
@@ -15,6 +16,7 @@ from lumenary.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_ring_sharding": op4_ring_sharding,
     "op2_toxicity": op2_toxicity,
     "op5_quality_classifier": op5_quality_classifier,
@@ -26,4 +28,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_decontamination": decontamination.SQL,
+    "op3_ngram_jaccard_join": jaccard_join.SQL,
 }

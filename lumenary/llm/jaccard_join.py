@@ -158,9 +158,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
                 yield _batch("sig fp n place", *[np.concatenate(c) for c in out])
 
     indexed = scratch.keep(docs.mapInArrow(index, "sig long, fp long, n int, place int"))
-    blocks = (indexed.groupBy("sig").agg(F.min(F.struct("fp", "n", "place")).alias("p"), F.max("fp").alias("last"))
-              .filter("p.fp <> last").select(F.col("sig").alias("block"), "p"))
-    member = indexed.join(blocks, F.col("sig") == F.col("block")).groupBy("sig", "fp").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.first("p").alias("p"))
+    blocks = (indexed.groupBy("sig").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"))
+              .filter("pivot <> last").select(F.col("sig").alias("block"), "pivot"))
+    member = indexed.join(blocks, F.col("sig") == F.col("block")).groupBy("sig", "fp", "pivot").agg(F.min("n").alias("n"), F.min("place").alias("place"))
     member = scratch.keep(member)
     scratch.drop(indexed)
 
@@ -169,11 +169,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
         most = 1 + F.least(n - place, m - place2) - 1  # as if all behind the shared one were shared
         return (den * lo >= num * hi) & ((num + den) * most.cast("long") >= num * (n + m).cast("long"))
 
-    rep = classes.select(F.col("fp").alias("key"), "rep")
-    first = (member.filter(F.col("fp") != F.col("p.fp")).filter(may_link(F.col("n"), F.col("place"), F.col("p.n"), F.col("p.place")))
-             .select("fp", F.col("p.fp").alias("other")).distinct())
-    first = (first.join(rep, F.col("fp") == F.col("key")).select(F.col("rep").alias("a"), "other")
-             .join(rep, F.col("other") == F.col("key")).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).filter("a <> b").distinct())
+    rep = classes.select(F.col("fp").alias("key"), "rep", F.col("n").alias("size"))
+    first = member.filter(F.col("fp") != F.col("pivot")).select("fp", "pivot", "n").distinct()
+    first = (first.join(rep, F.col("fp") == F.col("key")).select(F.col("rep").alias("a"), "pivot", "n")
+             .join(rep, F.col("pivot") == F.col("key")).filter(may_link(F.col("n"), F.lit(0), F.col("size"), F.lit(0)))
+             .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).filter("a <> b").distinct())
     first = scratch.keep(first)
     links = scratch.keep(verified(docs, first, shingle, sim, scratch))
     labels = scratch.keep(components(links, scratch))

@@ -10,9 +10,10 @@ missing, two linked sets then share a single or a pair (the shorter prefix lies
 they agree). The number of groups goes with the size class of the pair, so that groups hold few shingles;
 a set is indexed for its own class and the next.
 
-Signatures shared by several classes form blocks. Each member is first verified with its block's smallest
+Signatures shared by several classes form blocks; of blocks with the same members one stays. Each member is first verified with its block's smallest
 member, and the links' components found; then only pairs of one block in different components are left
-to verify, so a group of near copies costs its size and not its square. Verification compares whole sets.
+to verify, so a group of near copies costs its size and not its square. Verification drops the pairs of which compact
+profiles show that they share too little, and compares the whole sets of the others.
 """
 
 from __future__ import annotations
@@ -96,6 +97,24 @@ def signatures(s: np.ndarray, counts: np.ndarray, frequent: float, sim: Similari
     return np.concatenate(sigs), np.concatenate(places)
 
 
+def profile(s: np.ndarray) -> bytes:
+    """How many items of a set fall into each of 256, 1024 or 4096 ranges, a byte each; empty if one does not fit."""
+    bits = 8 if len(s) < 1500 else 10 if len(s) < 8000 else 12
+    n = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else b""
+
+
+def shared_at_most(p: pa.Buffer, q: pa.Buffer, n: int) -> int:
+    """The most items that sets with these profiles can share."""
+    a, b = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    if not len(a) or not len(b):
+        return n
+    if len(a) != len(b):
+        size = min(len(a), len(b))
+        a, b = (x.reshape(size, -1).sum(axis=1) for x in (a, b))
+    return int(np.minimum(a, b).sum())
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
@@ -163,6 +182,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     member = indexed.join(blocks, F.col("sig") == F.col("block")).groupBy("sig", "fp", "pivot").agg(F.min("n").alias("n"), F.min("place").alias("place"))
     member = scratch.keep(member)
     scratch.drop(indexed)
+    # Blocks with the same members say the same; one of them stays, with each member's smallest place.
+    alike = member.groupBy("sig").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.count("*").alias("members"))
+    alike = alike.select(F.col("sig").alias("block"), F.xxhash64("x", "y", "members").alias("group"))
+    every, member = member, scratch.keep(member.join(alike, F.col("sig") == F.col("block")).groupBy("group", "fp", "pivot").agg(
+        F.min("n").alias("n"), F.min("place").alias("place")).withColumnRenamed("group", "sig"))
+    scratch.drop(every)
 
     def may_link(n, place, m, place2):
         lo, hi = F.least(n, m), F.greatest(n, m)
@@ -208,16 +233,31 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, sim: Similarity, s
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _sets(batches, shingle):
-            yield _batch("id items", pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()))
+            yield _batch("id n profile items", pa.array(keys, pa.int64()), np.array([len(s) for s in sets], np.int64),
+                         pa.array([profile(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()))
+
+    sets = scratch.keep(some.mapInArrow(shingled, "id long, n long, profile binary, items binary").dropDuplicates(["id"]))
+
+    def beside(rows: DataFrame, *cols: str) -> DataFrame:
+        out = rows
+        for side in ("a", "b"):
+            out = out.join(sets.select(F.col("id").alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in cols]), F.col(side) == F.col(f"id_{side}")).drop(f"id_{side}")
+        return out
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Drops pairs of which the profiles show that they share too little."""
+        for batch in batches:
+            keep = [sim.links(n, m, shared_at_most(p.as_buffer(), q.as_buffer(), min(n, m))) for n, m, p, q in zip(
+                batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("profile_a"), batch.column("profile_b"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = scratch.keep(some.mapInArrow(shingled, "id long, items binary")).dropDuplicates(["id"])
-    wide = (pairs.join(sets.withColumnsRenamed({"id": "ia", "items": "sa"}), F.col("a") == F.col("ia")).select("a", "b", "sa")
-            .join(sets.withColumnsRenamed({"id": "ib", "items": "sb"}), F.col("b") == F.col("ib")).select("a", "b", "sa", "sb"))
+    near = scratch.keep(beside(pairs, "n", "profile").mapInArrow(possible, "a long, b long"))
+    wide = beside(near, "items")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for sa, sb in zip(batch.column("sa"), batch.column("sb"), strict=True):
+            for sa, sb in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
                 p, q = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
                 both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 keep.append(sim.links(len(p), len(q), both))

@@ -31,6 +31,7 @@ from lumenary.llm.common import Scratch, small_side, table
 from lumenary.llm.components import components
 
 BUCKETS = 1 << 16
+FEW, PART = 32, 256  # members up to which a block's pairs are joined, and of a part of a larger block
 SEEN = 1 << 20  # copies that a task remembers, to index each only once; more are indexed again, which changes nothing
 
 
@@ -200,25 +201,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
              .join(rep, F.col("pivot") == F.col("key")).filter(may_link(F.col("n"), F.lit(0), F.col("size"), F.lit(0)))
              .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).filter("a <> b").distinct())
     first = scratch.keep(first)
-    links = scratch.keep(verified(docs, first, shingle, sim, scratch))
+    sets = shingled(docs, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle, scratch)
+    links = verified(first, sets, sim, scratch)
+    scratch.drop(sets)
     labels = scratch.keep(components(links, scratch))
 
     # What is left: pairs of a block whose components differ.
-    named = member.join(rep, F.col("fp") == F.col("key")).select("sig", "n", "place", "rep")
+    named = member.join(rep.drop("size"), F.col("fp") == F.col("key")).select("sig", "n", "place", "rep")
     named = named.join(labels.withColumnRenamed("label", "l"), F.col("rep") == F.col("node"), "left").select("sig", "n", "place", "rep", F.coalesce("l", "rep").alias("label"))
     named = scratch.keep(named)
-    open_blocks = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("sig").alias("block"))
-    left = scratch.keep(named.join(open_blocks, F.col("sig") == F.col("block"), "left_semi"))
-    scratch.drop(member, named)
-    x, y = left.alias("x"), left.alias("y")
+    scratch.drop(member)
+    open_blocks = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select(F.col("sig").alias("block"), "members")
+    left = scratch.keep(named.join(open_blocks, F.col("sig") == F.col("block")).drop("block"))
+    scratch.drop(named)
+    sets = shingled(docs, left.select(F.col("rep").alias("id")).distinct(), shingle, scratch)
+    few = left.filter(F.col("members") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
     both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
-                  & may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
-    second = both.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = scratch.keep(second)
+                  & may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    second = scratch.keep(both.distinct().unionByName(large_block_pairs(left.filter(F.col("members") > FEW), sets, sim)).distinct().join(first, ["a", "b"], "left_anti"))
     scratch.drop(left)
-    more = verified(docs, second, shingle, sim, scratch)
-    if more is not None:
-        labels = scratch.keep(components(links.unionByName(more), scratch))
+    more = verified(second, sets, sim, scratch)
+    labels = scratch.keep(components(links.unionByName(more), scratch))
+    scratch.drop(sets)
 
     known = rows.filter("n > 0").join(classes.withColumnsRenamed({"fp": "f", "fp2": "f2", "n": "m"}), (F.col("fp") == F.col("f")) & (F.col("fp2") == F.col("f2")) & (F.col("n") == F.col("m")), "left")
     known = known.select("doc_id", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left")
@@ -226,17 +231,75 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, sim: Similarity, scratch: Scratch) -> DataFrame | None:
-    """The (a, b) of ``pairs`` that link, by their whole sets; no more of the documents than these is shuffled."""
-    ids = scratch.keep(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+def large_block_pairs(left: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """The (a, b) of large blocks that differ in label and that their profiles let link.
+
+    A block is dealt by hash into parts of about PART members, and each two parts meet in one place, so no place gets
+    more rows the larger a block is; pairs live inside a worker and only those that the profiles pass come out."""
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    dealt = left.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "label", "n")
+    profiles = sets.select(F.col("id").alias("profiled"), "profile")
+    met = dealt.join(profiles, F.col("rep") == F.col("profiled")).drop("profiled").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "rep")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                if to > at:
+                    if held and key != tuple(keys[at]):
+                        yield passing(held, sim)
+                        held = []
+                    key = tuple(keys[at])
+                    held.append(batch.slice(at, to - at))
+        if held:
+            yield passing(held, sim)
+
+    return met.mapInArrow(meet, "a long, b long")
+
+
+def passing(held: list[pa.RecordBatch], sim: Similarity) -> pa.RecordBatch:
+    """The pairs of one meeting of two parts (or of one with itself)."""
+    rows = pa.Table.from_batches(held)
+    part, rep, label, n = (rows.column(c).to_numpy() for c in ("part", "rep", "label", "n"))
+    raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("profile")]
+    size = min([len(x) for x in raw if len(x)], default=1)
+    # A profile that is missing lets everything pass.
+    matrix = np.array([x.reshape(size, -1).sum(axis=1, dtype=np.int32) if len(x) else np.full(size, 1 << 30, np.int32) for x in raw])
+    out_a, out_b = [], []
+    for k in range(len(rep) - 1):
+        rest = np.arange(k + 1, len(rep))
+        if part.min() != part.max():
+            rest = rest[part[rest] != part[k]]
+        lo, hi = np.minimum(n[rest], n[k]), np.maximum(n[rest], n[k])
+        rest = rest[(label[rest] != label[k]) & (rep[rest] != rep[k]) & (sim.den * lo.astype(np.int64) >= sim.num * hi.astype(np.int64))]
+        if len(rest):
+            both = np.minimum(matrix[rest], matrix[k]).sum(axis=1, dtype=np.int64)
+            both = np.minimum(both, np.minimum(n[rest], n[k]))
+            rest = rest[sim.den * both >= sim.num * (n[rest].astype(np.int64) + n[k] - both)]
+            out_a.append(np.minimum(rep[rest], rep[k]))
+            out_b.append(np.maximum(rep[rest], rep[k]))
+    none = [np.zeros(0, np.int64)]
+    return _batch("a b", np.concatenate(none + out_a), np.concatenate(none + out_b))
+
+
+def shingled(docs: DataFrame, ids: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """id, n, profile and items (the whole set) of the documents with these ids; no more of the texts is shuffled."""
+    ids = scratch.keep(ids)
     some = docs.join(small_side(ids, ids.count()), F.col("doc_id") == F.col("id"), "left_semi")
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _sets(batches, shingle):
             yield _batch("id n profile items", pa.array(keys, pa.int64()), np.array([len(s) for s in sets], np.int64),
                          pa.array([profile(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()))
 
-    sets = scratch.keep(some.mapInArrow(shingled, "id long, n long, profile binary, items binary").dropDuplicates(["id"]))
+    return scratch.keep(some.mapInArrow(describe, "id long, n long, profile binary, items binary"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """The (a, b) of ``pairs`` that link, by their whole sets."""
 
     def beside(rows: DataFrame, *cols: str) -> DataFrame:
         out = rows
@@ -263,7 +326,7 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, sim: Similarity, s
                 keep.append(sim.links(len(p), len(q), both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return wide.mapInArrow(compare, "a long, b long")
+    return scratch.keep(wide.mapInArrow(compare, "a long, b long"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -3,7 +3,8 @@
 The models are first-order Markov chains over printable ASCII, one of random strings and one of ordinary
 identifiers. They are trained on labelled samples: positives are digests of running numbers in three
 common spellings (base64, base64 without signs, upper-case base 32-like hex letters) and what the fixed
-patterns found in the sampled documents; negatives are the other words of the sampled documents. The
+patterns found in the sampled documents; negatives are the other words of the sampled documents
+that are too short to be candidates. The
 sample is at most about ``sample_docs`` documents; only the table of transition counts (at most 95 * 95
 rows) reaches the driver. Every long token that overlaps no pattern match is scored by the mean log ratio
 of its transitions. Everything that runs over the texts is a DataFrame expression.
@@ -76,7 +77,7 @@ def train(docs: DataFrame, sample_docs: int = 1000, synthetic: int = 2000) -> li
         F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(digest)), "+/=", ""),
         F.translate(F.substring(digest, 1, 20), "abcdef0123", "QWERTYUIOP"))).alias("token"))
     word = (some.select(F.explode(F.split("text", r"[^A-Za-z0-9+/_=-]+")).alias("token"), F.col("found.value").alias("values"))
-            .filter((F.length("token") >= 4) & ~F.exists("values", lambda v: F.contains(v, F.col("token")))).select("token"))
+            .filter(F.length("token").between(4, 19) & ~F.exists("values", lambda v: F.contains(v, F.col("token")))).select("token"))
     tokens = (secret.unionByName(made).filter(F.length("token") >= 2).withColumn("label", F.lit(1))
               .unionByName(word.withColumn("label", F.lit(0))))
     counts = {(r["label"], r["a"], r["b"]): r["n"] for r in _pairs(tokens).collect()}  # at most 2 * 95 * 95 rows
@@ -97,7 +98,7 @@ def score(token: Column, model: list[float]) -> Column:
     return total / (F.length(token) - 1)
 
 
-def with_spans(docs: DataFrame, model: list[float], threshold: float = 1.0) -> DataFrame:
+def with_spans(docs: DataFrame, model: list[float], threshold: float = 1.3) -> DataFrame:
     """``docs`` with __base and __spans: pattern matches, and these with the tokens that the models hold for random."""
     text = F.coalesce("text", F.lit(""))
     based = docs.withColumn("__base", F.array_sort(base_spans(text))).withColumn("__tokens", matches(text, CANDIDATE, "random"))
@@ -110,7 +111,7 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.0) -> DataFrame:
+def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.3) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (text) and found (array) of each row.
 
     Null texts count as empty; repeated rows each get their row; an empty table trains on the synthetic
@@ -123,7 +124,7 @@ def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: f
                       joined(F.col("__spans")).alias("spans"), F.col("__spans").alias("found"))
 
 
-def redacted(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.0, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.3, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by one), and n_chars to match."""
     got = with_spans(docs, model or train(docs), threshold)
     whole = F.aggregate(

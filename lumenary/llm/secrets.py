@@ -83,10 +83,16 @@ def train(docs: DataFrame, sample_docs: int = 1000, synthetic: int = 2000) -> li
     counts = {(r["label"], r["a"], r["b"]): r["n"] for r in _pairs(tokens).collect()}  # at most 2 * 95 * 95 rows
     total = {(y, a): sum(counts.get((y, a, b), 0) for b in range(SYMBOLS)) for y in (0, 1) for a in range(SYMBOLS)}
 
+    seen = {(y, b): sum(counts.get((y, a, b), 0) for a in range(SYMBOLS)) for y in (0, 1) for b in range(SYMBOLS)}
+    every = {y: sum(seen[y, b] for b in range(SYMBOLS)) for y in (0, 1)}
+
     def log_p(y: int, a: int, b: int) -> float:
-        return math.log((counts.get((y, a, b), 0) + 0.5) / (total[y, a] + 0.5 * SYMBOLS))
+        alone = (seen[y, b] / max(1, every[y]) + 1 / SYMBOLS) / 2  # what a rare first character falls back to
+        return math.log((counts.get((y, a, b), 0) + 5 * alone) / (total[y, a] + 5))
 
-    return [log_p(1, a, b) - log_p(0, a, b) for a in range(SYMBOLS) for b in range(SYMBOLS)]
+    # A transition that neither sample has says nothing.
+    known = {(a, b) for _, a, b in counts}
+    return [log_p(1, a, b) - log_p(0, a, b) if (a, b) in known else 0.0 for a in range(SYMBOLS) for b in range(SYMBOLS)]
 
 
 def score(token: Column, model: list[float]) -> Column:
@@ -98,7 +104,7 @@ def score(token: Column, model: list[float]) -> Column:
     return total / (F.length(token) - 1)
 
 
-def with_spans(docs: DataFrame, model: list[float], threshold: float = 1.3) -> DataFrame:
+def with_spans(docs: DataFrame, model: list[float], threshold: float = 1.8) -> DataFrame:
     """``docs`` with __base and __spans: pattern matches, and these with the tokens that the models hold for random."""
     text = F.coalesce("text", F.lit(""))
     based = docs.withColumn("__base", F.array_sort(base_spans(text))).withColumn("__tokens", matches(text, CANDIDATE, "random"))
@@ -111,7 +117,7 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.3) -> DataFrame:
+def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.8) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (text) and found (array) of each row.
 
     Null texts count as empty; repeated rows each get their row; an empty table trains on the synthetic
@@ -124,7 +130,7 @@ def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: f
                       joined(F.col("__spans")).alias("spans"), F.col("__spans").alias("found"))
 
 
-def redacted(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.3, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.8, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by one), and n_chars to match."""
     got = with_spans(docs, model or train(docs), threshold)
     whole = F.aggregate(

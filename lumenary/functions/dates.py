@@ -46,17 +46,20 @@ def _tolerant(as_of: str) -> Column:
     return parse
 
 
-def parse_date(raw: Column, as_of: str) -> Column:
-    """The date that ``raw`` names, or null; parts that it leaves out come from ``as_of``."""
+def parse_date(raw: Column, as_of: str, tolerant: bool = True) -> Column:
+    """The date that ``raw`` names, or null; parts that it leaves out come from ``as_of``. Without ``tolerant`` only the
+    native shapes are read, and no row crosses to Python."""
     native = _native(raw)
+    if not tolerant:
+        return native
     rest = F.when(native.isNull(), raw)  # null for the rest, so the parser is not called on it
     return F.coalesce(native, F.to_date(F.try_to_timestamp(_tolerant(as_of)(rest), F.lit("yyyy-MM-dd"))))
 
 
-def normal_date(raw: Column, as_of: str) -> Column:
+def normal_date(raw: Column, as_of: str, tolerant: bool = True) -> Column:
     """ISO text; unknown where missing, the text itself where it names no date."""
     gone = F.coalesce(raw, F.lit("")).isin("", R.UNKNOWN)
-    return F.when(gone, R.UNKNOWN).otherwise(F.coalesce(F.date_format(parse_date(raw, as_of), "yyyy-MM-dd"), raw))
+    return F.when(gone, R.UNKNOWN).otherwise(F.coalesce(F.date_format(parse_date(raw, as_of, tolerant), "yyyy-MM-dd"), raw))
 
 
 def page_date(raw: Column, as_of: str) -> Column:

@@ -28,9 +28,10 @@ def cleaned(sections: Column) -> Column:
     return drop_near_duplicates(without_boilerplate(texts))
 
 
-def normalised(raw: DataFrame, as_of: str) -> DataFrame:
+def normalised(raw: DataFrame, as_of: str, tolerant_dates: bool = True) -> DataFrame:
     """Raw records (url, source_type, title, author, authors, channel_name, published_date, description, raw_text_sections)
-    in the normalised shape; other columns go on. ``published_on`` is the date that published_date names, or null."""
+    in the normalised shape; other columns go on. ``published_on`` is the date that published_date names, or null. Sources
+    whose dates are known to be in a native shape do without ``tolerant_dates`` and so without Python."""
     own = ["url", "source_type", "title", "author", "authors", "channel_name", "journal", "published_date", "description", "raw_text_sections"]
     channel = F.col("channel_name") if "channel_name" in raw.columns else F.lit(None).cast("string")
     return raw.select(
@@ -39,8 +40,8 @@ def normalised(raw: DataFrame, as_of: str) -> DataFrame:
         F.coalesce(present(F.col("title")), F.lit(R.UNKNOWN)).alias("title"),
         author_display(F.col("author"), channel, F.col("authors")).alias("author_display"),
         F.coalesce("authors", F.array().cast("array<string>")).alias("authors_list"),
-        normal_date(F.col("published_date"), as_of).alias("published_date"),
-        parse_date(F.when(~missing(F.col("published_date")), F.col("published_date")), as_of).alias("published_on"),
+        normal_date(F.col("published_date"), as_of, tolerant_dates).alias("published_date"),
+        parse_date(F.when(~missing(F.col("published_date")), F.col("published_date")), as_of, tolerant_dates).alias("published_on"),
         F.coalesce("description", F.lit("")).alias("description"),
         cleaned(F.col("raw_text_sections")).alias("cleaned_sections"))
 
@@ -92,8 +93,8 @@ def detailed(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         *keys, *BASE, "title", "description", F.struct(*[F.round(c, 3).alias(c) for c in SIGNALS]).alias("trust_signals"))
 
 
-def analysed(raw: DataFrame, as_of: str, **enrichment) -> DataFrame:
-    return scored(enriched(normalised(raw, as_of), **enrichment), as_of)
+def analysed(raw: DataFrame, as_of: str, tolerant_dates: bool = True, **enrichment) -> DataFrame:
+    return scored(enriched(normalised(raw, as_of, tolerant_dates), **enrichment), as_of)
 
 
 def summary(results: DataFrame, total: DataFrame | None = None) -> DataFrame:

@@ -278,7 +278,7 @@ def raw_records(docs: DataFrame) -> DataFrame:
 
 
 def _analysed(spark, sf_dir):
-    return records.analysed(raw_records(table(spark, sf_dir, "documents")), AS_OF)
+    return records.analysed(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False)
 
 
 _RAW = f"""r AS (SELECT doc_id, {', '.join(f"{e} AS {c}" for c, e in _FIELDS.items()).replace('AS STRING', 'AS VARCHAR')},
@@ -329,14 +329,14 @@ def chunk_all(spark, sf_dir):
 
 @query(f"WITH {_RAW} SELECT doc_id, array_to_string({O.tags("lower(description || ' ' || array_to_string(sections, ' '))")}, '|') AS tags FROM r")
 def topic_keyword(spark, sf_dir):
-    rows = records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF)
+    rows = records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False)
     return rows.select("doc_id", F.array_join(topics.keyword_tags(F.concat_ws(" ", F.col("description"), F.array_join("cleaned_sections", " "))), "|").alias("tags"))
 
 
 @query(f"WITH {_RAW}, m AS (SELECT doc_id, topic_tags AS k, CASE doc_id % 3 WHEN 0 THEN ['finance', 'healthcare'] WHEN 1 THEN ['robotics'] ELSE CAST([] AS VARCHAR[]) END AS s FROM e) "
        "SELECT doc_id, array_to_string(list_slice(list_concat(s, list_filter(k, lambda x: NOT list_contains(s, x))), 1, 5), '|') AS tags FROM m")
 def topic_merge(spark, sf_dir):
-    rows = records.enriched(records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF))
+    rows = records.enriched(records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False))
     semantic = F.expr("CASE doc_id % 3 WHEN 0 THEN array('finance', 'healthcare') WHEN 1 THEN array('robotics') ELSE CAST(array() AS ARRAY<STRING>) END")
     return rows.select("doc_id", F.array_join(topics.merged_tags(semantic, F.col("topic_tags")), "|").alias("tags"))
 
@@ -406,7 +406,7 @@ _LANGUAGE_TEXT = "trim(concat_ws(' ', CASE WHEN len(sections) > 0 THEN array_to_
 
 @query(f"WITH {_RAW} SELECT doc_id, {_LANGUAGE_TEXT} AS language_text FROM n")
 def language_text(spark, sf_dir):
-    return records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF).select("doc_id", records.language_text().alias("language_text"))
+    return records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False).select("doc_id", records.language_text().alias("language_text"))
 
 
 def _starts_sql(x: str) -> str:
@@ -446,7 +446,7 @@ def page_trust(spark, sf_dir):
 @query()
 def topic_semantic(spark, sf_dir):
     """Nearest topic descriptions by hashed vectors, merged with the keyword tags."""
-    rows = records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF).select("doc_id", records.topic_text().alias("text"))
+    rows = records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False).select("doc_id", records.topic_text().alias("text"))
     both = topics.merged_tags(topics.semantic_tags(F.col("text"), threshold=0.2), topics.keyword_tags(F.col("text")))
     return rows.select("doc_id", F.array_join(both, "|").alias("tags"))
 

@@ -1,0 +1,82 @@
+"""The pipeline against plain Python, stage by stage, and the queries with SQL."""
+
+import re
+from collections import Counter
+
+import public_tokenizers
+
+import corpus_pipeline as P
+from lumenary.llm import language, secrets
+from lumenary.llm.queries import ORACLE_SQL, QUERIES
+
+from ..compare import DATA, connection, same
+from .test_operators import brute_contamination, brute_groups, brute_secrets
+
+SF = str(DATA)
+
+
+def test_queries_agree_with_their_sql(spark):
+    con = connection()
+    for name, sql in ORACLE_SQL.items():
+        same(spark, con, QUERIES[name], sql)
+
+
+def test_there_is_a_query_for_each_operator():
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [n for n, _ in P.STAGES] == ["language_id", "ngram_jaccard_join", "benchmark_decontamination", "secret_scan", "packing"]
+    kept = P.STAGES[0][1](spark, docs, SF).persist()
+    scores = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, language.fit(docs)).collect()}
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, (lang, s) in scores.items() if lang != "und" and s >= 0.08}
+    assert kept.count() >= 0.99 * docs.count()
+
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    one = P.STAGES[1][1](spark, kept, SF).persist()
+    assert one.columns == docs.columns
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(d for d, _, c in brute_groups(rows, 5, 80, 100) if d == c)
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in one.collect()]
+    clean = P.STAGES[2][1](spark, one, SF).persist()
+    assert clean.columns == docs.columns
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, *_, hit in brute_contamination(rows, items) if not hit)
+
+    masked = P.STAGES[3][1](spark, clean, SF).persist()
+    assert masked.columns == docs.columns and masked.count() == clean.count()
+    found = {r["doc_id"]: r["found"] for r in secrets.secret_spans(clean).collect()}
+    before = {r["doc_id"]: r["text"] for r in clean.collect()}
+    for r in masked.collect():
+        want, at = "", 0
+        for s in found[r["doc_id"]]:
+            if s["start"] >= at:
+                want += before[r["doc_id"]][at : s["start"]] + "[SECRET]"
+            at = max(at, s["end"])
+        assert r["text"] == want + before[r["doc_id"]][at:]
+        assert r["n_chars"] == len(r["text"]) and not brute_secrets(r["text"])
+
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = P.STAGES[4][1](spark, masked, SF).collect()
+    want = {r["doc_id"]: len(whole.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in masked.collect()}
+    got = Counter()
+    for p in packed:
+        got[p["doc_id"]] += p["length"]
+    assert dict(got) == want
+
+
+def test_run_is_the_stages_in_a_row(spark):
+    got = P.run(spark, SF)
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert got.select("doc_id").distinct().count() > 100
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0

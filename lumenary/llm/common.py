@@ -55,6 +55,7 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()  # on the driver, so that Spark removes the shuffle files that nothing refers to any more
 
 
 def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -31,7 +31,8 @@ from lumenary.llm.common import Scratch, small_side, table
 from lumenary.llm.components import components
 
 BUCKETS = 1 << 16
-FEW, PART = 32, 256  # members up to which a block's pairs are joined, and of a part of a larger block
+FEW, PART = 32, 1024  # members up to which a block's pairs are joined, and of a part of a larger block
+EARLIER = 32
 SEEN = 1 << 20  # copies that a task remembers, to index each only once; more are indexed again, which changes nothing
 
 
@@ -219,7 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     x, y = few.alias("x"), few.alias("y")
     both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
                   & may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    second = scratch.keep(both.distinct().unionByName(large_block_pairs(left.filter(F.col("members") > FEW), sets, sim)).distinct().join(first, ["a", "b"], "left_anti"))
+    pairs = both.distinct().unionByName(large_block_pairs(left.filter(F.col("members") > FEW), sets, sim)).distinct()
+    second = scratch.keep(pairs.join(first, ["a", "b"], "left_anti"))
     scratch.drop(left)
     more = verified(second, sets, sim, scratch)
     labels = scratch.keep(components(links.unionByName(more), scratch))
@@ -231,16 +233,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def large_block_pairs(left: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+def large_block_pairs(large: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """The (a, b) of large blocks that differ in label and that their profiles let link.
 
     A block is dealt by hash into parts of about PART members, and each two parts meet in one place, so no place gets
-    more rows the larger a block is; pairs live inside a worker and only those that the profiles pass come out."""
+    more rows the larger a block is; pairs live inside a worker and only those that the profiles pass come out. Each
+    member brings the first EARLIER of its blocks, and a pair that meets in one of them too is left to that."""
+    first = large.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, EARLIER).alias("earlier")).withColumnRenamed("rep", "r")
+    more = sets.select(F.col("id").alias("profiled"), "profile").dropDuplicates(["profiled"]).join(first, F.col("profiled") == F.col("r")).drop("r")
     parts = F.ceil(F.col("members") / PART).cast("int")
-    dealt = left.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "label", "n")
-    profiles = sets.select(F.col("id").alias("profiled"), "profile")
-    met = dealt.join(profiles, F.col("rep") == F.col("profiled")).drop("profiled").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "rep")
+    dealt = large.join(more, F.col("rep") == F.col("profiled")).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "label", "n", "earlier", "profile")
+    met = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -260,29 +265,44 @@ def large_block_pairs(left: DataFrame, sets: DataFrame, sim: Similarity) -> Data
     return met.mapInArrow(meet, "a long, b long")
 
 
+def met_before(earlier: list[np.ndarray], chunk: int = 512) -> np.ndarray:
+    """Whether each two of the rows have one of their earlier blocks in common."""
+    row = np.repeat(np.arange(len(earlier)), [len(e) for e in earlier])
+    out = np.zeros((len(earlier), len(earlier)), bool)
+    _, block, count = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+    _, block = np.unique(np.where(count[block] > 1, block, -1), return_inverse=True)  # those of one row alone fall together as 0 ...
+    block = block - (1 if (count == 1).any() else 0)  # ... and go
+    for low in range(0, int(block.max(initial=-1)) + 1, chunk):
+        some = (block >= low) & (block < low + chunk)
+        has = np.zeros((len(earlier), min(chunk, int(block.max()) + 1 - low)), np.float32)
+        has[row[some], block[some] - low] = 1
+        out |= has @ has.T > 0
+    return out
+
+
 def passing(held: list[pa.RecordBatch], sim: Similarity) -> pa.RecordBatch:
     """The pairs of one meeting of two parts (or of one with itself)."""
     rows = pa.Table.from_batches(held)
     part, rep, label, n = (rows.column(c).to_numpy() for c in ("part", "rep", "label", "n"))
+    n = n.astype(np.int64)
+    here = rows.column("sig")[0].as_py()
+    before = met_before([e[e < here] for e in (x.values.to_numpy() for x in rows.column("earlier"))])
     raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("profile")]
     size = min([len(x) for x in raw if len(x)], default=1)
     # A profile that is missing lets everything pass.
     matrix = np.array([x.reshape(size, -1).sum(axis=1, dtype=np.int32) if len(x) else np.full(size, 1 << 30, np.int32) for x in raw])
-    out_a, out_b = [], []
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(len(rep) - 1):
-        rest = np.arange(k + 1, len(rep))
+        rest = np.flatnonzero(~before[k, k + 1 :]) + k + 1
         if part.min() != part.max():
             rest = rest[part[rest] != part[k]]
-        lo, hi = np.minimum(n[rest], n[k]), np.maximum(n[rest], n[k])
-        rest = rest[(label[rest] != label[k]) & (rep[rest] != rep[k]) & (sim.den * lo.astype(np.int64) >= sim.num * hi.astype(np.int64))]
+        rest = rest[(label[rest] != label[k]) & (sim.den * np.minimum(n[rest], n[k]) >= sim.num * np.maximum(n[rest], n[k]))]
         if len(rest):
-            both = np.minimum(matrix[rest], matrix[k]).sum(axis=1, dtype=np.int64)
-            both = np.minimum(both, np.minimum(n[rest], n[k]))
-            rest = rest[sim.den * both >= sim.num * (n[rest].astype(np.int64) + n[k] - both)]
+            both = np.minimum(np.minimum(matrix[rest], matrix[k]).sum(axis=1, dtype=np.int64), np.minimum(n[rest], n[k]))
+            rest = rest[sim.den * both >= sim.num * (n[rest] + n[k] - both)]
             out_a.append(np.minimum(rep[rest], rep[k]))
             out_b.append(np.maximum(rep[rest], rep[k]))
-    none = [np.zeros(0, np.int64)]
-    return _batch("a b", np.concatenate(none + out_a), np.concatenate(none + out_b))
+    return _batch("a b", np.concatenate(out_a), np.concatenate(out_b))
 
 
 def shingled(docs: DataFrame, ids: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:

@@ -22,13 +22,14 @@ def _not_blank(parts: Column) -> Column:
 def drop_near_duplicates(sections: Column) -> Column:
     """Keeps a section unless an earlier kept one equals it or, within NEAR_DUPLICATE_CHARS in length, contains it
     or stands in it; compared in lower case."""
-    kept = F.aggregate(
-        sections, F.array().cast("array<struct<n: string, s: string>>"),
-        lambda acc, s: F.when(
-            F.exists(acc, lambda k: (k["n"] == strip(F.lower(s))) | (
-                (F.contains(k["n"], strip(F.lower(s))) | F.contains(strip(F.lower(s)), k["n"]))
-                & (F.abs(F.length(k["n"]) - F.length(strip(F.lower(s)))) < R.NEAR_DUPLICATE_CHARS))),
-            acc).otherwise(F.array_append(acc, F.struct(strip(F.lower(s)).alias("n"), s.alias("s")))))
+    pairs = F.transform(sections, lambda s: F.struct(strip(F.lower(s)).alias("n"), s.alias("s")))  # folded in case once each
+
+    def like(k: Column, c: Column) -> Column:
+        near = F.abs(F.length(k["n"]) - F.length(c["n"])) < R.NEAR_DUPLICATE_CHARS
+        return (k["n"] == c["n"]) | (near & (F.contains(k["n"], c["n"]) | F.contains(c["n"], k["n"])))
+
+    kept = F.aggregate(pairs, F.array().cast("array<struct<n: string, s: string>>"),
+                       lambda acc, c: F.when(F.exists(acc, lambda k: like(k, c)), acc).otherwise(F.array_append(acc, c)))
     return F.transform(kept, lambda k: k["s"])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes up to which a side that has been counted may be broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 48 << 20
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,7 +46,13 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        conf = self.spark.conf
+        rows = conf.get(ARROW_ROWS)
+        conf.set(ARROW_ROWS, str(min(int(rows), 1024) if int(rows) > 0 else 1024))  # so that batches of long texts stay small
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(ARROW_ROWS, rows)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -135,7 +135,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataF
 
     found = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
     found = Scratch(docs.sparkSession, "contaminated").keep(found)
-    return docs.join(small_side(found, found.count()), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    return docs.join(small_side(found, found.count()), docs["doc_id"].eqNullSafe(found["hit_id"]), "left_anti")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

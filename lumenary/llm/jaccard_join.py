@@ -202,9 +202,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
              .join(rep, F.col("pivot") == F.col("key")).filter(may_link(F.col("n"), F.lit(0), F.col("size"), F.lit(0)))
              .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).filter("a <> b").distinct())
     first = scratch.keep(first)
-    sets = shingled(docs, first.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle, scratch)
-    links = verified(first, sets, sim, scratch)
-    scratch.drop(sets)
+    reps = member.select("fp").distinct().join(rep, F.col("fp") == F.col("key")).select(F.col("rep").alias("id")).distinct()
+    profiles = described_sets(docs, reps, shingle, scratch, "n", "profile")
+    links = verified(docs, first, profiles, shingle, sim, scratch)
     labels = scratch.keep(components(links, scratch))
 
     # What is left: pairs of a block whose components differ.
@@ -215,17 +215,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     open_blocks = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select(F.col("sig").alias("block"), "members")
     left = scratch.keep(named.join(open_blocks, F.col("sig") == F.col("block")).drop("block"))
     scratch.drop(named)
-    sets = shingled(docs, left.select(F.col("rep").alias("id")).distinct(), shingle, scratch)
     few = left.filter(F.col("members") <= FEW)
     x, y = few.alias("x"), few.alias("y")
     both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
                   & may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    pairs = both.distinct().unionByName(large_block_pairs(left.filter(F.col("members") > FEW), sets, sim)).distinct()
+    pairs = both.distinct().unionByName(large_block_pairs(left.filter(F.col("members") > FEW), profiles, sim)).distinct()
     second = scratch.keep(pairs.join(first, ["a", "b"], "left_anti"))
     scratch.drop(left)
-    more = verified(second, sets, sim, scratch)
+    more = verified(docs, second, profiles, shingle, sim, scratch)
     labels = scratch.keep(components(links.unionByName(more), scratch))
-    scratch.drop(sets)
+    scratch.drop(profiles)
 
     known = rows.filter("n > 0").join(classes.withColumnsRenamed({"fp": "f", "fp2": "f2", "n": "m"}), (F.col("fp") == F.col("f")) & (F.col("fp2") == F.col("f2")) & (F.col("n") == F.col("m")), "left")
     known = known.select("doc_id", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left")
@@ -233,14 +232,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def large_block_pairs(large: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+def large_block_pairs(large: DataFrame, profiles: DataFrame, sim: Similarity) -> DataFrame:
     """The (a, b) of large blocks that differ in label and that their profiles let link.
 
     A block is dealt by hash into parts of about PART members, and each two parts meet in one place, so no place gets
     more rows the larger a block is; pairs live inside a worker and only those that the profiles pass come out. Each
     member brings the first EARLIER of its blocks, and a pair that meets in one of them too is left to that."""
     first = large.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, EARLIER).alias("earlier")).withColumnRenamed("rep", "r")
-    more = sets.select(F.col("id").alias("profiled"), "profile").dropDuplicates(["profiled"]).join(first, F.col("profiled") == F.col("r")).drop("r")
+    more = profiles.select(F.col("id").alias("profiled"), "profile").join(first, F.col("profiled") == F.col("r")).drop("r")
     parts = F.ceil(F.col("members") / PART).cast("int")
     dealt = large.join(more, F.col("rep") == F.col("profiled")).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -305,26 +304,29 @@ def passing(held: list[pa.RecordBatch], sim: Similarity) -> pa.RecordBatch:
     return _batch("a b", np.concatenate(out_a), np.concatenate(out_b))
 
 
-def shingled(docs: DataFrame, ids: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
-    """id, n, profile and items (the whole set) of the documents with these ids; no more of the texts is shuffled."""
+def described_sets(docs: DataFrame, ids: DataFrame, shingle: int, scratch: Scratch, *columns: str) -> DataFrame:
+    """id and the asked-for of n, profile and items (the whole set) of the documents with these ids, one row an id."""
     ids = scratch.keep(ids)
-    some = docs.join(small_side(ids, ids.count()), F.col("doc_id") == F.col("id"), "left_semi")
+    some = docs.join(small_side(ids, ids.count()), docs["doc_id"] == ids["id"], "left_semi")
+    kinds = {"n": ("long", pa.int64(), len), "profile": ("binary", pa.binary(), profile), "items": ("binary", pa.binary(), lambda s: s.tobytes())}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _sets(batches, shingle):
-            yield _batch("id n profile items", pa.array(keys, pa.int64()), np.array([len(s) for s in sets], np.int64),
-                         pa.array([profile(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()))
+            yield _batch(" ".join(("id", *columns)), pa.array(keys, pa.int64()), *[pa.array([kinds[c][2](s) for s in sets], kinds[c][1]) for c in columns])
 
-    return scratch.keep(some.mapInArrow(describe, "id long, n long, profile binary, items binary"))
+    out = scratch.keep(some.mapInArrow(describe, "id long, " + ", ".join(f"{c} {kinds[c][0]}" for c in columns)))
+    if out.groupBy("id").count().filter("count > 1").isEmpty():
+        return out
+    return out.dropDuplicates(["id"])  # of rows that repeat
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scratch) -> DataFrame:
-    """The (a, b) of ``pairs`` that link, by their whole sets."""
+def verified(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, shingle: int, sim: Similarity, scratch: Scratch) -> DataFrame:
+    """The (a, b) of ``pairs`` that link: those that their profiles let link, by their whole sets."""
 
-    def beside(rows: DataFrame, *cols: str) -> DataFrame:
+    def beside(rows: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
         out = rows
         for side in ("a", "b"):
-            out = out.join(sets.select(F.col("id").alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in cols]), F.col(side) == F.col(f"id_{side}")).drop(f"id_{side}")
+            out = out.join(known.select(F.col("id").alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in cols]), F.col(side) == F.col(f"id_{side}")).drop(f"id_{side}")
         return out
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +336,9 @@ def verified(pairs: DataFrame, sets: DataFrame, sim: Similarity, scratch: Scratc
                 batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("profile_a"), batch.column("profile_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = scratch.keep(beside(pairs, "n", "profile").mapInArrow(possible, "a long, b long"))
-    wide = beside(near, "items")
+    near = scratch.keep(beside(pairs, profiles, "n", "profile").mapInArrow(possible, "a long, b long"))
+    sets = described_sets(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle, scratch, "items")
+    wide = beside(near, sets, "items")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +358,7 @@ def one_of_each(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100
     scratch = Scratch(docs.sparkSession, "one-of-each")
     found = scratch.keep(near_duplicates(docs, shingle, num, den))
     gone = scratch.keep(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    kept = docs.join(small_side(gone, gone.count()), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    kept = docs.join(small_side(gone, gone.count()), docs["doc_id"] == gone["gone_id"], "left_anti")
     again = found.filter("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
         return kept

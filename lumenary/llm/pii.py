@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,13 +113,10 @@ class Nodes:
                 rows[:, 22:26] = (text[self.spans[first][0]] == "+", 13 <= len(run) <= 19 and luhn(run), k > first, 9 <= len(run) <= 15)
                 first = k + 1
         self.x[:, 26] = 1
+        starts, ends = np.array([a for a, _ in self.spans]), np.array([b for _, b in self.spans])
         for kind, spans in enumerate(base, 1):
-            for a, b in spans:
-                for k in range(n):
-                    if self.spans[k][0] >= b:
-                        break
-                    if self.spans[k][1] > a:
-                        self.held[k] = kind
+            for a, b in spans:  # nodes stand in order and apart, so those that a span touches are a run
+                self.held[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b)] = kind
         self.hubs = len(keys)
 
 
@@ -168,6 +166,7 @@ class Field:
 def added_spans(nodes: Nodes, p: np.ndarray, base: list[list[Span]], least: float = 0.5) -> list[tuple[int, Span]]:
     """Runs of linked nodes with one likely kind that touch no base span of any kind."""
     taken = sorted(s for spans in base for s in spans)
+    starts, reach = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0)
     label = np.where(p[:, 1:].max(axis=1) >= least, p[:, 1:].argmax(axis=1) + 1, 0) if len(p) else np.zeros(0, int)
     out, k = [], 0
     while k < len(label):
@@ -176,7 +175,8 @@ def added_spans(nodes: Nodes, p: np.ndarray, base: list[list[Span]], least: floa
             end += 1
         if label[k] and not nodes.held[k : end + 1].any():
             a, b = nodes.spans[k][0], nodes.spans[end][1]
-            if not any(x < b and a < y for x, y in taken):
+            before = bisect_left(starts, b)  # of the base spans that begin before the end, the furthest must end before the start
+            if not before or reach[before - 1] <= a:
                 out.append((int(label[k]) - 1, (a, b)))
         k = end + 1
     return out

@@ -23,6 +23,7 @@ from lumenary.llm.batches import Words, per_text, shingles, slices
 from lumenary.llm.common import table
 
 BUCKETS, COMMON, LEAST_SHARE = 1 << 14, 0.002, 0.001
+LANGS_HELD = 64  # languages that a task counts before it hands on what it has
 SYMBOLS = "#*$%&|<>"
 LIMITS = {"chars": 0.3, "words": 0.42}
 GUARDS = {"chars": 200, "words": 60}  # characters, words
@@ -109,6 +110,12 @@ def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
                     mine = own == lang
                     chars[lang] = chars.get(lang, 0) + hist[mine].sum(axis=0)
                     tokens[lang] = tokens.get(lang, 0) + np.bincount(buckets[mine[words.doc]], minlength=BUCKETS)
+                if len(chars) > LANGS_HELD:
+                    yield from told(chars, tokens)
+                    chars, tokens = {}, {}
+        yield from told(chars, tokens)
+
+    def told(chars: dict, tokens: dict) -> Iterator[pa.RecordBatch]:
         for lang in chars:
             keys = np.flatnonzero(tokens[lang])
             for kind, key, n in ((0, np.arange(CHAR_CLASSES), chars[lang]), (1, keys, tokens[lang][keys])):

@@ -142,7 +142,7 @@ def redacted(docs: DataFrame, model: list[float] | None = None, threshold: float
         lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)))
     out = got.withColumn("text", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text"))).drop("__base", "__spans")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
 
 

@@ -45,7 +45,8 @@ def hard_cases():
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = hard_cases()
-    return spark.createDataFrame([(*r, "clash", 7) for r in rows], SCHEMA + ", key string, sig int")
+    more = ", key string, sig int, gone_id long, hit_id long, id long, n string, component_id long, words string, spans int, score double"
+    return spark.createDataFrame([(*r, "clash", 7, r[0], r[0], 1, "n", 3, "w", 4, 0.5) for r in rows], SCHEMA + more)
 
 
 @pytest.fixture(scope="module")

@@ -49,17 +49,20 @@ class Engine:
     def raw(self, urls: DataFrame) -> DataFrame:
         """Raw records of the valid rows of ``urls`` (pos, url); repeated URLs each keep their row."""
         routed = records.routed(urls).filter("is_valid").drop("is_valid")
-        content = self.pages.dropDuplicates(["url"])
         asked = lambda kind: routed.filter(F.col("source_type") == kind)
-        page_of = lambda rows: content.join(rows.select("url").distinct(), "url", "left_semi")
 
-        first = asked("blog").join(self.parsed.dropDuplicates(["url"]), "url", "left")
+        def known(content: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+            """The content of the asked-for keys, one row each; only what is asked for is shuffled."""
+            return content.join(rows.select(key).distinct(), key, "left_semi").dropDuplicates([key])
+
+        page_of = lambda rows: known(self.pages, rows, "url")
+
+        first = asked("blog").join(known(self.parsed, asked("blog"), "url"), "url", "left")
         blogs = filled(first, with_page_fields(page_of(asked("blog")), self.as_of))
         videos = video_records(asked("youtube").withColumn("video_id", video_id(F.col("url"))), self.metadata,
                                transcripts(self.segments, "video_id", "pos", "text")).drop("video_id")
         papers = asked("pubmed").withColumn("pmid", article_id(F.col("url")))
-        known = self.articles.dropDuplicates(["pmid"])
-        xml = papers.select("url", "pmid").distinct().join(known, "pmid", "left").select("url", "xml")
+        xml = papers.select("url", "pmid").distinct().join(known(self.articles, papers, "pmid"), "pmid", "left").select("url", "xml")
         paper = chained([with_article_fields(xml, whole_text=False), with_article_fields(xml), with_article_page_fields(page_of(papers))], "url")
         papers = papers.drop("pmid").join(paper, "url", "left")
 

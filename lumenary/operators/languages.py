@@ -2,10 +2,18 @@
 
 The profile is counted from labelled texts in one aggregation; a language keeps its most frequent
 beginnings only, so the profile has a fixed size and is broadcast. Scoring is a join with it and a sum.
+
+Records have no labelled texts at hand: ``detected_in`` judges each by the frequent words of the languages in
+the rules, or by its script, batch by batch and without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from math import log
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +45,43 @@ def detected(texts: DataFrame, key: str, text: str, profiles: DataFrame) -> Data
     gain = starts.join(F.broadcast(profiles), "start").groupBy(key, "lang").agg(F.sum(F.col("n") * (F.col("weight") - F.log(F.lit(1e-5)))).alias("gain"))
     best = gain.groupBy(key).agg(F.max(F.struct(F.round("gain", 6).alias("gain"), F.col("lang").alias("lang"))).alias("best"))
     return texts.select(key).join(best, key, "left").select(key, F.coalesce("best.lang", F.lit(R.UNKNOWN)).alias("language"))
+
+
+def detector() -> Callable[[str | None], str]:
+    """A function from a text to its language."""
+    gains: dict[str, list[tuple[str, float]]] = {}
+    for lang, words in R.LANGUAGE_WORDS.items():
+        ranked = words.split()
+        total = sum(1 / (r + 2) for r in range(len(ranked)))
+        for r, word in enumerate(ranked):
+            gains.setdefault(word, []).append((lang, log(1 / (r + 2) / total) - log(1e-5)))
+    scripts = {lang: re.compile(f"[{chars}]") for lang, chars in R.LANGUAGE_SCRIPTS.items()}
+
+    def judge(text: str | None) -> str:
+        if len(text or "") < R.LANGUAGE_MIN_CHARS:
+            return R.UNKNOWN
+        letters = sum(c.isalpha() for c in text)
+        written = {lang: len(chars.findall(text)) for lang, chars in scripts.items()}
+        if written["ja"] * 10 >= written["zh-cn"]:  # Japanese mixes its own signs with Chinese ones
+            written["ja"], written["zh-cn"] = written["ja"] and written["ja"] + written["zh-cn"], 0 if written["ja"] else written["zh-cn"]
+        lang, n = max(written.items(), key=lambda x: x[1])
+        if 2 * n > letters:
+            return lang
+        sums: dict[str, float] = {}
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            for lang, gain in gains.get(word, ()):
+                sums[lang] = sums.get(lang, 0.0) + gain
+        return max(sums, key=lambda lang: (round(sums[lang], 6), lang)) if sums else R.UNKNOWN
+
+    return judge
+
+
+def detected_in(text: Column) -> Column:
+    """The language of ``text``; unknown under LANGUAGE_MIN_CHARS and where no frequent word and no script tells."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = detector()
+        for texts in batches:
+            yield pd.Series([judge(t) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, "string")(text)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lumenary import rules as R
 from lumenary.functions import scores
@@ -54,16 +58,54 @@ def language_text() -> Column:
     return F.trim(F.concat_ws(" ", F.slice("cleaned_sections", 1, 5), present(F.col("description")), F.when(~missing(F.col("title")), F.col("title"))))
 
 
-def enriched(records: DataFrame, language: Column | None = None, tags: Column | None = None) -> DataFrame:
-    """Adds language, region, topic_tags and content_chunks."""
-    from lumenary.operators.topics import keyword_tags
+def judged(records: DataFrame) -> DataFrame:
+    """Adds language (of ``language_text``) and semantic_tags (of ``topic_text``). Whole records pass through Python, so
+    that what cleaning costs is paid once and not for every use of the sections."""
+    from lumenary.operators.languages import detector
+    from lumenary.operators.topics import nearest
+
+    tags = nearest()
+
+    def joined(*parts: str | None) -> str:
+        return " ".join(p for p in parts if p is not None).strip(" ")
+
+    def known(text: str | None) -> str | None:
+        return None if text in ("", R.UNKNOWN) else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        language = detector()
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("title", "description", "cleaned_sections"))
+            rows = [(known(t), known(d), s or []) for t, d, s in zip(*columns, strict=True)]
+            langs = pa.array([language(joined(*s[:5], d, t)) for t, d, s in rows], pa.string())
+            near = pa.array(tags([joined(t, d, *s[:3]) for t, d, s in rows]), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, langs, near], [*batch.schema.names, "language", "semantic_tags"])
 
-    return (records.withColumn("language", language if language is not None else F.lit(R.UNKNOWN))
+    schema = StructType([*records.schema.fields]).add("language", StringType()).add("semantic_tags", ArrayType(StringType()))
+    return records.mapInArrow(run, schema)
+
+
+def enriched(records: DataFrame, language: Column | None = None, tags: Column | None = None) -> DataFrame:
+    """Adds language, region, topic_tags (semantic ones before keyword ones) and content_chunks."""
+    from lumenary.operators.topics import keyword_tags, merged_tags
+
+    if language is None or tags is None:
+        records = judged(records)
+    if tags is None:
+        tags = merged_tags(F.col("semantic_tags"), keyword_tags(topic_text()))
+    return (records.withColumn("language", language if language is not None else F.col("language"))
             .withColumn("region", region(F.col("source_url")))
-            .withColumn("topic_tags", F.slice(tags if tags is not None else keyword_tags(topic_text()), 1, R.TOP_K_TAGS))
+            .withColumn("topic_tags", F.slice(tags, 1, R.TOP_K_TAGS)).drop("semantic_tags")
             .withColumn("content_chunks", content_chunks(F.col("cleaned_sections"), F.col("source_type"))))
 
 
+def keyword_only() -> dict[str, Column]:
+    """Enrichment without detection and semantic tags, all of it native: what the SQL of the named queries states."""
+    from lumenary.operators.topics import keyword_tags
+
+    return {"language": F.lit(R.UNKNOWN), "tags": keyword_tags(topic_text())}
+
+
 def scored(records: DataFrame, as_of: str) -> DataFrame:
     """Adds the five signals and trust_score."""
     kind = F.col("source_type")

@@ -71,16 +71,27 @@ def embedded(text: Column, encoder: Encoder | None = None) -> Column:
     return F.pandas_udf(run, "array<double>")(text)
 
 
+def nearest(encoder: Encoder | None = None, topics: list[tuple[str, str]] | None = None,
+            k: int = R.TOP_K_TAGS, threshold: float = R.SIMILARITY_THRESHOLD) -> Callable[[list[str | None]], list[list[str]]]:
+    """A function from texts to the tags of the nearest topic descriptions; one matrix product per call."""
+    topics, encode = topics or R.TOPICS, encoder or hashed_encoder()
+    names, matrix = [t for t, _ in topics], encode([about for _, about in topics])
+
+    def tags(texts: list[str | None]) -> list[list[str]]:
+        sims = encode([t or "" for t in texts]) @ matrix.T
+        order = np.argsort(sims, axis=1, kind="stable")[:, ::-1][:, :k]
+        return [[names[i] for i in row if s[i] >= threshold] if t else [] for row, s, t in zip(order, sims, texts, strict=True)]
+
+    return tags
+
+
 def semantic_tags(text: Column, encoder: Encoder | None = None, topics: list[tuple[str, str]] | None = None,
                   k: int = R.TOP_K_TAGS, threshold: float = R.SIMILARITY_THRESHOLD) -> Column:
     """The tags of the nearest topic descriptions; one matrix product per batch of texts."""
-    topics, encode = topics or R.TOPICS, encoder or hashed_encoder()
-    names, matrix = [t for t, _ in topics], encode([about for _, about in topics])
+    tags = nearest(encoder, topics, k, threshold)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            sims = encode([t or "" for t in texts]) @ matrix.T
-            order = np.argsort(sims, axis=1, kind="stable")[:, ::-1][:, :k]
-            yield pd.Series([[names[i] for i in row if s[i] >= threshold] if t else [] for row, s, t in zip(order, sims, texts, strict=True)])
+            yield pd.Series(tags(list(texts)))
 
     return F.pandas_udf(run, "array<string>")(text)

@@ -278,7 +278,7 @@ def raw_records(docs: DataFrame) -> DataFrame:
 
 
 def _analysed(spark, sf_dir):
-    return records.analysed(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False)
+    return records.analysed(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False, **records.keyword_only())
 
 
 _RAW = f"""r AS (SELECT doc_id, {', '.join(f"{e} AS {c}" for c, e in _FIELDS.items()).replace('AS STRING', 'AS VARCHAR')},
@@ -336,7 +336,7 @@ def topic_keyword(spark, sf_dir):
 @query(f"WITH {_RAW}, m AS (SELECT doc_id, topic_tags AS k, CASE doc_id % 3 WHEN 0 THEN ['finance', 'healthcare'] WHEN 1 THEN ['robotics'] ELSE CAST([] AS VARCHAR[]) END AS s FROM e) "
        "SELECT doc_id, array_to_string(list_slice(list_concat(s, list_filter(k, lambda x: NOT list_contains(s, x))), 1, 5), '|') AS tags FROM m")
 def topic_merge(spark, sf_dir):
-    rows = records.enriched(records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False))
+    rows = records.enriched(records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False), **records.keyword_only())
     semantic = F.expr("CASE doc_id % 3 WHEN 0 THEN array('finance', 'healthcare') WHEN 1 THEN array('robotics') ELSE CAST(array() AS ARRAY<STRING>) END")
     return rows.select("doc_id", F.array_join(topics.merged_tags(semantic, F.col("topic_tags")), "|").alias("tags"))
 
@@ -440,7 +440,7 @@ def page_trust(spark, sf_dir):
     """Pages from HTML to trust score."""
     raw = with_page_fields(table(spark, sf_dir, "pages").select("page_id", "url", "html"), AS_OF).withColumn("source_type", urls.source_type(F.col("url")))
     rows = records.detailed(records.analysed(raw, AS_OF), ("page_id",))
-    return rows.select("page_id", "source_url", "title", "trust_score", F.size("content_chunks").alias("n_chunks"))
+    return rows.select("page_id", "source_url", "title", "language", F.array_join("topic_tags", "|").alias("topic_tags"), "trust_score", F.size("content_chunks").alias("n_chunks"))
 
 
 @query()
@@ -480,5 +480,5 @@ def stream_append(spark, sf_dir):
     path = _scratch(spark)
     raw = raw_records(table(spark, sf_dir, "documents"))
     raw.repartition(4, "doc_id").write.parquet(f"{path}/in")
-    append_analysed(stream_records(spark, f"{path}/in", raw.schema, 2), f"{path}/out", f"{path}/state", AS_OF, ("doc_id",)).awaitTermination()
+    append_analysed(stream_records(spark, f"{path}/in", raw.schema, 2), f"{path}/out", f"{path}/state", AS_OF, ("doc_id",), **records.keyword_only()).awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id", "trust_score")

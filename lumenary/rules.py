@@ -143,3 +143,32 @@ WEIGHTS = {
     "youtube": (0.35, 0.05, 0.05, 0.30, 0.25),
     "pubmed": (0.30, 0.25, 0.15, 0.15, 0.15),
 }
+
+# Languages: frequent words, most frequent first, and the scripts that name a language by themselves
+LANGUAGE_WORDS = {
+    "en": "the of and to in is that for it with as was on are be this by from at or have an not which but you they we their has been more can will its were",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie",
+    "fr": "de la le et les des en un du une que est pour qui dans par sur au pas plus ne se ce avec il sont aux ou son mais nous cette ont été sa comme elle leur",
+    "es": "de la que el en y los del se las por un para con una no su al lo como más es o pero sus le ha este sí porque esta son entre está cuando muy sin sobre ser",
+    "pt": "de a que o e do da em um para com não uma os no se na por mais as dos como mas ao foi das tem à seu sua ou ser quando muito há nos já está são também",
+    "it": "di che e la il un a per in una è non sono del si con i le da della dei nel alla più come anche ma gli ha al lo delle questo o nella essere stato suo",
+    "nl": "de van het een en in is dat op te zijn met voor niet aan er om ook als dan maar bij of uit nog naar heeft worden door wordt deze hij over ze kan",
+    "sv": "och i att det som en på är av för med till den har de inte om ett han men var jag sig från vi så kan man när år under också eller efter vid",
+    "da": "og i at det er en til af på for med den de som der ikke har et var han fra jeg om sig men kan man vil blev efter også eller ved være hun når",
+    "no": "og i det er på en til som av for at med de har ikke den et var om fra han jeg men seg kan så ble etter også vi eller ved være når hun",
+    "fi": "ja on ei se että oli hän mutta ovat myös kun niin joka tai kuin sen ole mukaan vain jos nyt ollut sekä tämä he me mitä jo",
+    "pl": "i w na z do się nie że to jest o jak za od po dla przez są oraz ale tym był co jego czy które przy może już być tylko ich",
+    "cs": "a v se na je že s z do o to i ve za jako pro by po od byl ale jeho které podle jsou také který jsem když tak jen více",
+    "tr": "ve bir bu da de için ile çok olarak olan daha gibi ne en kadar sonra ise var değil ama her veya olduğu o göre ancak tarafından",
+    "ro": "de și în a la cu pe o un din nu că este pentru care mai sau au se fost ca prin ce sunt dar după fi lui între",
+    "hu": "a az és hogy nem is egy volt meg ez csak de ha már van mint el vagy még azt nagyon lehet ki aki minden kell",
+    "id": "yang dan di dengan untuk ini dari dalam tidak itu pada adalah akan oleh ke sebagai juga karena dapat tersebut atau telah mereka ada",
+    "vi": "và của là có được trong cho các một người với những không đã này để khi từ đến về như ra cũng tại năm",
+    "ru": "и в не на что с по как это он к а из у от за но так же для его все было только мы она был бы они то",
+    "uk": "і в на що не з та до у як це за він від а для його про але був або так також які є бути після",
+    "bg": "на и в за от се да не е с по са че като до това при или който беше той има след още ще бъде",
+    "ar": "في من على أن إلى التي عن مع هذا ما كان الذي هذه لا بين كما بعد أو قد ذلك",
+    "fa": "و در به از که این را با است برای آن یک خود تا بر هم شد بود شده اما",
+}
+LANGUAGE_SCRIPTS = {"ja": "\u3040-\u30ff", "ko": "\uac00-\ud7af\u1100-\u11ff", "zh-cn": "\u4e00-\u9fff", "th": "\u0e00-\u0e7f", "el": "\u0370-\u03ff", "he": "\u0590-\u05ff",
+                    "hi": "\u0900-\u097f", "bn": "\u0980-\u09ff", "ta": "\u0b80-\u0bff", "te": "\u0c00-\u0c7f"}

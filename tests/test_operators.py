@@ -13,7 +13,7 @@ from lumenary.operators.languages import detected, profile
 from lumenary.operators.videos import transcripts
 from lumenary.plans.engine import Engine
 from lumenary.sources import readers, writers
-from lumenary.streaming.incremental import append_each
+from lumenary.streaming.incremental import append_analysed, append_each, stream_records
 
 AS_OF = "2026-04-01"
 PAGE = """<!doctype html><html><head><title>A page</title><meta name="author" content=" Ann Lee "><meta property="article:published_time" content="2024-05-06T07:08:09Z">
@@ -136,6 +136,35 @@ def test_languages(spark):
     assert got == {0: "de", 1: "en", 2: "unknown", 3: "unknown", 4: "unknown"}
 
 
+def test_languages_without_labels(spark):
+    from lumenary.operators.languages import detected_in
+
+    texts = {"en": "The results of the study were not what they had been", "de": "Die Ergebnisse der Studie sind nicht das, was wir wollten", "fr": "Les résultats de cette étude ne sont pas dans le rapport",
+             "es": "Los resultados del estudio no son los que se esperaban", "ja": "この研究の結果は予想とは異なるものでした。とても面白い", "zh-cn": "这项研究的结果与我们的预期完全不同，需要进一步分析讨论",
+             "ru": "Результаты исследования были не такими, как мы думали", "el": "Τα αποτελέσματα της μελέτης δεν ήταν αναμενόμενα"}
+    rows = [*texts.items(), ("unknown", "the and of"), ("unknown", "zzz " * 10), ("unknown", None), ("unknown", "12345 67890 12345 67890")]
+    got = spark.createDataFrame(rows, "want string, t string").select("want", detected_in(F.col("t")).alias("got")).collect()
+    assert [r["got"] for r in got] == [w for w, _ in rows]
+
+
+def test_records_have_language_and_semantic_tags(spark, tmp_path):
+    about = dict(R.TOPICS)["public health"]
+    page = f"<title>{about}</title><article><p>The results of the study were not what they had been</p></article>"
+    url = "https://blog.example/x"
+    row = Engine(spark, AS_OF, pages=spark.createDataFrame([(url, page)], "url string, html string")).run([url]).first()
+    assert row["language"] == "en"
+    text = f"{about} The results of the study were not what they had been"
+    frame = spark.createDataFrame([(text,)], "t string")
+    semantic, keyword = frame.select(topics.semantic_tags(F.col("t")), topics.keyword_tags(F.col("t"))).first()
+    assert semantic and row["topic_tags"] == list(dict.fromkeys([*semantic, *keyword]))[:5] != keyword[:5]
+    raw = spark.createDataFrame([(1, url, "blog", about, "", [], "", "", ["The results of the study were not what they had been"])],
+                                "doc_id long, url string, source_type string, title string, author string, authors array<string>, published_date string, description string, raw_text_sections array<string>")
+    raw.write.parquet(str(tmp_path / "in"))
+    append_analysed(stream_records(spark, str(tmp_path / "in"), raw.schema), str(tmp_path / "out"), str(tmp_path / "state"), AS_OF).awaitTermination()
+    streamed = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (streamed["language"], streamed["topic_tags"]) == ("en", row["topic_tags"])
+
+
 @pytest.fixture
 def engine(spark, tmp_path):
     pages = spark.createDataFrame([("https://blog.google/a", PAGE), ("https://pubmed.ncbi.nlm.nih.gov/12345678/", ARTICLE_PAGE)], "url string, html string")

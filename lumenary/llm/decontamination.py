@@ -130,12 +130,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs; a row with a null doc_id stays unless hit too."""
+    """The rows of ``docs`` in which no window of an item occurs. A row goes by its own doc_id and text, so clean rows with
+    a null doc_id, or with the doc_id of a contaminated one, stay."""
     from lumenary.llm.common import Scratch, small_side
 
-    found = contamination(docs, items, window).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
+    found = occurrences(docs.select("doc_id", "text"), items, window).filter(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
     found = Scratch(docs.sparkSession, "contaminated").keep(found)
-    return docs.join(small_side(found, found.count()), docs["doc_id"].eqNullSafe(found["hit_id"]), "left_anti")
+    same = docs["doc_id"].eqNullSafe(found["hit_id"]) & (F.xxhash64(docs["text"]) == found["hit_key"])
+    return docs.join(small_side(found, found.count()), same, "left_anti")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -111,6 +111,16 @@ def test_decontaminated_keeps_clean_rows(spark, docs):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in hard_cases() if r[0] not in bad)
 
 
+def test_decontaminated_judges_rows_that_share_an_id(spark, monkeypatch):
+    leak = "one two three four five six seven eight nine ten"
+    rows = [(None, f"it says {leak} here"), (None, "a clean text without an id"), (None, None), (7, leak), (7, "a clean text of the same id"), (8, "another")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, leak)], "item_id long, text string")
+    want = Counter(r for r in rows if leak not in (r[1] or ""))
+    assert Counter(map(tuple, decontamination.decontaminated(docs, bench).collect())) == want
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    assert Counter(map(tuple, decontamination.decontaminated(docs, bench).collect())) == want
+
+
 # 2
 
 

@@ -75,7 +75,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, train_docs: int = 4000) -> dict[str, np.ndarray]:
     """Unit prototypes from (text, lang) rows; null languages and texts teach nothing."""
     some = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = -(-train_docs * (1 << 20) // max(1, docs.count()))
+    share = -(-train_docs * (1 << 20) // max(1, some.count()))  # of the rows that can teach
     some = some.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < share)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -348,6 +348,12 @@ def test_bundles_do_not_depend_on_the_slice():
         assert np.allclose(whole[k], language.bundles([t])[0], atol=1e-3)
 
 
+def test_language_sample_is_a_share_of_labelled_rows(spark):
+    rows = [(i, "the and with water" if i % 200 else "der und mit wasser", (None if i % 100 else "de" if i % 200 == 0 else "en")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.fit(docs, train_docs=20)) == {"de", "en"}
+
+
 # 7
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes up to which a side that has been counted may be broadcast.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 48 << 20
+#: Rows of a file of a scratch table whose number of rows is known.
+FILE_ROWS = 500_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,14 +30,49 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a temporary one, which only a session on one machine has."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (spark.master is {master})")
         root = tempfile.mkdtemp(prefix="lumenary-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+class _While:
+    """Session settings that hold while any write of a scratch table is under way, however many there are at once."""
+
+    def __init__(self, **values: str):
+        self.values, self.lock, self.held = values, threading.Lock(), {}
+
+    @contextlib.contextmanager
+    def __call__(self, spark: SparkSession):
+        key = spark._jsparkSession.hashCode()
+        with self.lock:
+            n, before = self.held.get(key, (0, None))
+            if not n:
+                before = {k: spark.conf.get(k, None) for k in self.values}
+                for k, v in self.values.items():
+                    spark.conf.set(k, v)
+            self.held[key] = (n + 1, before)
+        try:
+            yield
+        finally:
+            with self.lock:
+                n, before = self.held.pop(key)
+                if n > 1:
+                    self.held[key] = (n - 1, before)
+                else:
+                    for k, v in before.items():
+                        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Batches of long texts stay small, and a write's shuffle files go with its end, as nothing reads them again.
+_writing = _While(**{ARROW_ROWS: "1024", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive lost executors.
 
@@ -43,26 +83,22 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, most: int | None = None) -> DataFrame:
+        """Writes ``df`` and reads it back. ``most``, a known bound of its rows, joins small partitions into files of about ``FILE_ROWS``."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        conf = self.spark.conf
-        rows = conf.get(ARROW_ROWS)
-        conf.set(ARROW_ROWS, str(min(int(rows), 1024) if int(rows) > 0 else 1024))  # so that batches of long texts stay small
-        try:
+        if most is not None:
+            df = df.coalesce(-(-max(1, most) // FILE_ROWS))  # never more partitions than there are
+        with _writing(self.spark):
             df.write.parquet(path)
-        finally:
-            conf.set(ARROW_ROWS, rows)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()  # on the driver, so that Spark removes the shuffle files that nothing refers to any more
 
 
 def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -21,18 +21,19 @@ def _star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """node, label (the smallest node that it reaches) of every node with a link; links are (a, b), either way round."""
-    now = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    n = links.count()
+    now = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), n)
     mark = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _star(large)
         nxt = scratch.keep(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-                           .filter("u <> v").distinct())
+                           .filter("u <> v").distinct(), n)
         scratch.drop(now)
         now, was = nxt, mark
         r = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        mark = (r["n"], r["x"])
+        n, mark = r["n"], (r["n"], r["x"])
         if mark == was:
             break
     else:

@@ -12,18 +12,18 @@ a set is indexed for its own class and the next.
 
 Signatures shared by several classes form blocks; of blocks with the same members one stays. Each member is first verified with its block's smallest
 member, and the links' components found; then only pairs of one block in different components are left
-to verify, so a group of near copies costs its size and not its square. Verification drops the pairs of which compact
-profiles show that they share too little, and compares the whole sets of the others.
+to verify. They are compared where the block's members meet, first by compact profiles, then by the whole sets of those that
+the profiles let link; what is told are links between components, so rows go with a block's members and not their square.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.batches import Words, mix, shingle_sets, slices
@@ -31,8 +31,9 @@ from lumenary.llm.common import Scratch, small_side, table
 from lumenary.llm.components import components
 
 BUCKETS = 1 << 16
-FEW, PART = 32, 1024  # members up to which a block's pairs are joined, and of a part of a larger block
+FEW, PART, PART_BYTES = 32, 1024, 8 << 20  # members up to which a block is one part, and of a part of a larger block; bytes of a part's sets
 EARLIER = 32
+WIDE = 50  # plain rows that one with a profile or a set counts for
 SEEN = 1 << 20  # copies that a task remembers, to index each only once; more are indexed again, which changes nothing
 
 
@@ -117,11 +118,12 @@ def shared_at_most(p: pa.Buffer, q: pa.Buffer, n: int) -> int:
     return int(np.minimum(a, b).sum())
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int, *more: str) -> Iterator[tuple]:
+    """The sets of each slice of texts, after the slice's values of the columns ``more``."""
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
+        cols = [batch.column(c).to_pylist() for c in more]
         for at, texts in slices(batch):
-            yield ids[at : at + len(texts)], list(shingle_sets(Words(texts), size))
+            yield *(c[at : at + len(texts)] for c in cols), list(shingle_sets(Words(texts), size))
 
 
 def _batch(names: str, *cols) -> pa.RecordBatch:
@@ -132,136 +134,208 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, num: int = 85, den: int =
     """doc_id, n_shingles and component_id (the smallest doc_id reached by links) of each row of ``docs``.
 
     Null, empty and wordless texts have an empty set and link with nothing, not even each other; rows with
-    equal sets link whatever their texts; repeated rows each get their row; a row without doc_id links by
-    its copies' id if they have one; an empty table gives an empty result; other columns are not read."""
-    sim = Similarity(num, den)
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    equal sets link whatever their texts and ids; repeated rows, and rows of one doc_id with different texts, each get
+    their row; a row without doc_id links as any other does, and its component_id is null only if no row it reaches
+    has a doc_id; an empty table gives an empty result; other columns are not read."""
+    return linked(docs, Similarity(num, den), shingle, Scratch(docs.sparkSession, "jaccard")).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, sim: Similarity, shingle: int, scratch: Scratch, prints: Callable[[np.ndarray], tuple[int, int]] = fingerprint) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, component (a number; null without words) and component_id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (kind 0) of doc_id, set size and fingerprints; then (kind 1) of bucket and count."""
+        """Rows (kind 0) of doc_id, text_key, set size and fingerprints; then (kind 1) of bucket and count."""
         counts, seen = np.zeros(BUCKETS, np.int64), set()
-        for ids, sets in _sets(batches, shingle):
-            prints = [fingerprint(s) for s in sets]
-            for s, p in zip(sets, prints, strict=True):
+        for ids, keys, sets in _sets(batches, shingle, "doc_id", "text_key"):
+            own = [prints(s) for s in sets]
+            for s, p in zip(sets, own, strict=True):
                 if p not in seen:
                     if len(seen) < SEEN:
                         seen.add(p)
                     counts += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-            yield _batch("kind doc_id n fp fp2", np.zeros(len(ids), np.int32), pa.array(ids, pa.int64()), np.array([len(s) for s in sets], np.int64),
-                         np.array([p[0] for p in prints], np.int64), np.array([p[1] for p in prints], np.int64))
+            yield _batch("kind doc_id text_key n fp fp2", np.zeros(len(ids), np.int32), pa.array(ids, pa.int64()), np.array(keys, np.int64), np.array([len(s) for s in sets], np.int64),
+                         np.array([p[0] for p in own], np.int64), np.array([p[1] for p in own], np.int64))
         some = np.flatnonzero(counts)
-        yield _batch("kind doc_id n fp fp2", np.ones(len(some), np.int32), some, counts[some], np.zeros(len(some), np.int64), np.zeros(len(some), np.int64))
+        none = np.zeros(len(some), np.int64)
+        yield _batch("kind doc_id text_key n fp fp2", np.ones(len(some), np.int32), some, none, counts[some], none, none)
 
-    described = scratch.keep(docs.mapInArrow(describe, "kind int, doc_id long, n long, fp long, fp2 long"))
+    described = scratch.keep(docs.mapInArrow(describe, "kind int, doc_id long, text_key long, n long, fp long, fp2 long"))
     rows = described.filter("kind = 0").drop("kind")
     counts = np.zeros(BUCKETS, np.int64)
     for r in described.filter("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         counts[r["doc_id"]] = r["n"]
     mean = counts.mean()
     frequent = float(mean + 8 * np.sqrt(mean) + 30)
-    classes = scratch.keep(rows.filter("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
+    # Of each class its smallest doc_id (null where none has one) and a text that goes with it.
+    classes = rows.filter("n > 0").groupBy("fp", "fp2", "n").agg(
+        F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("rep_text"))
+    classes = scratch.keep(classes, rows.count())
+    # Classes go by fp; those few that share theirs with another class by fp2.
+    twins = {r["fp"] for r in classes.groupBy("fp").count().filter("count > 1").select("fp").collect()}
+
+    def key(s: np.ndarray) -> int:
+        p = prints(s)
+        return p[1] if p[0] in twins else p[0]
+
+    node = F.when(F.col("fp").isin(list(twins)), F.col("fp2")).otherwise(F.col("fp")) if twins else F.col("fp")
+    classes = classes.withColumn("node", node)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures of each set, and a row with its profile, whose sig is null."""
         seen = set()
-        for _, sets in _sets(batches, shingle):
+        for (sets,) in _sets(batches, shingle):
             out: list[list] = [[], [], [], []]
+            told: list[tuple] = []
             for s in sets:
-                p = fingerprint(s) if len(s) >= sim.least else None
+                p = key(s) if len(s) >= sim.least else None
                 if p is None or p in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(p)
                 sigs, places = signatures(s, counts, frequent, sim)
-                for col, v in zip(out, (sigs.view(np.int64), np.full(len(sigs), p[0], np.int64), np.full(len(sigs), len(s), np.int32), places), strict=True):
+                for col, v in zip(out, (sigs.view(np.int64), np.full(len(sigs), p, np.int64), np.full(len(sigs), len(s), np.int32), places), strict=True):
                     col.append(v)
-            if out[0]:
-                yield _batch("sig fp n place", *[np.concatenate(c) for c in out])
-
-    indexed = scratch.keep(docs.mapInArrow(index, "sig long, fp long, n int, place int"))
-    blocks = (indexed.groupBy("sig").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"))
-              .filter("pivot <> last").select(F.col("sig").alias("block"), "pivot"))
-    member = indexed.join(blocks, F.col("sig") == F.col("block")).groupBy("sig", "fp", "pivot").agg(F.min("n").alias("n"), F.min("place").alias("place"))
-    member = scratch.keep(member)
-    scratch.drop(indexed)
+                told.append((p, len(s), profile(s)))
+            if told:
+                n = sum(map(len, out[0]))
+                sig, fp, size, place = (np.concatenate(c) for c in out)
+                yield _batch("sig fp n place profile", sig, fp, size, place, pa.nulls(n, pa.binary()))
+                yield _batch("sig fp n place profile", pa.nulls(len(told), pa.int64()), pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.int32()),
+                             np.zeros(len(told), np.int32), pa.array([t[2] for t in told], pa.binary()))
+
+    indexed = scratch.keep(docs.select("text").mapInArrow(index, "sig long, fp long, n int, place int, profile binary"))
+    signed = indexed.filter("sig is not null").drop("profile")
+    blocks = signed.groupBy("sig").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).filter("pivot <> last").select(F.col("sig").alias("block"), "pivot")
+    member = signed.join(blocks.hint("shuffle_hash"), F.col("sig") == F.col("block")).groupBy("sig", "fp", "pivot").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+    member = scratch.keep(member, indexed.count())
+    members = member.count()
     # Blocks with the same members say the same; one of them stays, with each member's smallest place.
     alike = member.groupBy("sig").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.count("*").alias("members"))
     alike = alike.select(F.col("sig").alias("block"), F.xxhash64("x", "y", "members").alias("group"))
-    every, member = member, scratch.keep(member.join(alike, F.col("sig") == F.col("block")).groupBy("group", "fp", "pivot").agg(
-        F.min("n").alias("n"), F.min("place").alias("place")).withColumnRenamed("group", "sig"))
+    every, member = member, scratch.keep(member.join(alike.hint("shuffle_hash"), F.col("sig") == F.col("block")).groupBy("group", "fp", "pivot").agg(
+        F.min("n").alias("n"), F.min("place").alias("place")).withColumnRenamed("group", "sig"), members)
     scratch.drop(every)
+    members = member.count()
 
-    def may_link(n, place, m, place2):
-        lo, hi = F.least(n, m), F.greatest(n, m)
-        most = 1 + F.least(n - place, m - place2) - 1  # as if all behind the shared one were shared
-        return (den * lo >= num * hi) & ((num + den) * most.cast("long") >= num * (n + m).cast("long"))
-
-    rep = classes.select(F.col("fp").alias("key"), "rep", F.col("n").alias("size"))
+    # Each member with its block's pivot. Only one task's copy of a class's profile is needed.
+    size = classes.select(F.col("node").alias("p"), F.col("n").alias("size"))
     first = member.filter(F.col("fp") != F.col("pivot")).select("fp", "pivot", "n").distinct()
-    first = (first.join(rep, F.col("fp") == F.col("key")).select(F.col("rep").alias("a"), "pivot", "n")
-             .join(rep, F.col("pivot") == F.col("key")).filter(may_link(F.col("n"), F.lit(0), F.col("size"), F.lit(0)))
-             .select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).filter("a <> b").distinct())
-    first = scratch.keep(first)
-    reps = member.select("fp").distinct().join(rep, F.col("fp") == F.col("key")).select(F.col("rep").alias("id")).distinct()
-    profiles = described_sets(docs, reps, shingle, scratch, "n", "profile")
-    links = verified(docs, first, profiles, shingle, sim, scratch)
-    labels = scratch.keep(components(links, scratch))
+    first = (first.join(size, F.col("pivot") == F.col("p")).filter(may_link(sim, F.col("n"), F.lit(0), F.col("size"), F.lit(0)))
+             .select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct())
+    first = scratch.keep(first, members)
+    inside = member.select(F.col("fp").alias("id")).distinct()
+    profiles = indexed.filter("sig is null").select("fp", F.col("n").cast("long").alias("n"), "profile").join(inside, F.col("fp") == F.col("id"), "left_semi")
+    profiles = scratch.keep(profiles.groupBy("fp").agg(F.first("n").alias("n"), F.first("profile").alias("profile")), classes.count())
+    scratch.drop(indexed)
+    texts = classes.select("node", "rep", "rep_text")
+    near = scratch.keep(profiled(first, profiles, sim), WIDE * first.count())
+    sets = scratch.keep(described_sets(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), texts, key, shingle, scratch))
+    links = scratch.keep(compared(near, sets, sim), WIDE * near.count())
+    scratch.drop(first, near, sets)
+    labels = scratch.keep(components(links, scratch), 2 * links.count())
 
     # What is left: pairs of a block whose components differ.
-    named = member.join(rep.drop("size"), F.col("fp") == F.col("key")).select("sig", "n", "place", "rep")
-    named = named.join(labels.withColumnRenamed("label", "l"), F.col("rep") == F.col("node"), "left").select("sig", "n", "place", "rep", F.coalesce("l", "rep").alias("label"))
-    named = scratch.keep(named)
+    named = member.select("sig", "fp", "n", "place").join(labels, F.col("fp") == F.col("node"), "left").select("sig", "fp", "n", "place", F.coalesce("label", "fp").alias("label"))
+    named = scratch.keep(named, members)
     scratch.drop(member)
-    open_blocks = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select(F.col("sig").alias("block"), "members")
-    left = scratch.keep(named.join(open_blocks, F.col("sig") == F.col("block")).drop("block"))
-    scratch.drop(named)
-    few = left.filter(F.col("members") <= FEW)
+    more = meetings(named, profiles, docs, texts, key, shingle, sim, scratch, members)
+    scratch.drop(named, profiles)
+    links = links.unionByName(more)
+    labels = scratch.keep(components(links, scratch), 2 * links.count())
+
+    n = labels.count()
+    reps = classes.select(F.col("node").alias("of"), "rep")
+    least = small_side(labels, n).join(reps, F.col("node") == F.col("of")).groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = labels.join(small_side(least.withColumnRenamed("label", "l"), n), F.col("label") == F.col("l")).select(F.col("node").alias("of"), "label", "component_id")
+    named = small_side(scratch.keep(named, n), n)
+    classes = classes.join(named, F.col("node") == F.col("of"), "left").select(
+        F.col("fp").alias("f"), F.col("fp2").alias("f2"), F.col("n").alias("m"), F.coalesce("label", "node").alias("component"),
+        F.when(F.col("label").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
+    known = rows.filter("n > 0").join(classes, (F.col("fp") == F.col("f")) & (F.col("fp2") == F.col("f2")) & (F.col("n") == F.col("m")))
+    out = known.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component", "component_id")
+    return out.unionByName(rows.filter("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+
+
+def may_link(sim: Similarity, n: Column, place: Column, m: Column, place2: Column) -> Column:
+    """Whether sets of n and m items can link whose first shared item stands at these places: as if all behind it were shared."""
+    most = F.least(n - place, m - place2).cast("long")
+    return (sim.den * F.least(n, m) >= sim.num * F.greatest(n, m)) & ((sim.num + sim.den) * most >= sim.num * (n + m).cast("long"))
+
+
+def meetings(named: DataFrame, profiles: DataFrame, docs: DataFrame, texts: DataFrame, key, shingle: int, sim: Similarity, scratch: Scratch, members: int) -> DataFrame:
+    """Links (a, b) that join the components which the members of a block have between them.
+
+    Members come together by block, twice: with their profiles, after which those stay that some other member's
+    profile lets link; then with their whole sets. Rows are members, never pairs: a block's pairs live inside a worker,
+    which compares no two that its links connect already and tells no more links than it has members. A block
+    of more than FEW members is dealt by hash into parts of about PART members and PART_BYTES of sets, and each two parts meet in
+    one place, so no place gets more rows the larger a block is. Each member brings the first EARLIER of its
+    blocks, and a pair that meets in one of them too is left to that."""
+    open_blocks = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.sum("n").alias("items")).filter("lo <> hi")
+    left = scratch.keep(named.join(open_blocks.select(F.col("sig").alias("block"), "members", "items").hint("shuffle_hash"), F.col("sig") == F.col("block")).drop("block"), members)
+    few, large = left.filter(F.col("members") <= FEW), left.filter(F.col("members") > FEW)
     x, y = few.alias("x"), few.alias("y")
-    both = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
-                  & may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    pairs = both.distinct().unionByName(large_block_pairs(left.filter(F.col("members") > FEW), profiles, sim)).distinct()
-    second = scratch.keep(pairs.join(first, ["a", "b"], "left_anti"))
+    some = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.label") != F.col("y.label"))
+                  & may_link(sim, F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")), "left_semi")
+    parts = F.ceil(F.greatest(F.col("members") / PART, F.col("items") * 8 / PART_BYTES)).cast("int")
+    some = scratch.keep(some.select("sig", "fp", "n", "label", F.lit(1).alias("parts")).unionByName(large.select("sig", "fp", "n", "label", parts.alias("parts"))), members)
     scratch.drop(left)
-    more = verified(docs, second, profiles, shingle, sim, scratch)
-    labels = scratch.keep(components(links.unionByName(more), scratch))
-    scratch.drop(profiles)
-
-    known = rows.filter("n > 0").join(classes.withColumnsRenamed({"fp": "f", "fp2": "f2", "n": "m"}), (F.col("fp") == F.col("f")) & (F.col("fp2") == F.col("f2")) & (F.col("n") == F.col("m")), "left")
-    known = known.select("doc_id", "n", "rep").join(labels, F.col("rep") == F.col("node"), "left")
-    out = known.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
-    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-
-
-def large_block_pairs(large: DataFrame, profiles: DataFrame, sim: Similarity) -> DataFrame:
-    """The (a, b) of large blocks that differ in label and that their profiles let link.
-
-    A block is dealt by hash into parts of about PART members, and each two parts meet in one place, so no place gets
-    more rows the larger a block is; pairs live inside a worker and only those that the profiles pass come out. Each
-    member brings the first EARLIER of its blocks, and a pair that meets in one of them too is left to that."""
-    first = large.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, EARLIER).alias("earlier")).withColumnRenamed("rep", "r")
-    more = profiles.select(F.col("id").alias("profiled"), "profile").join(first, F.col("profiled") == F.col("r")).drop("r")
-    parts = F.ceil(F.col("members") / PART).cast("int")
-    dealt = large.join(more, F.col("rep") == F.col("profiled")).withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "label", "n", "earlier", "profile")
-    met = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+    first = some.groupBy("fp").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, EARLIER).alias("earlier")).withColumnRenamed("fp", "r")  # no longer than the member's own signatures
+    brought = profiles.select(F.col("fp").alias("profiled"), "profile").join(first, F.col("profiled") == F.col("r")).drop("r")
+    dealt = some.join(brought, F.col("fp") == F.col("profiled")).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp", "label", "n", "earlier", "profile")
+
+    def stay(rows: pa.Table) -> pa.RecordBatch:
+        keep = np.zeros(len(rows), bool)
+        for k, rest in candidates(rows, sim, [x.as_buffer() for x in rows.column("profile")]):
+            keep[k] = True
+            keep[rest] = True
+        return rows.drop_columns(["profile"]).filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches() if keep.any() else []
+
+    kinds = "sig long, i int, j int, part int, fp long, label long, n int, earlier array<long>"
+    stayed = scratch.keep(met(dealt, stay, kinds), WIDE * some.count())
+    sets = described_sets(docs, stayed.select(F.col("fp").alias("id")).distinct(), texts, key, shingle, scratch)
+    whole = stayed.join(sets, F.col("fp") == F.col("id")).drop("id")
+
+    def join(rows: pa.Table) -> list[pa.RecordBatch]:
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("items")]
+        fp, label = rows.column("fp").to_numpy(), rows.column("label").to_numpy()
+        _, root = np.unique(label, return_inverse=True)
+        out: list[tuple[int, int]] = []
+        for k, rest in candidates(rows, sim, [profile(s) for s in items]):
+            for m in rest[root[rest] != root[k]].tolist():
+                if root[m] != root[k] and sim.links(len(items[k]), len(items[m]), len(np.intersect1d(items[k], items[m], assume_unique=True))):
+                    root[root == root[m]] = root[k]
+                    out.append((fp[k], fp[m]))
+        return [_batch("a b", np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64))] if out else []
+
+    links = scratch.keep(met(whole, join, "a long, b long").distinct(), stayed.count())
+    scratch.drop(some, stayed)
+    return links
+
+
+def met(dealt: DataFrame, meet, kinds: str) -> DataFrame:
+    """What ``meet`` makes of the rows of each place (sig, i, j)."""
+    together = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at_key = [], None
         for batch in batches:
             keys = np.column_stack([batch.column(c).to_numpy() for c in ("sig", "i", "j")])
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for at, to in zip(cuts[:-1], cuts[1:], strict=True):
                 if to > at:
-                    if held and key != tuple(keys[at]):
-                        yield passing(held, sim)
+                    if held and at_key != tuple(keys[at]):
+                        yield from meet(pa.Table.from_batches(held))
                         held = []
-                    key = tuple(keys[at])
+                    at_key = tuple(keys[at])
                     held.append(batch.slice(at, to - at))
         if held:
-            yield passing(held, sim)
+            yield from meet(pa.Table.from_batches(held))
 
-    return met.mapInArrow(meet, "a long, b long")
+    return together.mapInArrow(by_place, kinds)
 
 
 def met_before(earlier: list[np.ndarray], chunk: int = 512) -> np.ndarray:
@@ -279,90 +353,103 @@ def met_before(earlier: list[np.ndarray], chunk: int = 512) -> np.ndarray:
     return out
 
 
-def passing(held: list[pa.RecordBatch], sim: Similarity) -> pa.RecordBatch:
-    """The pairs of one meeting of two parts (or of one with itself)."""
-    rows = pa.Table.from_batches(held)
-    part, rep, label, n = (rows.column(c).to_numpy() for c in ("part", "rep", "label", "n"))
+def candidates(rows: pa.Table, sim: Similarity, profiles: list) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, later rows) of one meeting of two parts (or of one with itself): pairs that differ in label, meet nowhere earlier and have profiles that let them link."""
+    part, label, n = (rows.column(c).to_numpy() for c in ("part", "label", "n"))
     n = n.astype(np.int64)
     here = rows.column("sig")[0].as_py()
+    across = rows.column("i")[0] != rows.column("j")[0]
     before = met_before([e[e < here] for e in (x.values.to_numpy() for x in rows.column("earlier"))])
-    raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("profile")]
+    raw = [np.frombuffer(x, np.uint8) for x in profiles]
     size = min([len(x) for x in raw if len(x)], default=1)
     # A profile that is missing lets everything pass.
     matrix = np.array([x.reshape(size, -1).sum(axis=1, dtype=np.int32) if len(x) else np.full(size, 1 << 30, np.int32) for x in raw])
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(len(rep) - 1):
+    for k in range(len(n) - 1):
         rest = np.flatnonzero(~before[k, k + 1 :]) + k + 1
-        if part.min() != part.max():
+        if across:
             rest = rest[part[rest] != part[k]]
         rest = rest[(label[rest] != label[k]) & (sim.den * np.minimum(n[rest], n[k]) >= sim.num * np.maximum(n[rest], n[k]))]
         if len(rest):
             both = np.minimum(np.minimum(matrix[rest], matrix[k]).sum(axis=1, dtype=np.int64), np.minimum(n[rest], n[k]))
             rest = rest[sim.den * both >= sim.num * (n[rest] + n[k] - both)]
-            out_a.append(np.minimum(rep[rest], rep[k]))
-            out_b.append(np.maximum(rep[rest], rep[k]))
-    return _batch("a b", np.concatenate(out_a), np.concatenate(out_b))
+            if len(rest):
+                yield k, rest
 
 
-def described_sets(docs: DataFrame, ids: DataFrame, shingle: int, scratch: Scratch, *columns: str) -> DataFrame:
-    """id and the asked-for of n, profile and items (the whole set) of the documents with these ids, one row an id."""
-    ids = scratch.keep(ids)
-    some = docs.join(small_side(ids, ids.count()), docs["doc_id"] == ids["id"], "left_semi")
-    kinds = {"n": ("long", pa.int64(), len), "profile": ("binary", pa.binary(), profile), "items": ("binary", pa.binary(), lambda s: s.tobytes())}
+def described_sets(docs: DataFrame, ids: DataFrame, texts: DataFrame, key, shingle: int, scratch: Scratch) -> DataFrame:
+    """id and items (the whole set) of the classes ``ids``, one row each."""
+    n = ids.count()
+    ids = scratch.keep(ids.join(texts, F.col("id") == F.col("node")).select("id", "rep", "rep_text"), n)
+    some = docs.join(small_side(ids, n), docs["doc_id"].eqNullSafe(ids["rep"]) & (docs["text_key"] == ids["rep_text"]), "left_semi").select("text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sets in _sets(batches, shingle):
-            yield _batch(" ".join(("id", *columns)), pa.array(keys, pa.int64()), *[pa.array([kinds[c][2](s) for s in sets], kinds[c][1]) for c in columns])
+        seen = set()
+        for (sets,) in _sets(batches, shingle):
+            found = {key(s): s for s in sets}
+            found = {p: s for p, s in found.items() if p not in seen}
+            if len(seen) < SEEN:
+                seen.update(found)
+            yield _batch("id items", pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary()))
+
+    return some.mapInArrow(describe, "id long, items binary").groupBy("id").agg(F.first("items").alias("items"))
 
-    out = scratch.keep(some.mapInArrow(describe, "id long, " + ", ".join(f"{c} {kinds[c][0]}" for c in columns)))
-    if out.groupBy("id").count().filter("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["id"])  # of rows that repeat
 
+def beside(pairs: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
+    """(a, b) with both sides' columns; ``known`` goes by its first column."""
+    out = pairs
+    for side in ("a", "b"):
+        out = out.join(known.select(F.col(known.columns[0]).alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in cols]), F.col(side) == F.col(f"id_{side}")).drop(f"id_{side}")
+    return out
 
-def verified(docs: DataFrame, pairs: DataFrame, profiles: DataFrame, shingle: int, sim: Similarity, scratch: Scratch) -> DataFrame:
-    """The (a, b) of ``pairs`` that link: those that their profiles let link, by their whole sets."""
 
-    def beside(rows: DataFrame, known: DataFrame, *cols: str) -> DataFrame:
-        out = rows
-        for side in ("a", "b"):
-            out = out.join(known.select(F.col("id").alias(f"id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in cols]), F.col(side) == F.col(f"id_{side}")).drop(f"id_{side}")
-        return out
+def profiled(pairs: DataFrame, profiles: DataFrame, sim: Similarity) -> DataFrame:
+    """The (a, b) that their profiles let link."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Drops pairs of which the profiles show that they share too little."""
         for batch in batches:
             keep = [sim.links(n, m, shared_at_most(p.as_buffer(), q.as_buffer(), min(n, m))) for n, m, p, q in zip(
                 batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("profile_a"), batch.column("profile_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = scratch.keep(beside(pairs, profiles, "n", "profile").mapInArrow(possible, "a long, b long"))
-    sets = described_sets(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle, scratch, "items")
-    wide = beside(near, sets, "items")
+    return beside(pairs, profiles, "n", "profile").mapInArrow(possible, "a long, b long")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """The (a, b) that link by their whole sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for sa, sb in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
                 p, q = np.frombuffer(sa.as_buffer(), np.uint64), np.frombuffer(sb.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(sim.links(len(p), len(q), both))
+                keep.append(sim.links(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return scratch.keep(wide.mapInArrow(compare, "a long, b long"))
+    return beside(pairs, sets, "items").mapInArrow(compare, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one of each component stays, that of the smallest
-    doc_id (of repeated rows one); rows without doc_id or without words all stay."""
+    """The rows of ``docs``, with all their columns, of which one of each component stays: that of the smallest doc_id (rows
+    without doc_id come last; of several with that doc_id, the text of the smallest hash; of repeated rows one). Rows without
+    words, whose texts may be null, link with nothing and all stay."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
-    found = scratch.keep(near_duplicates(docs, shingle, num, den))
-    gone = scratch.keep(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    kept = docs.join(small_side(gone, gone.count()), docs["doc_id"] == gone["gone_id"], "left_anti")
-    again = found.filter("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1")
+    found = scratch.keep(linked(docs, Similarity(num, den), shingle, scratch).filter("component is not null").select("component", "doc_id", "text_key"))
+    # The smallest doc_id, then the smallest text key that goes with it: plain minima, which are partly taken before the shuffle.
+    least = found.groupBy("component").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("component", "c")
+    several = scratch.keep(found.join(least, F.col("component") == F.col("c")).drop("c"))
+    rows = several.count()
+    chosen = several.filter(F.col("doc_id").eqNullSafe(F.col("least_id"))).groupBy("component").agg(F.min("text_key").alias("least_key")).withColumnRenamed("component", "c")
+    chosen = several.join(chosen, F.col("component") == F.col("c")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("least_key")))
+    marks = scratch.keep(chosen.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).filter("n > 1 or not stays")
+                         .select(F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), "stays"), rows)
+    n = marks.count()
+    marked = docs["doc_id"].cast("long").eqNullSafe(marks["marked_id"]) & (F.xxhash64(docs["text"]) == marks["marked_key"])
+    kept = docs.join(small_side(marks, n), marked, "left_anti")
+    again = marks.filter("stays").select("marked_id", "marked_key")  # rows that stay, but once
     if again.isEmpty():
         return kept
-    return kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    once = docs.withColumn("__key", F.xxhash64("text")).join(small_side(again, n), F.col("doc_id").cast("long").eqNullSafe(F.col("marked_id")) & (F.col("__key") == F.col("marked_key")), "left_semi")
+    return kept.unionByName(once.dropDuplicates(["doc_id", "__key"]).drop("__key"))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,22 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
-The field's nodes are the tokens of a text that hold a digit or an @; every other token is outside any
+The field's nodes are the tokens of a text that hold a digit, an @ or an "(at)"; every other token is outside any
 entity for certain, so leaving it out changes nothing. Neighbouring nodes are linked as in a linear chain.
 Tokens with the same digits, or the same name before an @, share a hub however far apart they stand (a
 star instead of all pairs, so a token repeated n times costs n). Sum-product messages run over chain and
-hubs for a fixed number of rounds. Tokens inside a pattern match are held at its kind. Node weights and
-the potentials of chain and hubs are learned from a bounded sample of documents, in which the pattern
-matches are the labels.
+hubs for a fixed number of rounds. Tokens inside a pattern match are held at its kind.
+
+All weights are fitted together, by the gradient of the likelihood under loopy messages (what is seen less what
+the field expects, for nodes, chain links and hub links). The patterns find by construction all that they can
+label, so the field learns from what is kept from them: of the matches in a bounded sample of documents a share is not held,
+others are spelled in ways that no pattern reads (a card in dots, a phone without its country code, an address with
+"(at)") or repeated side by side or further on; numbers that are no personal data, made or from the documents, are outside.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -21,18 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import table
+from lumenary.llm.common import Scratch, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: outside
-ANY = re.compile(r"[0-9@]")
+ANY = re.compile(r"[0-9@]|\(at\)")
 #: The patterns of ip, card and phone; that of email is walked from each @, see ``emails``.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-TOKEN = re.compile(r"(?<![A-Za-z0-9._%+@()-])(?=[A-Za-z._%+()-]*+[0-9@])[A-Za-z0-9._%+@()-]++")
+TOKEN = re.compile(r"(?<![A-Za-z0-9._%+@()-])(?=[A-Za-z._%+()-]*+[0-9@]|[A-Za-z._%+-]++\(at\)[A-Za-z])[A-Za-z0-9._%+@()-]++")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 Span = tuple[int, int]
 
@@ -74,7 +79,9 @@ def _bucket(n: int) -> int:
     return int(np.searchsorted((1, 4, 7, 9, 13, 20), n, "right"))
 
 
-FEATURES = 27
+FEATURES = 34
+AT = re.compile(r"[A-Za-z0-9]\(at\)[A-Za-z0-9]", re.I)
+ENDS = re.compile(r"[A-Za-z0-9-]\.[A-Za-z]{2,}\W*$")
 
 
 class Nodes:
@@ -104,6 +111,7 @@ class Nodes:
                        "(" in tok or ")" in tok, "-" in tok, 13 <= len(d) <= 19 and luhn(d))
             parts = tok.strip(".()-").split(".")
             f[14] = len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
+            f[26:33] = (13 <= len(d) <= 19, AT.search(tok) is not None, ENDS.search(tok) is not None, len(parts) == 4, len(parts) == 3 and len(d) == 10, len(set(parts)) > 1, tok.isalnum() and not tok.isdigit())
         first = 0
         for k in range(n):  # what a run of linked nodes says as a whole
             if not self.linked[k]:
@@ -112,7 +120,7 @@ class Nodes:
                 rows[:, 15 + _bucket(len(run))] = 1
                 rows[:, 22:26] = (text[self.spans[first][0]] == "+", 13 <= len(run) <= 19 and luhn(run), k > first, 9 <= len(run) <= 15)
                 first = k + 1
-        self.x[:, 26] = 1
+        self.x[:, 33] = 1
         starts, ends = np.array([a for a, _ in self.spans]), np.array([b for _, b in self.spans])
         for kind, spans in enumerate(base, 1):
             for a, b in spans:  # nodes stand in order and apart, so those that a span touches are a run
@@ -125,42 +133,59 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+class Graph:
+    """The nodes of one or more texts as arrays: features, held labels (0: free), links along the chain and hubs."""
+
+    def __init__(self, x: np.ndarray, held: np.ndarray, linked: np.ndarray, hub: np.ndarray, hubs: int):
+        self.x, self.held, self.hubs = x, held, hubs
+        self.left = np.flatnonzero(linked[:-1]) if len(linked) else np.zeros(0, np.int64)
+        self.member = np.flatnonzero(hub >= 0)
+        self.hub = hub[self.member]
+
+
 class Field:
+    """Weights of the nodes' features, of chain links (left label, right label) and of hub links (member's label, hub's label)."""
+
     def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.weights, self.chain, self.skip = weights, chain, skip
 
-    def marginals(self, nodes: Nodes, rounds: int = 8, hold: float = 25.0) -> np.ndarray:
-        """P(label) of each node, by ``rounds`` rounds of messages."""
-        u = nodes.x @ self.weights
+    def beliefs(self, g: Graph, rounds: int = 8, hold: float = 25.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log P of each node's label, of each chain link's labels and of each hub link's, by ``rounds`` rounds of messages."""
+        u = g.x @ self.weights
         u = u - _lse(u, 1)[:, None]
-        known = np.flatnonzero(nodes.held)
-        u[known, nodes.held[known]] += hold
-        a = np.flatnonzero(nodes.linked)
+        known = np.flatnonzero(g.held)
+        u[known, g.held[known]] += hold
+        a = g.left
         right, left = np.zeros((2, len(a), LABELS))  # to a + 1, to a
-        member = np.flatnonzero(nodes.hub >= 0)
-        hub = nodes.hub[member]
-        back = np.zeros((len(member), LABELS))  # from the hub
+        back = np.zeros((len(g.member), LABELS))  # from the hub
 
         def belief() -> np.ndarray:
             b = u.copy()
-            np.add.at(b, a + 1, right)
-            np.add.at(b, a, left)
-            b[member] += back
+            b[a + 1] += right  # a node has one link on either side
+            b[a] += left
+            b[g.member] += back
             return b
 
+        total = up = np.zeros((0, LABELS))
         for _ in range(rounds):
             b = belief()
             new_right = _lse((b[a] - left)[:, :, None] + self.chain[None], 1)
             new_left = _lse((b[a + 1] - right)[:, None, :] + self.chain[None], 2)
-            up = _lse((b[member] - back)[:, :, None] + self.skip[None], 1)
+            up = _lse((b[g.member] - back)[:, :, None] + self.skip[None], 1)
             up -= up.max(axis=1, keepdims=True)
-            total = np.zeros((nodes.hubs, LABELS))
-            np.add.at(total, hub, up)
-            back = _lse((total[hub] - up)[:, :, None] + self.skip[None], 1)
+            total = np.column_stack([np.bincount(g.hub, up[:, k], g.hubs) for k in range(LABELS)]) if len(up) else np.zeros((g.hubs, LABELS))
+            back = _lse((total[g.hub] - up)[:, None, :] + self.skip[None], 2)
             right, left = new_right - new_right.max(axis=1, keepdims=True), new_left - new_left.max(axis=1, keepdims=True)
             back -= back.max(axis=1, keepdims=True)
         b = belief()
-        return np.exp(b - _lse(b, 1)[:, None])
+        pair = (b[a] - left)[:, :, None] + self.chain[None] + (b[a + 1] - right)[:, None, :]
+        hub = (b[g.member] - back)[:, :, None] + self.skip[None] + (total[g.hub] - up)[:, None, :]
+        even = lambda z: z - _lse(z.reshape(len(z), LABELS * LABELS), 1)[:, None, None]
+        return b - _lse(b, 1)[:, None], even(pair), even(hub)
+
+    def marginals(self, nodes: Nodes, rounds: int = 8) -> np.ndarray:
+        """P(label) of each node."""
+        return np.exp(self.beliefs(Graph(nodes.x, nodes.held, nodes.linked, nodes.hub, nodes.hubs), rounds)[0])
 
 
 def added_spans(nodes: Nodes, p: np.ndarray, base: list[list[Span]], least: float = 0.5) -> list[tuple[int, Span]]:
@@ -171,7 +196,7 @@ def added_spans(nodes: Nodes, p: np.ndarray, base: list[list[Span]], least: floa
     out, k = [], 0
     while k < len(label):
         end = k
-        while nodes.linked[end] and label[end + 1] == label[k]:
+        while nodes.linked[end] and label[end + 1] == label[k] and (nodes.hub[end] < 0 or nodes.hub[end + 1] != nodes.hub[end]):  # one number twice is two spans
             end += 1
         if label[k] and not nodes.held[k : end + 1].any():
             a, b = nodes.spans[k][0], nodes.spans[end][1]
@@ -182,59 +207,153 @@ def added_spans(nodes: Nodes, p: np.ndarray, base: list[list[Span]], least: floa
     return out
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, shared: np.ndarray, steps: int = 400) -> Field:
-    """Node weights by softmax regression; potentials from the label pairs of chain links and of hub neighbours."""
-    w = np.zeros((FEATURES, LABELS))
-    w[FEATURES - 1, 0] = 3.0
-    if len(y):
-        m, v, target = np.zeros_like(w), np.zeros_like(w), np.eye(LABELS)[y]
-        for t in range(1, steps + 1):
-            z = x @ w
-            g = x.T @ (np.exp(z - _lse(z, 1)[:, None]) - target) / len(y) + 1e-4 * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    n = np.full((LABELS, LABELS), 0.5)
-    np.add.at(n, (pairs[:, 0], pairs[:, 1]), 1)
-    chain = np.clip(np.log(n * n.sum() / (n.sum(1, keepdims=True) * n.sum(0, keepdims=True))), -2, 2)
-    same = (shared[:, 0] == shared[:, 1]).sum() if len(shared) else 0
-    skip = np.eye(LABELS) * np.clip(np.log((same + 1) / (len(shared) - same + 1)), 1.0, 4.0)
-    return Field(w, chain, skip)
-
-
-def fit(docs: DataFrame, sample_docs: int = 5000, most_nodes: int = 50_000) -> Field:
-    """Fits on the nodes of about ``sample_docs`` documents, taken by a hash of their ids; at most ``most_nodes`` of them."""
+def fit_arrays(g: Graph, truth: np.ndarray, steps: int = 150, rounds: int = 4, rate: float = 0.15, penalty: float = 2e-4) -> Field:
+    """Weights by the gradient of the log-likelihood of ``truth``, with the graph's held labels given."""
+    field = Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.eye(LABELS))
+    field.weights[FEATURES - 1, 0] = 3.0
+    if not len(truth):
+        return field
+    theta = [field.weights, field.chain, field.skip]
+    m, v = ([np.zeros_like(t) for t in theta] for _ in range(2))
+    pairs = np.zeros((LABELS, LABELS))
+    np.add.at(pairs, (truth[g.left], truth[g.left + 1]), 1)
+    seen_x, mine = g.x.T @ np.eye(LABELS)[truth], truth[g.member]
+    for t in range(1, steps + 1):
+        node, pair, hub = (np.exp(z) for z in field.beliefs(g, rounds))
+        # A hub's own label is not seen: what is expected of it given its members' labels takes the place of what is seen.
+        of = np.column_stack([np.bincount(g.hub, field.skip[mine, k], g.hubs) for k in range(LABELS)])
+        of = np.exp(of - _lse(of, 1)[:, None])[g.hub]
+        shared = np.zeros((LABELS, LABELS))
+        np.add.at(shared, mine, of)
+        slopes = [g.x.T @ node - seen_x, pair.sum(0) - pairs, hub.sum(0) - shared]
+        for k in range(3):
+            d = slopes[k] / len(truth) + penalty * theta[k]
+            m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d * d
+            theta[k] -= rate / (1 + t / 60) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)  # in place: the field's own
+    return field
+
+
+def respelled(kind: int, value: str, rng: random.Random) -> str | None:
+    """``value`` as no pattern reads it, or None."""
+    d = NOT_DIGIT.sub("", value)
+    if kind == 0 and value.count("@") == 1:
+        return value.replace("@", "(at)")
+    if kind == 2:
+        groups = [d[k : k + 4] for k in range(0, len(d), 4)]
+        return rng.choice([".".join(groups), "--".join(groups), f"{d} {d}", f"{d} {d} {d}"])
+    if kind == 3 and len(d) > 10:
+        d = d[-10:]
+        return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"({d[:3]}){d[3:6]}-{d[6:]}"])
+    return None
+
+
+def example(text: str, rng: random.Random) -> tuple[str, list[tuple[int, Span]]]:
+    """``text`` with some of the matches spelled otherwise, or mentioned once more at the end, and all that is personal data in it."""
+    found = sorted((s, k) for k, spans in enumerate(base_spans(text)) for s in spans)
+    out, at, truth = "", 0, []
+
+    def put(kind: int, value: str) -> None:
+        nonlocal out
+        first = len(out)
+        out += value
+        truth.append((kind, (first, len(out))))
+
+    again = []
+    for (a, b), kind in found:
+        if a < at:
+            continue
+        out += text[at:a]
+        value = text[a:b]
+        other = respelled(kind, value, rng) if rng.random() < 0.6 else None
+        put(kind, other or value)
+        if rng.random() < 0.4:
+            again.append((kind, value if other else respelled(kind, value, rng) or value))
+        at = b
+    out += text[at:]
+    for kind, value in again:
+        out += " and "
+        put(kind, value)
+    return out, truth
+
+
+def made(n: int, seed: int = 7) -> list[str]:
+    """Short texts with personal data of every kind among numbers that are none."""
+    rng = random.Random(seed)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card() -> str:
+        d = rng.choice("3456") + digits(rng.choice([13, 14, 14, 14]))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    def ordinary() -> str:
+        d = digits(16)
+        return rng.choice([
+            str(rng.randrange(3000)), f"{rng.randrange(1, 20)}.{rng.randrange(10)}", f"{rng.randrange(20)}.{rng.randrange(20)}.{rng.randrange(99)}", f"{rng.randrange(1900, 2100)}-{rng.randrange(10, 13)}-{rng.randrange(10, 32)}",
+            f"{rng.randrange(300, 999)}.{rng.randrange(999)}.{rng.randrange(999)}.{rng.randrange(999)}", "7" + digits(5), digits(8), digits(10), next(d[:-1] + c for c in "0123456789" if not luhn(d[:-1] + c)), f"{rng.randrange(99)}%",
+            f"{rng.randrange(10, 99)}-{rng.randrange(10, 99)}", f"v{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(9)}", "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 32, 40]))),
+            f"@{rng.choice(['ann', 'bo', 'cy'])}{rng.randrange(99)}", f"({rng.randrange(100)})", f"{rng.randrange(24)}.{rng.randrange(10, 60)}"])
+
+    def private() -> str:
+        return [
+            lambda: f"{rng.choice(['ann', 'bo.lee', 'c_d', 'eva'])}{rng.choice(['', digits(2), '.' + digits(2)])}@{rng.choice(['mail', 'post', 'x'])}{rng.choice(['', digits(1)])}.{rng.choice(['example.com', 'org', 'test.net'])}",
+            lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), card,
+            lambda: f"+{rng.choice(['1', '44', '49'])} ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"][rng.randrange(4)]()
+
+    return [" ".join(x for _ in range(5) for x in ("w" * rng.randrange(2, 8), private() if rng.random() < 0.35 else ordinary())) + " ." for _ in range(n)]
+
+
+def taught(text: str, rng: random.Random, hidden: float = 0.4, most_nodes: int = 400) -> np.ndarray:
+    """Rows of features, truth, held, linked and hub (as text + 1, or 0) of an example made from ``text``; of more than ``most_nodes``
+    those of some chains, drawn over the whole text."""
+    text, truth = example(text, rng)
+    base = base_spans(text)
+    nodes = Nodes(text, base)
+    label, held = nodes.held.copy(), nodes.held.copy()
+    starts, ends = np.array([a for a, _ in nodes.spans]), np.array([b for _, b in nodes.spans])
+    for kind, (a, b) in truth:
+        label[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b)] = kind + 1
+    chains = np.cumsum(np.concatenate([[True], ~nodes.linked[:-1]])) if len(held) else np.zeros(0, np.int64)
+    free = np.array([rng.random() < hidden for _ in range(int(chains[-1]) + 1 if len(held) else 0)], bool)
+    held[free[chains] if len(held) else []] = 0
+    rows = np.column_stack([nodes.x, label, held, nodes.linked, nodes.hub + 1]).astype("<u4")
+    if len(rows) > most_nodes:
+        order = rng.sample(range(1, int(chains[-1]) + 1), int(chains[-1]))
+        rank = np.zeros(int(chains[-1]) + 1, np.int64)
+        rank[order] = np.cumsum(np.bincount(chains)[order])
+        rows = rows[rank[chains] <= most_nodes]
+    return rows
+
+
+def graph(parts: list[np.ndarray]) -> tuple[Graph, np.ndarray]:
+    """The disjoint union of what ``taught`` gave, and its truth."""
+    hub, hubs = [np.zeros(0, np.int64)], 0
+    for p in parts:
+        own, at = np.unique(p[:, -1], return_inverse=True)
+        none = int(len(own) > 0 and own[0] == 0)
+        hub.append(np.where(p[:, -1] > 0, at - none + hubs, -1))
+        hubs += len(own) - none
+    whole = np.concatenate([np.zeros((0, FEATURES + 4)), *parts]).astype(np.int64)
+    return Graph(whole[:, :FEATURES].astype(float), whole[:, FEATURES + 1], whole[:, FEATURES + 2] > 0, np.concatenate(hub), hubs), whole[:, FEATURES]
+
+
+def fit(docs: DataFrame, sample_docs: int = 5000, most_nodes: int = 8000, doc_nodes: int = 400, synthetic: int = 600) -> Field:
+    """Fits on ``synthetic`` made texts and on about ``sample_docs`` documents, of which about ``most_nodes`` nodes, taken by documents, come to
+    the driver; both samples go by a hash of the ids, and a document gives ``doc_nodes`` nodes at most, drawn over its whole text."""
     share = -(-sample_docs * (1 << 20) // max(1, docs.count()))
-    some = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("pii")), F.lit(1 << 20)) < share))
+    some = docs.select(F.xxhash64("doc_id", F.lit("pii")).alias("h"), "text").filter(F.col("text").rlike(ANY.pattern) & (F.pmod("h", F.lit(1 << 20)) < share))
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py()
-                if ANY.search(text):
-                    got = Nodes(text, base_spans(text))
-                    packed = np.column_stack([got.x, got.held, got.linked, got.hub]).astype("<f4")[:2000]
-                    if len(packed):
-                        ids.append(doc_id)
-                        rows.append(packed.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "nodes"])
-
-    found = some.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(nodes, "doc_id long, nodes binary")
-    xs, ys, pairs, shared, n = [np.zeros((0, FEATURES))], [np.zeros(0, int)], [np.zeros((0, 2), int)], [np.zeros((0, 2), int)], 0
-    for r in found.orderBy(F.xxhash64("doc_id")).limit(sample_docs).collect():
-        if n >= most_nodes:
-            break
-        a = np.frombuffer(r["nodes"], "<f4").reshape(-1, FEATURES + 3).astype(float)
-        y, linked, hub = a[:, FEATURES].astype(int), a[:, FEATURES + 1] > 0, a[:, FEATURES + 2].astype(int)
-        xs.append(a[:, :FEATURES])
-        ys.append(y)
-        k = np.flatnonzero(linked[:-1])
-        pairs.append(np.column_stack([y[k], y[k + 1]]))
-        order = np.argsort(hub, kind="stable")
-        k = np.flatnonzero((hub[order][1:] == hub[order][:-1]) & (hub[order][1:] >= 0))
-        shared.append(np.column_stack([y[order][k], y[order][k + 1]]))
-        n += len(y)
-    return fit_arrays(np.concatenate(xs), np.concatenate(ys), np.concatenate(pairs), np.concatenate(shared))
+            rows = [taught(text.as_py(), random.Random(h), most_nodes=doc_nodes) for h, text in zip(batch.column("h").to_pylist(), batch.column("text"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([len(r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], ["h", "n", "nodes"])
+
+    found = Scratch(docs.sparkSession, "pii").keep(some.mapInArrow(teach, "h long, n long, nodes binary").filter("n > 0"))
+    nodes = found.agg(F.sum("n")).first()[0] or 0
+    share = -(-most_nodes * (1 << 20) // max(1, nodes))
+    got = found.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < share).orderBy("h", "nodes").collect()  # about most_nodes nodes of 152 bytes
+    parts = [np.frombuffer(r["nodes"], "<u4").reshape(-1, FEATURES + 4) for r in got]
+    rng = random.Random(11)
+    return fit_arrays(*graph(parts + [taught(t, rng) for t in made(synthetic)]))
 
 
 def find(text: str | None, field: Field) -> tuple[list[list[Span]], list[list[Span]]]:

@@ -7,7 +7,8 @@ reference is above a limit, if the text is long enough for the histogram to mean
 
 Words are counted in ``BUCKETS`` hash buckets, so what a task gathers is bounded. A word is common in a
 language if its bucket has at least ``COMMON`` of the language's words, so there are at most 1 / COMMON of
-them; languages with less than ``LEAST_SHARE`` of all words get no reference.
+them. Every language with ``LEAST_WORDS`` words or more has a reference; documents labelled with a language that has none
+are not held against the others'.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.batches import Words, per_text, shingles, slices
-from lumenary.llm.common import table
+from lumenary.llm.common import Scratch, table
 
-BUCKETS, COMMON, LEAST_SHARE = 1 << 14, 0.002, 0.001
+BUCKETS, COMMON, LEAST_WORDS = 1 << 14, 0.002, 2000
 LANGS_HELD = 64  # languages that a task counts before it hands on what it has
 SYMBOLS = "#*$%&|<>"
 LIMITS = {"chars": 0.3, "words": 0.42}
@@ -91,11 +92,11 @@ def repeated_words(words: Words, size: int = 3) -> np.ndarray:
     return np.bincount(words.doc, weights=hit, minlength=words.n).astype(np.int64)
 
 
-def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
+def references(docs: DataFrame, most_langs: int = 1000) -> dict[str, dict[str, np.ndarray]]:
     """Of each language: ``chars``, ``common`` (buckets) and ``words`` (their shares, the rest's last).
 
-    Counted over every row with a language; at most (1 / COMMON + CHAR_CLASSES) rows of each of at most
-    1 / LEAST_SHARE languages reach the driver."""
+    Counted over every row with a language. The ``most_langs`` languages of the most words have one, so at most
+    (1 / COMMON + CHAR_CLASSES) * most_langs rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars: dict[str, np.ndarray] = {}
@@ -123,12 +124,9 @@ def references(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
 
     some = docs.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = some.mapInArrow(count, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    from lumenary.llm.common import Scratch
-
     counts = Scratch(docs.sparkSession, "references").keep(counts)
     totals = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total"))
-    every = totals.agg(F.sum("total")).first()[0] or 0
-    totals = totals.filter(F.col("total") >= LEAST_SHARE * every)  # at most 1 / LEAST_SHARE languages
+    totals = totals.filter(F.col("total") >= LEAST_WORDS).orderBy(F.desc("total"), "lang").limit(most_langs)
     out: dict[str, dict] = {}
     for r in counts.join(F.broadcast(totals), "lang").filter(f"kind = 0 or n >= {COMMON} * total").collect():
         at = out.setdefault(r["lang"], {"chars": np.zeros(CHAR_CLASSES), "found": {}, "total": r["total"]})
@@ -176,25 +174,27 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 
 
 def judged(docs: DataFrame, refs: dict[str, dict[str, np.ndarray]], limits: dict = LIMITS, guards: dict = GUARDS) -> DataFrame:
-    """The base counts and the verdict for each row of ``docs`` (doc_id, text).
+    """The base counts and the verdict for each row of ``docs`` (doc_id, text and, if it is there, lang).
 
     Null and empty texts have no words and fail the base; texts shorter than a guard are not held against
-    that histogram; repeated rows each get their row; without references nothing diverges; other columns
-    are not read."""
+    that histogram; repeated rows each get their row; without references, and for a lang that is not null and has none,
+    nothing diverges; an empty table gives an empty result; other columns are not read."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
+            foreign = np.array([x is not None and x not in refs for x in batch.column("lang").to_pylist()], bool)
             for at, texts in slices(batch):
                 words = Words(texts, lower=False)
                 base = base_counts(words, texts)
-                chars, toks = divergences(words, refs)
+                chars, toks = (np.where(foreign[at : at + len(texts)], 0.0, x) for x in divergences(words, refs))
                 failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
                 far = ((chars > limits["chars"]) & (base["word_chars"] >= guards["chars"])) | ((toks > limits["words"]) & (base["n_words"] >= guards["words"]))
                 values = {"doc_id": ids.slice(at, len(texts)), **base, "base_failed": failed, "kept": ~failed & ~far, "chars_distance": chars, "words_distance": toks}
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values.values()], list(values))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, SCHEMA)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang")).mapInArrow(judge, SCHEMA)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

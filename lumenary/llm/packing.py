@@ -9,6 +9,7 @@ largest free capacity below it, so the first bin that fits is found in as many s
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,44 +88,49 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, ids: bool = False) -> DataFrame:
-    """The pieces of each document; with ``ids`` also what they hold."""
+    """The pieces of each document, and a salt that tells equal ones of a task apart; with ``ids`` also what they hold."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(tokenizer_path)
+        seen: Counter = Counter()
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
             out = 0
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 got = np.array([*encode(text.as_py() or ""), END_ID], "<u4")
                 for a in range(0, len(got), capacity):
                     part = got[a : a + capacity]
-                    for col, x in zip(rows, (doc_id.as_py(), a, len(part), zlib.crc32(part.tobytes()), len(got), part.tolist() if ids else None), strict=True):
+                    crc = zlib.crc32(part.tobytes())
+                    key = (doc_id.as_py(), a, crc)
+                    for col, x in zip(rows, (doc_id.as_py(), a, len(part), crc, len(got), seen[key], part.tolist() if ids else None), strict=True):
                         col.append(x)
+                    seen[key] += 1
                 out += len(got)
                 if out > 500_000:
                     yield made(rows)
-                    rows, out = [[] for _ in range(6)], 0
+                    rows, out = [[] for _ in range(7)], 0
             yield made(rows)
 
     def made(rows: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * ids
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+        kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * ids
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names[: len(kinds)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", ids array<long>" * ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES + ", salt long" + ", ids array<long>" * ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, group_docs: int = 4096, ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    Null texts are empty and give the end id alone; repeated rows are packed each for itself; an empty
-    table gives an empty result. A group holds about ``group_docs`` documents, whatever their number; the
+    Null texts are empty and give the end id alone; repeated rows are packed each for itself; a null doc_id is one like any
+    other; an empty table gives an empty result. A group holds the pieces of about ``group_docs`` documents, whatever their
+    number, and however often one doc_id or one row occurs; the
     bins of a group are numbered within it, and sequence ids are group * 2^32 + bin.
     """
     groups = max(1, -(-docs.count() // group_docs))
     cut = pieces(docs, tokenizer_path, capacity, ids)
-    # Very long documents are spread too: each run of 256 pieces is dealt for itself.
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", F.expr(f"start div {capacity * 256}")), F.lit(groups)))
+    # A piece's own content deals it, so neither a very long document nor a repeated id falls into one group; equal rows go by their task and their number in it.
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", F.expr(f"start div {capacity * 256}"), "ids_crc32", F.when(F.col("salt") > 0, F.spark_partition_id()), "salt"), F.lit(groups))).drop("salt")
     schema = PIECES + ", ids array<long>" * ids + ", sequence_id long, offset long"
 
     def place(key: tuple, got: pa.Table) -> pa.Table:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenary.llm import decontamination, jaccard_join
+from lumenary.llm import decontamination, exact, jaccard_join
 from lumenary.llm.decontamination import op1_decontamination
 from lumenary.llm.jaccard_join import op3_ngram_jaccard_join
 from lumenary.llm.language import op6_language_id
@@ -25,8 +25,10 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_tree_packing": op9_tree_packing,
     "op10_secret_scan": op10_secret_scan,
+    **exact.QUERIES,
 }
 ORACLE_SQL = {
     "op1_decontamination": decontamination.SQL,
     "op3_ngram_jaccard_join": jaccard_join.SQL,
+    **exact.ORACLE_SQL,
 }

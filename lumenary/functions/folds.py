@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenary import rules as R
-from lumenary.functions.text import sentences, strip
+from lumenary.functions.text import bound, sentences, strip
 
 _STRINGS = "array<string>"
 
@@ -19,45 +21,46 @@ def _not_blank(parts: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
-def drop_near_duplicates(sections: Column) -> Column:
+def drop_near_duplicates(sections: Column, fold: Callable[[Column], Column] = lambda s: strip(F.lower(s))) -> Column:
     """Keeps a section unless an earlier kept one equals it or, within NEAR_DUPLICATE_CHARS in length, contains it
-    or stands in it; compared in lower case."""
-    pairs = F.transform(sections, lambda s: F.struct(strip(F.lower(s)).alias("n"), s.alias("s")))  # folded in case once each
+    or stands in it; compared in lower case, or as ``fold`` has it.
+
+    Each is folded and measured once; sections that are not near in length cost a comparison of two numbers, of others
+    the longer is searched for the shorter."""
+    measured = F.transform(sections, lambda s: bound(fold(s), lambda n: F.struct(n.alias("n"), F.length(n).alias("l"), s.alias("s"))))
 
     def like(k: Column, c: Column) -> Column:
-        near = F.abs(F.length(k["n"]) - F.length(c["n"])) < R.NEAR_DUPLICATE_CHARS
-        return (k["n"] == c["n"]) | (near & (F.contains(k["n"], c["n"]) | F.contains(c["n"], k["n"])))
+        return (F.abs(k["l"] - c["l"]) < R.NEAR_DUPLICATE_CHARS) & F.when(k["l"] >= c["l"], F.contains(k["n"], c["n"])).otherwise(F.contains(c["n"], k["n"]))
 
-    kept = F.aggregate(pairs, F.array().cast("array<struct<n: string, s: string>>"),
+    kept = F.aggregate(measured, F.array().cast("array<struct<n: string, l: int, s: string>>"),
                        lambda acc, c: F.when(F.exists(acc, lambda k: like(k, c)), acc).otherwise(F.array_append(acc, c)))
     return F.transform(kept, lambda k: k["s"])
 
 
 def merge_short(chunks: Column, least: int = R.MIN_CHUNK) -> Column:
     """Appends the next chunk while the one being built is under ``least`` characters; the last is kept as it is."""
-    return F.when(F.size(chunks) > 0, F.aggregate(
-        F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0))),
-        F.struct(_none().alias("out"), F.get(chunks, F.lit(0)).alias("buf")),
+    return bound(chunks, lambda parts: F.when(F.size(parts) > 0, F.aggregate(
+        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.struct(_none().alias("out"), F.get(parts, F.lit(0)).alias("buf")),
         lambda a, c: F.when(
             F.length(a["buf"]) < least, F.struct(a["out"].alias("out"), F.concat(a["buf"], F.lit(" "), c).alias("buf")),
         ).otherwise(F.struct(F.array_append(a["out"], a["buf"]).alias("out"), c.alias("buf"))),
-        lambda a: F.array_append(a["out"], a["buf"]))).otherwise(chunks)
+        lambda a: F.array_append(a["out"], a["buf"]))).otherwise(parts))
 
 
 def split_long(chunks: Column, most: int = R.MAX_CHUNK) -> Column:
     """Packs the sentences of each chunk over ``most`` characters into pieces up to it; a longer sentence stays whole."""
 
-    def pack(chunk: Column) -> Column:
-        done = F.aggregate(
+    def packed(chunk: Column) -> Column:
+        return F.aggregate(
             sentences(chunk), F.struct(_none().alias("out"), F.lit("").alias("buf")),
             lambda a, s: F.when(
                 (F.length(a["buf"]) + F.length(s) + 1 > most) & (a["buf"] != ""),
                 F.struct(F.array_append(a["out"], strip(a["buf"])).alias("out"), s.alias("buf")),
             ).otherwise(F.struct(a["out"].alias("out"), F.concat(a["buf"], F.lit(" "), s).alias("buf"))),
             lambda a: F.when(strip(a["buf"]) != "", F.array_append(a["out"], strip(a["buf"]))).otherwise(a["out"]))
-        return F.when(F.length(chunk) <= most, F.array(chunk)).otherwise(done)
 
-    return F.flatten(F.transform(chunks, pack))
+    return F.flatten(F.transform(chunks, lambda c: F.when(F.length(c) <= most, F.array(c)).otherwise(packed(c))))
 
 
 def sentence_groups(sections: Column, size: int = R.SENTENCES_PER_GROUP) -> Column:
@@ -67,7 +70,7 @@ def sentence_groups(sections: Column, size: int = R.SENTENCES_PER_GROUP) -> Colu
         starts = F.sequence(F.lit(0), F.size(parts) - 1, F.lit(size))
         return F.when(F.size(parts) > 0, F.transform(starts, lambda i: F.array_join(F.slice(parts, i + 1, F.lit(size)), " "))).otherwise(_none())
 
-    return F.flatten(F.transform(sections, lambda s: grouped(sentences(s))))
+    return F.flatten(F.transform(sections, lambda s: bound(sentences(s), grouped)))
 
 
 def merge_transcript(segments: Column, block: int = R.TRANSCRIPT_BLOCK) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,7 +22,13 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return strip(F.regexp_replace(text, rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))  # blanks are all the white space that is left
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once however often it is used: what stands under a higher-order function is
+    interpreted, without a search for common parts."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def present(text: Column) -> Column:
@@ -53,6 +61,16 @@ def is_boilerplate(section: Column) -> Column:
     return section.rlike("(?iu)" + "|".join(R.BOILERPLATE)) | (F.length(strip(section)) < R.BOILERPLATE_MIN_CHARS)
 
 
+#: Of each alternative of the boilerplate patterns a part that it cannot do without, in lower case.
+BOILERPLATE_PARTS = [max(re.findall(r"[a-z ]+", one), key=len) for pattern in R.BOILERPLATE for one in pattern.strip("()").split("|")]
+
+
+def may_hold_boilerplate(text: Column) -> Column:
+    """False only if no section of ``text`` can match a boilerplate pattern: plain searches, after the few letters that case
+    folding makes equal to ASCII ones."""
+    return bound(F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik")), lambda low: contains_any(low, BOILERPLATE_PARTS))
+
+
 def without_noise(sections: Column) -> Column:
     return F.filter(sections, lambda s: ~is_noise(s))
 
@@ -72,4 +90,5 @@ def sentences(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, rf"{SPACE}+"), lambda w: w != ""))
+    parts = F.split(text, rf"{SPACE}+")
+    return F.size(F.array_remove(parts, ""))

@@ -1,9 +1,9 @@
 """Language detection by naive Bayes over word beginnings.
 
 The profile is counted from labelled texts in one aggregation; a language keeps its most frequent
-beginnings only, so the profile has a fixed size and is broadcast. Scoring is a join with it and a sum.
+beginnings only, so the profile has a bounded size and is broadcast. Scoring is a join with it and a sum.
 
-Records have no labelled texts at hand: ``detected_in`` judges each by the frequent words of the languages in
+Records have no labelled texts at hand: ``detector`` judges each by the frequent words of the languages in
 the rules, or by its script, batch by batch and without a shuffle.
 """
 
@@ -27,10 +27,11 @@ def _starts(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(text), rf"{SPACE}+"), lambda w: w != ""), lambda w: F.substring(w, 1, 3))
 
 
-def profile(labelled: DataFrame, text: str, lang: str, size: int = PROFILE) -> DataFrame:
-    """lang, start and weight: the logarithm of the share of each of a language's ``size`` most frequent beginnings."""
+def profile(labelled: DataFrame, text: str, lang: str, size: int = PROFILE, most_langs: int = 200) -> DataFrame:
+    """lang, start and weight: the logarithm of the share of each of a language's ``size`` most frequent beginnings, for the
+    ``most_langs`` languages of the most beginnings; so it has size * most_langs rows at most."""
     counts = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(_starts(F.col(text))).alias("start")).groupBy("lang", "start").agg(F.count("*").alias("n"))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(most_langs)
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "start")
     kept = counts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= size)
     return kept.join(F.broadcast(total), "lang").select("lang", "start", F.log((F.col("n") + 1) / (F.col("total") + 1)).alias("weight"))
@@ -39,22 +40,30 @@ def profile(labelled: DataFrame, text: str, lang: str, size: int = PROFILE) -> D
 def detected(texts: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
     """key and language; unknown for texts under LANGUAGE_MIN_CHARS and those that no profile knows a beginning of.
 
-    A beginning that a profile lacks weighs ln(1e-5)."""
+    A beginning that a profile lacks weighs ln(1e-5). Words meet the profiles (of bounded size) in the task that reads the text, and
+    are summed there: a row for each language of a text is all that is shuffled."""
     enough = texts.filter(F.length(text) >= R.LANGUAGE_MIN_CHARS)
-    starts = enough.select(key, F.explode(_starts(F.col(text))).alias("start")).groupBy(key, "start").agg(F.count("*").alias("n"))
-    gain = starts.join(F.broadcast(profiles), "start").groupBy(key, "lang").agg(F.sum(F.col("n") * (F.col("weight") - F.log(F.lit(1e-5)))).alias("gain"))
+    starts = enough.select(key, F.explode(_starts(F.col(text))).alias("start"))
+    gain = starts.join(F.broadcast(profiles), "start").groupBy(key, "lang").agg(F.sum(F.col("weight") - F.log(F.lit(1e-5))).alias("gain"))
     best = gain.groupBy(key).agg(F.max(F.struct(F.round("gain", 6).alias("gain"), F.col("lang").alias("lang"))).alias("best"))
     return texts.select(key).join(best, key, "left").select(key, F.coalesce("best.lang", F.lit(R.UNKNOWN)).alias("language"))
 
 
-def detector() -> Callable[[str | None], str]:
-    """A function from a text to its language."""
-    gains: dict[str, list[tuple[str, float]]] = {}
+def word_gains() -> list[tuple[str, str, float]]:
+    """(word, language, gain) of the frequent words: the logarithm of a share that falls with the rank, over that of a missing word."""
+    out = []
     for lang, words in R.LANGUAGE_WORDS.items():
         ranked = words.split()
         total = sum(1 / (r + 2) for r in range(len(ranked)))
-        for r, word in enumerate(ranked):
-            gains.setdefault(word, []).append((lang, log(1 / (r + 2) / total) - log(1e-5)))
+        out += [(word, lang, log(1 / (r + 2) / total) - log(1e-5)) for r, word in enumerate(ranked)]
+    return out
+
+
+def detector() -> Callable[[str | None], str]:
+    """A function from a text to its language."""
+    gains: dict[str, list[tuple[str, float]]] = {}
+    for word, lang, gain in word_gains():
+        gains.setdefault(word, []).append((lang, gain))
     scripts = {lang: re.compile(f"[{chars}]") for lang, chars in R.LANGUAGE_SCRIPTS.items()}
 
     def judge(text: str | None) -> str:

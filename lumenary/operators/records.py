@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lumenary import rules as R
 from lumenary.functions import scores
 from lumenary.functions.dates import normal_date, parse_date
 from lumenary.functions.folds import content_chunks, drop_near_duplicates
-from lumenary.functions.text import clean_text, missing, present, without_boilerplate
+from lumenary.functions.text import bound, clean_text, is_boilerplate, may_hold_boilerplate, missing, present
 from lumenary.functions.urls import domain_authority, is_valid, region, source_type
 
 
@@ -27,9 +24,14 @@ def author_display(author: Column, channel: Column, authors: Column) -> Column:
 
 
 def cleaned(sections: Column) -> Column:
-    """Cleaned, without empty, boilerplate and near-duplicate sections."""
+    """Cleaned, without empty, boilerplate and near-duplicate sections.
+
+    Cleaned texts have no white space but blanks, so trimming is enough, and the boilerplate patterns run over records
+    that hold a part of one only."""
     texts = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), clean_text), lambda s: s != "")
-    return drop_near_duplicates(without_boilerplate(texts))
+    kept = bound(texts, lambda t: F.when(may_hold_boilerplate(F.array_join(t, "\n")), F.filter(t, lambda s: ~is_boilerplate(s)))
+                 .otherwise(F.filter(t, lambda s: F.length(F.trim(s)) >= R.BOILERPLATE_MIN_CHARS)))
+    return drop_near_duplicates(F.transform(kept, F.trim), F.lower)
 
 
 def normalised(raw: DataFrame, as_of: str, tolerant_dates: bool = True) -> DataFrame:
@@ -58,31 +60,22 @@ def language_text() -> Column:
     return F.trim(F.concat_ws(" ", F.slice("cleaned_sections", 1, 5), present(F.col("description")), F.when(~missing(F.col("title")), F.col("title"))))
 
 
-def judged(records: DataFrame) -> DataFrame:
-    """Adds language (of ``language_text``) and semantic_tags (of ``topic_text``). Whole records pass through Python, so
-    that what cleaning costs is paid once and not for every use of the sections."""
+def judged(language: Column, topics: Column, with_tags: bool = True) -> Column:
+    """A struct of language (of the text ``language``) and semantic_tags (of the text ``topics``; null without ``with_tags``).
+    Two short texts go to Python; the records stay where they are."""
     from lumenary.operators.languages import detector
     from lumenary.operators.topics import nearest
 
-    tags = nearest()
-
-    def joined(*parts: str | None) -> str:
-        return " ".join(p for p in parts if p is not None).strip(" ")
-
-    def known(text: str | None) -> str | None:
-        return None if text in ("", R.UNKNOWN) else text
+    near = nearest() if with_tags else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        language = detector()
-        for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("title", "description", "cleaned_sections"))
-            rows = [(known(t), known(d), s or []) for t, d, s in zip(*columns, strict=True)]
-            langs = pa.array([language(joined(*s[:5], d, t)) for t, d, s in rows], pa.string())
-            near = pa.array(tags([joined(t, d, *s[:3]) for t, d, s in rows]), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, langs, near], [*batch.schema.names, "language", "semantic_tags"])
+    @F.arrow_udf("language string, semantic_tags array<string>")
+    def judge(texts: pa.Array, about: pa.Array) -> pa.Array:
+        detect = detector()
+        langs = pa.array([detect(t) for t in texts.to_pylist()], pa.string())
+        tags = near(about.to_pylist()) if near else [None] * len(about)
+        return pa.StructArray.from_arrays([langs, pa.array(tags, pa.list_(pa.string()))], ["language", "semantic_tags"])
 
-    schema = StructType([*records.schema.fields]).add("language", StringType()).add("semantic_tags", ArrayType(StringType()))
-    return records.mapInArrow(run, schema)
+    return judge(language, topics)
 
 
 def enriched(records: DataFrame, language: Column | None = None, tags: Column | None = None) -> DataFrame:
@@ -90,15 +83,25 @@ def enriched(records: DataFrame, language: Column | None = None, tags: Column |
     from lumenary.operators.topics import keyword_tags, merged_tags
 
     if language is None or tags is None:
-        records = judged(records)
+        named = F.when(~missing(F.col("title")), F.col("title")), F.when(~missing(F.col("description")), F.col("description"))
+        topic = F.trim(F.concat_ws(" ", *named, F.slice("cleaned_sections", 1, 3)))
+        records = records.withColumn("__judged", judged(language_text(), topic, tags is None))
+        language = language if language is not None else F.col("__judged.language")
     if tags is None:
-        tags = merged_tags(F.col("semantic_tags"), keyword_tags(topic_text()))
-    return (records.withColumn("language", language if language is not None else F.col("language"))
+        tags = merged_tags(F.col("__judged.semantic_tags"), keyword_tags(topic_text()))
+    return (records.withColumn("language", language)
             .withColumn("region", region(F.col("source_url")))
-            .withColumn("topic_tags", F.slice(tags, 1, R.TOP_K_TAGS)).drop("semantic_tags")
+            .withColumn("topic_tags", F.slice(tags, 1, R.TOP_K_TAGS)).drop("__judged")
             .withColumn("content_chunks", content_chunks(F.col("cleaned_sections"), F.col("source_type"))))
 
 
+def keyword_tags_only() -> dict[str, Column]:
+    """Enrichment with the detected language, and of the tags the keyword ones."""
+    from lumenary.operators.topics import keyword_tags
+
+    return {"tags": keyword_tags(topic_text())}
+
+
 def keyword_only() -> dict[str, Column]:
     """Enrichment without detection and semantic tags, all of it native: what the SQL of the named queries states."""
     from lumenary.operators.topics import keyword_tags

@@ -17,8 +17,9 @@ from lumenary.functions.text import contains_any
 def keyword_tags(text: Column, topics: list[tuple[str, str]] | None = None) -> Column:
     """The tags, in vocabulary order, of which the tag or a phrase of the description stands in the text, also inside words."""
     low = F.lower(text)
-    tags = [F.when(contains_any(low, [tag.lower(), *about.lower().split(", ")]), F.lit(tag)) for tag, about in topics or R.TOPICS]
-    return F.filter(F.array(*tags), lambda t: t.isNotNull())
+    # No higher-order function: compiled as a whole, with the lower case worked out once.
+    tags = [F.when(contains_any(low, [tag.lower(), *about.lower().split(", ")]), F.lit(tag)).otherwise("") for tag, about in topics or R.TOPICS]
+    return F.array_remove(F.array(*tags), "")
 
 
 def dot(a: Column, b: Column) -> Column:

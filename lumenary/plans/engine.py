@@ -52,8 +52,11 @@ class Engine:
         asked = lambda kind: routed.filter(F.col("source_type") == kind)
 
         def known(content: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-            """The content of the asked-for keys, one row each; only what is asked for is shuffled."""
-            return content.join(rows.select(key).distinct(), key, "left_semi").dropDuplicates([key])
+            """The content of the asked-for keys, one row each: of several the one of the least hash of its values, whatever order
+            they come in. Only what is asked for is shuffled."""
+            asked_for, rest = content.join(rows.select(key).distinct(), key, "left_semi"), [c for c in content.columns if c != key]
+            one = asked_for.groupBy(key).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__one"))
+            return one.select(key, *[F.col("__one")[c].alias(c) for c in rest])
 
         page_of = lambda rows: known(self.pages, rows, "url")
 
@@ -92,22 +95,23 @@ class Engine:
         return records.summary(results, urls)
 
     def run_one(self, url: str) -> DataFrame:
-        """The result of one URL, which is appended to the cached ones and written; ValueError if it is not valid."""
-        got = self.analyse(readers.url_list(self.spark, [url]))
+        """The result of one URL, which is appended to the cached ones and to what is written; ValueError if it is not valid."""
+        got = self.analyse(readers.url_list(self.spark, [url])).persist()  # worked out once, here
         if got.isEmpty():
+            got.unpersist()
             raise ValueError(f"Could not process URL: {url}")
         self.cached = got if self.cached is None else self.cached.unionByName(got)
         if self.out_dir:
-            self.write(self.cached)
+            self.write(got, append=True)
         return got
 
     def run_default(self) -> DataFrame:
         return self.run(list(R.DEFAULT_URLS))
 
-    def write(self, results: DataFrame) -> tuple[str | None, str | None]:
+    def write(self, results: DataFrame, append: bool = False) -> tuple[str | None, str | None]:
         kept = results.drop("pos").persist()
         try:
-            return writers.write_combined(kept, f"{self.out_dir}/combined"), writers.write_by_type(kept, f"{self.out_dir}/by_type")
+            return writers.write_combined(kept, f"{self.out_dir}/combined", append), writers.write_by_type(kept, f"{self.out_dir}/by_type", append)
         finally:
             kept.unpersist()
 

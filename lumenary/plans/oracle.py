@@ -191,3 +191,19 @@ def chunks(sections: str, kind_: str) -> str:
     parts = f"CASE WHEN {kind_} = 'pubmed' THEN {groups(sections)} ELSE list_filter({sections}, lambda s: {strip('s')} <> '') END"
     return (f"(SELECT list_filter(list_transform({split_long('m.merged')}, lambda s: {strip('s')}), lambda s: s <> '') "
             f"FROM (SELECT {merge_short('p.parts')} AS merged FROM (SELECT {parts} AS parts) p) m)")
+
+
+def language(rows: str, key: str, x: str, gains: list[tuple[str, str, float]]) -> str:
+    """key and language of the texts ``x`` of ``rows``: by script, or else by frequent words."""
+    letters = f"length(regexp_replace({x}, '[^\\p{{L}}]+', '', 'g'))"
+    written = {lang: f"length(regexp_replace({x}, '[^{chars}]+', '', 'g'))" for lang, chars in R.LANGUAGE_SCRIPTS.items()}
+    ja, zh = written["ja"], written["zh-cn"]
+    mixed = f"({ja} * 10 >= {zh})"
+    written |= {"ja": f"CASE WHEN {mixed} AND {ja} > 0 THEN {ja} + {zh} ELSE {ja} END", "zh-cn": f"CASE WHEN {mixed} AND {ja} > 0 THEN 0 ELSE {zh} END"}
+    script = " ".join(f"WHEN 2 * ({n}) > {letters} THEN {text(lang)}" for lang, n in written.items())
+    table = ", ".join(f"({text(w)}, {text(lang)}, {number(g)})" for w, lang, g in gains)
+    return f"""(WITH kw(w, lang, gain) AS (VALUES {table}),
+  src AS (SELECT {key}, {x} AS x, CASE WHEN length({x}) < {R.LANGUAGE_MIN_CHARS} THEN 'unknown' {script} END AS told FROM {rows}),
+  best AS (SELECT {key}, lang FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, lang DESC) AS r FROM (
+    SELECT {key}, lang, round(sum(gain), 6) AS gain FROM (SELECT {key}, unnest(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w FROM src) JOIN kw USING (w) GROUP BY ALL)) WHERE r = 1)
+  SELECT {key}, coalesce(told, lang, 'unknown') AS language FROM src LEFT JOIN best USING ({key}))"""

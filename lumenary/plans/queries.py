@@ -8,15 +8,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary import rules as R
 from lumenary.functions import dates, folds, scores, urls
 from lumenary.functions import text as T
 from lumenary.operators import languages, records, topics
-from lumenary.operators.html import with_page_fields
-from lumenary.operators.videos import transcripts
+from lumenary.operators.articles import with_article_fields
+from lumenary.operators.html import with_article_page_fields, with_page_fields
+from lumenary.operators.videos import transcripts, video_records
 from lumenary.plans import oracle as O
 from lumenary.sources import readers, writers
 from lumenary.streaming.incremental import append_analysed, stream_records
@@ -278,6 +279,7 @@ def raw_records(docs: DataFrame) -> DataFrame:
 
 
 def _analysed(spark, sf_dir):
+    """For what language does not bear on: keyword tags, and nothing that leaves the JVM."""
     return records.analysed(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False, **records.keyword_only())
 
 
@@ -308,12 +310,18 @@ def _signal(name: str):
 content_quality, recency, disclaimer = map(_signal, ("content_quality", "recency_score", "medical_disclaimer_score"))
 
 
-@query(f"WITH {_RAW}, c AS (SELECT *, {O.chunks('sections', 'source_type')} AS chunks FROM f) SELECT doc_id, url AS source_url, source_type, a AS author, published_date, 'unknown' AS language, region, "
+_LANGUAGE_TEXT = "trim(concat_ws(' ', CASE WHEN len(sections) > 0 THEN array_to_string(list_slice(sections, 1, 5), ' ') END, nullif(description, ''), CASE WHEN t <> 'unknown' THEN t END))"
+_LANGUAGE = O.language("n", "doc_id", _LANGUAGE_TEXT, languages.word_gains())
+
+
+@query(f"WITH {_RAW}, l AS {_LANGUAGE}, c AS (SELECT *, {O.chunks('sections', 'source_type')} AS chunks FROM f JOIN l USING (doc_id)) SELECT doc_id, url AS source_url, source_type, a AS author, published_date, language, region, "
        "array_to_string(topic_tags, '|') AS topic_tags, trust_score, array_to_string(chunks, chr(10)) AS content_chunks, t AS title, description, "
        "round(author_credibility, 3) AS author_credibility, round(content_quality, 3) AS content_quality, round(domain_authority, 3) AS domain_authority, "
        "round(recency_score, 3) AS recency_score, round(medical_disclaimer_score, 3) AS medical_disclaimer_score FROM c")
 def trust_detailed(spark, sf_dir):
-    rows = records.detailed(_analysed(spark, sf_dir), ("doc_id",))
+    """Whole records, with the language detected; of the tags the keyword ones, as SQL has no encoder."""
+    raw = raw_records(table(spark, sf_dir, "documents"))
+    rows = records.detailed(records.analysed(raw, AS_OF, tolerant_dates=False, **records.keyword_tags_only()), ("doc_id",))
     flat = {"topic_tags": F.array_join("topic_tags", "|"), "content_chunks": F.array_join("content_chunks", "\n")}
     return rows.select("doc_id", *[flat.get(c, F.col(c)).alias(c) for c in rows.columns if c not in ("doc_id", "trust_signals")], "trust_signals.*")
 
@@ -321,7 +329,9 @@ def trust_detailed(spark, sf_dir):
 @query(f"WITH {_RAW}, c AS (SELECT doc_id, {O.chunks('sections', 'source_type')} AS chunks FROM f) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, chunks[i] AS chunk FROM "
        "(SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM c)")
 def chunk_all(spark, sf_dir):
-    return _analysed(spark, sf_dir).select("doc_id", F.posexplode("content_chunks").alias("pos", "chunk"))
+    # Outer: from a plain one a filter on the chunks is inferred, which would be pushed below the cleaning and repeat it.
+    rows = _analysed(spark, sf_dir).select("doc_id", F.posexplode_outer("content_chunks").alias("pos", "chunk"))
+    return rows.filter(F.col("pos").isNotNull())
 
 
 # Topics and vectors.
@@ -352,22 +362,27 @@ _COSINE = """WITH c AS (SELECT label, list(x ORDER BY k) AS centroid FROM (SELEC
 s AS (SELECT vec_id, c.label AS topic, list_cosine_similarity(CAST(embedding AS DOUBLE[]), centroid) AS sim FROM embeddings, c)"""
 
 
-def _similar(spark, sf_dir):
-    """Each vector against the label centroids, as many as there are labels: a broadcast side that does not grow with the vectors."""
-    topics_ = _centroids(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("topics"))
-    each = table(spark, sf_dir, "embeddings").join(F.broadcast(topics_), F.lit(True)).select("vec_id", "embedding", F.explode("topics").alias("t"))
-    return each.select("vec_id", F.col("t.label").alias("topic"), topics.cosine(F.col("embedding"), F.col("t.centroid")).alias("sim"))
+def _with_topics(spark, sf_dir):
+    """Each vector with all label centroids, as one value: a row of as many entries as there are labels."""
+    centroids = _centroids(spark, sf_dir)
+    every = centroids.agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("topics"), F.count("*").alias("n"))
+    if centroids.count() * 8 * 1024 <= 48 << 20:  # of up to 1024 numbers
+        every = F.broadcast(every)
+    return table(spark, sf_dir, "embeddings").crossJoin(every.drop("n")).select("vec_id", "embedding", "topics")
 
 
 @query(_COSINE + " SELECT vec_id, topic, round(sim, 6) AS sim FROM s")
 def vector_cosine(spark, sf_dir):
-    return _similar(spark, sf_dir).withColumn("sim", F.round("sim", 6))
+    each = _with_topics(spark, sf_dir).select("vec_id", "embedding", F.explode("topics").alias("t"))
+    return each.select("vec_id", F.col("t.label").alias("topic"), F.round(topics.cosine(F.col("embedding"), F.col("t.centroid")), 6).alias("sim"))
 
 
 @query(_COSINE + " SELECT vec_id, topic, rank FROM (SELECT vec_id, topic, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, topic DESC) AS INTEGER) AS rank FROM s WHERE sim >= 0.05) WHERE rank <= 5")
 def vector_topk(spark, sf_dir):
-    order = Window.partitionBy("vec_id").orderBy(F.desc("sim"), F.desc("topic"))
-    return _similar(spark, sf_dir).filter("sim >= 0.05").withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("vec_id", "topic", "rank")
+    """The best labels of each vector, found within its row."""
+    sims = F.transform("topics", lambda t: topics.cosine(F.col("embedding"), t["centroid"]))
+    best = _with_topics(spark, sf_dir).select("vec_id", "topics", F.posexplode(topics.top_k(sims, 5, 0.05)).alias("rank", "at"))
+    return best.select("vec_id", F.get("topics", F.col("at"))["label"].alias("topic"), (F.col("rank") + 1).alias("rank"))
 
 
 # Summaries.
@@ -401,9 +416,6 @@ def trust_band(spark, sf_dir):
 
 # Language.
 
-_LANGUAGE_TEXT = "trim(concat_ws(' ', CASE WHEN len(sections) > 0 THEN array_to_string(list_slice(sections, 1, 5), ' ') END, nullif(description, ''), CASE WHEN t <> 'unknown' THEN t END))"
-
-
 @query(f"WITH {_RAW} SELECT doc_id, {_LANGUAGE_TEXT} AS language_text FROM n")
 def language_text(spark, sf_dir):
     return records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False).select("doc_id", records.language_text().alias("language_text"))
@@ -428,11 +440,100 @@ def language_detect(spark, sf_dir):
 # Pages, sinks, stream.
 
 
-@query()
+def _page_rows(spark, pages: DataFrame, key: str) -> DataFrame:
+    rows = with_page_fields(pages.select(key, "url", "html"), AS_OF)
+    return rows.withColumn("paragraphs", F.array_join("raw_text_sections", "\n")).withColumn("n", F.size("raw_text_sections")).drop("raw_text_sections", "authors")
+
+
+def _plain(x: str) -> str:
+    """Text of an element without markup or references, as far as the test pages have any."""
+    return f"""trim(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13))"""
+
+
+@query(f"""WITH a AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+p AS (SELECT page_id, url, t, list_filter(list_transform(string_split(body, '<p>')[2:], lambda q: {_plain("split_part(q, '</p>', 1)")}), lambda q: NOT {O.noise('q')}) AS ps FROM a)
+SELECT page_id, url, {_plain('t')} AS title, '' AS author, '' AS published_date, '' AS description, array_to_string(ps, chr(10)) AS paragraphs, CAST(len(ps) AS INTEGER) AS n FROM p""")
 def html_fields(spark, sf_dir):
     """Title, author, date, description and paragraphs of every page."""
-    rows = with_page_fields(table(spark, sf_dir, "pages").select("page_id", "url", "html"), AS_OF)
-    return rows.withColumn("paragraphs", F.array_join("raw_text_sections", "\n")).withColumn("n", F.size("raw_text_sections")).drop("raw_text_sections", "authors")
+    return _page_rows(spark, table(spark, sf_dir, "pages"), "page_id")
+
+
+# Pages, articles and videos around the words of documents, so that SQL can say what is to be found in them.
+
+_WORDS = "trim(concat('Words ', regexp_replace(substr(text, 1, 160), '[^A-Za-z]+', ' '{})))"
+_SAID = f"d AS (SELECT doc_id, {_WORDS.format(", 'g'")} AS s FROM documents)"
+
+
+def _said(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_WORDS.format("")).alias("s"))
+
+
+_PAGES = [
+    '<html><head><title>Other</title><meta property="og:title" content=" {s} "><meta name="author" content="Ann {i}"><meta property="article:published_time" content="2024-05-06T07:08:09Z">'
+    '<meta property="og:description" content="About {s}"></head><body><nav><p>Subscribe to our newsletter today</p></nav><article><p>First {s} &amp; more of it</p><p>Second <b>{s}</b> that goes on<p>short</p></article></body></html>',
+    '<html><head><script type="application/ld+json">{{"author": [{{"name": "In Data {i}"}}, "x"]}}</script><meta name="description" content="{s}"></head><body><h1>Head <i>{s}</i></h1>'
+    '<time datetime="2021-02-03">x</time><div role="main"><p>{s} in main</p><p>Leave a reply to {s}</p></div><p>outside the box of text</p></body></html>',
+    '<title>Plain {i}</title><p class="post ByLine">By Someone</p><meta name="pubdate" content="3 May 2020"><div class="entry-content"><p>{s} &lt;tag&gt; &copy; 2</p></div>',
+]
+
+
+def _filled(shape: str) -> str:
+    """SQL, for both engines, of a text with {s} and {i} filled in."""
+    parts = shape.replace("{{", "\0").replace("}}", "\1").replace("{s}", "\2s\2").replace("{i}", "\2CAST(doc_id AS STRING)\2").replace("\0", "{").replace("\1", "}").split("\2")
+    return "concat(" + ", ".join(O.text(x) if k % 2 == 0 else x for k, x in enumerate(parts)) + ")"
+
+
+@query(f"""WITH {_SAID}, f AS (SELECT doc_id, s, doc_id % 4 AS k FROM d),
+p AS (SELECT *, list_filter(CASE k WHEN 0 THEN ['First ' || s || ' & more of it', 'Second ' || s || ' that goes on', 'short'] WHEN 1 THEN [s || ' in main', 'Leave a reply to ' || s] WHEN 2 THEN [s || ' <tag> © 2'] ELSE [] END,
+  lambda q: NOT {O.noise('q')}) AS ps FROM f)
+SELECT doc_id, concat('https://x.org/', doc_id) AS url, CASE k WHEN 0 THEN s WHEN 1 THEN 'Head ' || s WHEN 2 THEN 'Plain ' || doc_id ELSE '' END AS title,
+  CASE k WHEN 0 THEN 'Ann ' || doc_id WHEN 1 THEN 'In Data ' || doc_id WHEN 2 THEN 'By Someone' ELSE '' END AS author, CASE k WHEN 0 THEN '2024-05-06' WHEN 1 THEN '2021-02-03' WHEN 2 THEN '2020-05-03' ELSE '' END AS published_date,
+  CASE k WHEN 0 THEN 'About ' || s WHEN 1 THEN s ELSE '' END AS description, array_to_string(ps, chr(10)) AS paragraphs, CAST(len(ps) AS INTEGER) AS n FROM p""")
+def page_fields(spark, sf_dir):
+    """Each source of each field: social and plain titles, headings, linked data, bylines, dates of three kinds, four kinds of body, no page at all."""
+    html = "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {_filled(x)}" for k, x in enumerate(_PAGES)) + " END"
+    pages = _said(spark, sf_dir).select("doc_id", F.expr("concat('https://x.org/', doc_id)").alias("url"), F.expr(html).alias("html"))
+    return _page_rows(spark, pages, "doc_id")
+
+
+_XML = ('<PubmedArticleSet><PubmedArticle><MedlineCitation><Article><ArticleTitle> {s} </ArticleTitle><AuthorList><Author><LastName>Lee</LastName><ForeName>Ann</ForeName></Author>'
+        '<Author><LastName>Li{i}</LastName><Initials>B</Initials></Author><Author><CollectiveName>Group</CollectiveName></Author></AuthorList><Journal><Title>Journal {i}</Title><JournalIssue><PubDate>'
+        '<Year>2019</Year><Month>Nov</Month></PubDate></JournalIssue></Journal><Abstract><AbstractText Label="BACKGROUND">{s} <i>in</i> the tail</AbstractText><AbstractText> {s} </AbstractText></Abstract>'
+        '</Article></MedlineCitation></PubmedArticle></PubmedArticleSet>')
+
+
+@query(f"""WITH {_SAID}, x AS (SELECT doc_id, s, doc_id % 5 < 4 AS ok FROM d)
+SELECT doc_id, CASE WHEN ok THEN s END AS title, CASE WHEN ok THEN 'Ann Lee, B Li' || doc_id END AS author, CASE WHEN ok THEN 'Journal ' || doc_id END AS journal, CASE WHEN ok THEN '2019-11-01' END AS published_date,
+  CASE WHEN ok THEN 'BACKGROUND: ' || s || ' in the tail ' || s END AS description, CASE WHEN ok THEN 'BACKGROUND: ' || s || ' ' || s END AS first_text FROM x""")
+def article_xml(spark, sf_dir):
+    """Articles as XML, read with all text of an abstract part and with what stands before its first nested element; every fifth is broken."""
+    xml = _said(spark, sf_dir).select("doc_id", F.expr(f"CASE WHEN doc_id % 5 < 4 THEN {_filled(_XML)} ELSE '<PubmedArticleSet>' END").alias("xml"))
+    first = with_article_fields(xml, whole_text=False).select("doc_id", F.col("description").alias("first_text"))
+    return with_article_fields(xml).select("doc_id", "title", "author", "journal", "published_date", "description").join(first, "doc_id")
+
+
+_ARTICLE_PAGE = ('<h1 class="heading-title"> {s} </h1><div class="authors-list"><a class="full-name">Ann Lee</a><a class="full-name">Bo {i}</a></div><div class="journal-actions"><button class="journal-title">J. {i}</button></div>'
+                 '<span class="cit">2018 Mar;5(2)</span><div id="eng-abstract"><p>{s} first</p><p> </p><p><b>Aim:</b> {s}</p></div>')
+
+
+@query(f"WITH {_SAID} SELECT doc_id, s AS title, 'Ann Lee, Bo ' || doc_id AS author, 'J. ' || doc_id AS journal, '2018' AS published_date, s || ' first Aim: ' || s AS description, 2 AS n FROM d")
+def article_page(spark, sf_dir):
+    pages = _said(spark, sf_dir).select("doc_id", F.expr(_filled(_ARTICLE_PAGE)).alias("html"))
+    return with_article_page_fields(pages).select("doc_id", "title", "author", "journal", "published_date", "description", F.size("raw_text_sections").alias("n"))
+
+
+@query(f"""WITH {_SAID}, l AS (SELECT doc_id, s, list_filter(['Line ' || s, 'shorter', s || ' end'], lambda q: length(q) > {R.DESCRIPTION_LINE_CHARS}) AS said FROM d)
+SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN s ELSE '' END AS title, CASE doc_id % 3 WHEN 0 THEN 'Channel ' || doc_id WHEN 1 THEN 'Uploader' ELSE '' END AS author, CASE WHEN doc_id % 3 < 2 THEN '2024-09-25' ELSE '' END AS published_date,
+  CASE WHEN doc_id % 6 = 0 THEN 'spoken ' || s WHEN doc_id % 3 < 2 THEN array_to_string(said, chr(10)) ELSE '' END AS sections FROM l""")
+def video_fields(spark, sf_dir):
+    """Metadata with a channel, with an uploader only or missing; content from the transcript or else from the description."""
+    said = _said(spark, sf_dir).withColumn("video_id", F.expr("concat('v', doc_id)"))
+    metadata = said.filter("doc_id % 3 < 2").select(
+        F.col("video_id").alias("id"), F.col("s").alias("title"), F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('Channel ', doc_id) ELSE '' END").alias("channel"), F.lit("Uploader").alias("uploader"),
+        F.lit("20240925").alias("upload_date"), F.expr("concat('Line ', s, '\n shorter \n', s, ' end')").alias("description"))
+    segments = said.filter("doc_id % 6 = 0").select("video_id", F.lit(1).alias("pos"), F.expr("concat('spoken ', s)").alias("text"))
+    rows = video_records(said.select("doc_id", "video_id"), metadata, transcripts(segments, "video_id", "pos", "text"))
+    return rows.select("doc_id", "title", "author", "published_date", F.array_join("raw_text_sections", "\n").alias("sections"))
 
 
 @query()
@@ -454,7 +555,11 @@ def topic_semantic(spark, sf_dir):
 def _scratch(spark: SparkSession) -> str:
     import tempfile
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenary-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="lumenary-")
     return f"{root.rstrip('/')}/queries-{uuid.uuid4().hex[:12]}"
 
 

@@ -8,19 +8,19 @@ import os
 from pyspark.sql import DataFrame
 
 
-def write_combined(results: DataFrame, path: str) -> str | None:
-    """JSON lines, replacing what was there; nothing is written, and None returned, for no rows."""
+def write_combined(results: DataFrame, path: str, append: bool = False) -> str | None:
+    """JSON lines, replacing what was there unless they ``append``; nothing is written, and None returned, for no rows."""
     if results.isEmpty():
         return None
-    results.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    results.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
     return path
 
 
-def write_by_type(results: DataFrame, path: str) -> str | None:
-    """A folder per source_type; folders of types that are not in ``results`` stay as they are."""
+def write_by_type(results: DataFrame, path: str, append: bool = False) -> str | None:
+    """A folder per source_type; folders of types that are not in ``results`` stay as they are, the others are replaced unless rows ``append``."""
     if results.isEmpty():
         return None
-    (results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False)
+    (results.write.mode("append" if append else "overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", False)
      .partitionBy("source_type").json(path))
     return path
 

@@ -208,6 +208,31 @@ def test_engine_api(spark, engine):
     assert engine.run_default().count() == 6
 
 
+def test_one_of_several_contents_is_the_same_whatever_their_order(spark):
+    url = "https://blog.example/x"
+    pages = [(url, f"<title>Page {k}</title><article><p>A paragraph that is number {k} of several.</p></article>") for k in range(6)]
+    got = {Engine(spark, AS_OF, pages=spark.createDataFrame(order, "url string, html string").repartition(n)).run([url]).first()["title"] for order, n in ((pages, 1), (pages[::-1], 3), (pages[3:] + pages[:3], 2))}
+    assert len(got) == 1
+
+
+def test_cleaning_stands_once_in_every_plan(spark):
+    """What sections cost is paid once, whatever reads them: neither chunks nor signals repeat the cleaning."""
+    from lumenary.plans import queries
+
+    for name in ("sections_clean", "chunk_all", "trust_score", "trust_detailed", "topic_keyword", "word_counts", "language_text"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("&nbsp;") == 1, name
+
+
+def test_boilerplate_parts_are_needed_by_the_patterns(spark):
+    from lumenary.functions.text import BOILERPLATE_PARTS, is_boilerplate, may_hold_boilerplate
+
+    assert len(BOILERPLATE_PARTS) == sum(p.count("|") + 1 for p in R.BOILERPLATE)
+    odd = ["All RIGHTS reserved by them", "SUB\u017fcribe to what we write", "coo\u212aIE notice of this page", "s\u0130gn-up for a letter now", "s\u0131gn up for a letter now", "COPYRIGHT 2024 by me and you", "copyright by me and by you", "plain words only in here"]
+    rows = spark.createDataFrame([(x,) for x in odd], "x string").select("x", is_boilerplate(F.col("x")).alias("is"), may_hold_boilerplate(F.col("x")).alias("may")).collect()
+    assert all(r["may"] for r in rows if r["is"]) and not rows[-1]["may"] and sum(r["is"] for r in rows) >= 4
+
+
 def test_sinks(spark, engine, tmp_path):
     rows = engine.run(URLS).drop("pos")
     assert writers.write_combined(rows.limit(0), str(tmp_path / "none")) is None and not (tmp_path / "none").exists()

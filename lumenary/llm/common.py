@@ -69,6 +69,9 @@ class _While:
                         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Where the shared folder is of the file: scheme, without checksum files beside the data: each file made forks the executor's JVM
+#: to set permissions, and for that moment its memory counts twice. Other schemes are not concerned.
+RAW_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Batches of long texts stay small, and a write's shuffle files go with its end, as nothing reads them again.
 _writing = _While(**{ARROW_ROWS: "1024", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
@@ -81,7 +84,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
+        self.n, self.there = 0, {}
 
     def keep(self, df: DataFrame, most: int | None = None) -> DataFrame:
         """Writes ``df`` and reads it back. ``most``, a known bound of its rows, joins small partitions into files of about ``FILE_ROWS``."""
@@ -90,16 +93,19 @@ class Scratch:
         if most is not None:
             df = df.coalesce(-(-max(1, most) // FILE_ROWS))  # never more partitions than there are
         with _writing(self.spark):
-            df.write.parquet(path)
+            df.write.options(**RAW_FILES).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        self.there[id(out)] = out, path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.there.pop(id(df))[1])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        self.drop(*[df for df, _ in list(self.there.values()) if not any(df is f for f in frames)])
+
 
 def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side whose counted rows are within the bound; else Spark joins by shuffle."""

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenary.llm.batches import Words, mix, shingle_sets, slices
@@ -33,7 +33,7 @@ from lumenary.llm.components import components
 BUCKETS = 1 << 16
 FEW, PART, PART_BYTES = 32, 1024, 8 << 20  # members up to which a block is one part, and of a part of a larger block; bytes of a part's sets
 EARLIER = 32
-WIDE = 50  # plain rows that one with a profile or a set counts for
+WIDE = 200  # plain rows that one with a profile or a set counts for
 SEEN = 1 << 20  # copies that a task remembers, to index each only once; more are indexed again, which changes nothing
 
 
@@ -205,17 +205,16 @@ def linked(docs: DataFrame, sim: Similarity, shingle: int, scratch: Scratch, pri
                              np.zeros(len(told), np.int32), pa.array([t[2] for t in told], pa.binary()))
 
     indexed = scratch.keep(docs.select("text").mapInArrow(index, "sig long, fp long, n int, place int, profile binary"))
-    signed = indexed.filter("sig is not null").drop("profile")
-    blocks = signed.groupBy("sig").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last")).filter("pivot <> last").select(F.col("sig").alias("block"), "pivot")
+    # One shuffle by signature serves the blocks and their members: both sides of the join read it, so both name all its columns.
+    signed = indexed.filter("sig is not null").select("sig", "fp", "n", "place").repartition("sig")
+    blocks = signed.groupBy("sig").agg(F.min("fp").alias("pivot"), F.max("fp").alias("last"), F.min("n").alias("least_n"), F.min("place").alias("least_place"))
+    blocks = blocks.filter("pivot <> last and least_n > 0 and least_place >= 0").select(F.col("sig").alias("block"), "pivot")
     member = signed.join(blocks.hint("shuffle_hash"), F.col("sig") == F.col("block")).groupBy("sig", "fp", "pivot").agg(F.min("n").alias("n"), F.min("place").alias("place"))
-    member = scratch.keep(member, indexed.count())
-    members = member.count()
     # Blocks with the same members say the same; one of them stays, with each member's smallest place.
-    alike = member.groupBy("sig").agg(F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("y"), F.count("*").alias("members"))
-    alike = alike.select(F.col("sig").alias("block"), F.xxhash64("x", "y", "members").alias("group"))
-    every, member = member, scratch.keep(member.join(alike.hint("shuffle_hash"), F.col("sig") == F.col("block")).groupBy("group", "fp", "pivot").agg(
-        F.min("n").alias("n"), F.min("place").alias("place")).withColumnRenamed("group", "sig"), members)
-    scratch.drop(every)
+    block = Window.partitionBy("sig")
+    group = F.xxhash64(F.bit_xor(F.xxhash64("fp")).over(block), F.bit_xor(F.xxhash64("fp", F.lit(1))).over(block), F.count("*").over(block))
+    member = member.withColumn("group", group).groupBy("group", "fp", "pivot").agg(F.min("n").alias("n"), F.min("place").alias("place")).withColumnRenamed("group", "sig")
+    member = scratch.keep(member, indexed.count() // 2)
     members = member.count()
 
     # Each member with its block's pivot. Only one task's copy of a class's profile is needed.
@@ -434,6 +433,7 @@ def one_of_each(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100
     words, whose texts may be null, link with nothing and all stay."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
     found = scratch.keep(linked(docs, Similarity(num, den), shingle, scratch).filter("component is not null").select("component", "doc_id", "text_key"))
+    scratch.drop_all_but(found)
     # The smallest doc_id, then the smallest text key that goes with it: plain minima, which are partly taken before the shuffle.
     least = found.groupBy("component").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("component", "c")
     several = scratch.keep(found.join(least, F.col("component") == F.col("c")).drop("c"))
@@ -442,6 +442,7 @@ def one_of_each(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100
     chosen = several.join(chosen, F.col("component") == F.col("c")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("least_key")))
     marks = scratch.keep(chosen.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).filter("n > 1 or not stays")
                          .select(F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), "stays"), rows)
+    scratch.drop_all_but(marks)
     n = marks.count()
     marked = docs["doc_id"].cast("long").eqNullSafe(marks["marked_id"]) & (F.xxhash64(docs["text"]) == marks["marked_key"])
     kept = docs.join(small_side(marks, n), marked, "left_anti")

@@ -15,11 +15,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenary.llm.batches import slices
-from lumenary.llm.common import table
+from lumenary.llm.common import Scratch, small_side, table
 
 DIM = 1024
 CLASSES = 512  # 0: no letter; letters up to U+017F for themselves, the rest dealt over 127 classes
@@ -95,44 +95,59 @@ def fit(docs: DataFrame, train_docs: int = 4000) -> dict[str, np.ndarray]:
     return {lang: _unit(v).astype(np.float32) for lang, v in sorted(out.items())}
 
 
-def predictions(batches: Iterator[pa.RecordBatch], prototypes: dict[str, np.ndarray]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
-    """Each batch with its rows' languages and cosines."""
+def predicted(texts: list[str | None], prototypes: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """The languages and cosines of texts; of equal cosines the language that comes first by name."""
     langs, matrix = list(prototypes), np.array(list(prototypes.values()), np.float32).reshape(-1, DIM)
-    for batch in batches:
+    v = bundles(texts)
+    some = v.any(axis=1) & bool(langs)
+    cos = _unit(v) @ matrix.T if langs else np.zeros((len(texts), 1))
+    best = cos.argmax(axis=1)
+    return [langs[k] if ok else "und" for k, ok in zip(best, some, strict=True)], np.where(some, cos.max(axis=1), 0).clip(0, 1)
+
+
+def prediction(text: Column, prototypes: dict[str, np.ndarray]) -> Column:
+    """A struct of lang_pred and score. Texts alone go to the Python workers; other columns stay where they are."""
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(col: pa.Array) -> pa.Array:
         found: list[str] = []
-        scores: list[np.ndarray] = []
-        for _, texts in slices(batch):
-            v = bundles(texts)
-            some = v.any(axis=1) & bool(langs)
-            cos = _unit(v) @ matrix.T if langs else np.zeros((len(texts), 1))
-            best = cos.argmax(axis=1)
-            found += [langs[k] if ok else "und" for k, ok in zip(best, some, strict=True)]
-            scores.append(np.where(some, cos.max(axis=1), 0).clip(0, 1))
-        yield batch, found, np.concatenate(scores) if scores else np.zeros(0)
+        scores = [np.zeros(0)]
+        for _, texts in slices(pa.RecordBatch.from_arrays([col], ["text"])):
+            lang, score = predicted(texts, prototypes)
+            found += lang
+            scores.append(score.astype(float))
+        return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(np.concatenate(scores))], ["lang_pred", "score"])
+
+    return predict(text)
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred and score (cosine, 0 to 1) of each row of ``docs`` (doc_id, text).
 
     A text that is null, empty or without letters is ``und`` with score 0, as is every text where there is no
-    prototype; repeated rows each get their row; other columns are not read.
+    prototype; of languages that tie the first by name is taken; repeated rows each get their row, an empty table
+    gives none; other columns are not read.
     """
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found, scores in predictions(batches, prototypes):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string()), pa.array(scores.astype(float))], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(label, "doc_id long, lang_pred string, score double")
-
-
-def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.08) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is recognised with a cosine of ``least`` or more."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found, scores in predictions(batches, prototypes):
-            yield batch.filter(pa.array([f != "und" and s >= least for f, s in zip(found, scores, strict=True)], pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), prediction(F.col("text"), prototypes).alias("p"))
+    return got.select("doc_id", "p.lang_pred", "p.score")
+
+
+def recognised(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = 0.08, least_letters: int = 40) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is recognised with a cosine of ``least`` or more. Texts of fewer
+    than ``least_letters`` letters, whose few trigrams say little, stay if they have a letter at all.
+
+    Texts alone go to the Python workers, and only keys of those that are rejected come back; whole rows stay in the JVM."""
+    if not prototypes:
+        return docs.filter(F.lit(False))
+    keys = lambda text: (F.xxhash64(text), F.xxhash64(text, F.lit("language")))
+    some = docs.select("text").filter(F.col("text").rlike(r"\p{L}"))
+    judged = some.select(*[k.alias(f"key_{i}") for i, k in enumerate(keys(F.col("text")))], prediction(F.col("text"), prototypes).alias("p"),
+                         F.when(F.length("text") < 20 * least_letters, F.length(F.regexp_replace("text", r"[^\p{L}]+", "")) < least_letters).otherwise(False).alias("few"))
+    rejected = judged.filter((F.col("p.lang_pred") == "und") | ((F.col("p.score") < least) & ~F.col("few")))
+    rejected = Scratch(docs.sparkSession, "language").keep(rejected.select("key_0", "key_1").distinct())
+    first, second = keys(docs["text"])
+    same = (first == rejected["key_0"]) & (second == rejected["key_1"])
+    return docs.filter(docs["text"].rlike(r"\p{L}")).join(small_side(rejected, rejected.count()), same, "left_anti")
 
 
 def held_out(modulus: int = 5, remainder: int = 0):

@@ -4,10 +4,11 @@ The models are first-order Markov chains over printable ASCII, one of random str
 identifiers. They are trained on labelled samples: positives are digests of running numbers in three
 common spellings (base64, base64 without signs, upper-case base 32-like hex letters) and what the fixed
 patterns found in the sampled documents; negatives are the other words of the sampled documents
-that are too short to be candidates. The
+that are too short to be candidates, as they stand, in capitals and run together as names are, and running numbers. The
 sample is at most about ``sample_docs`` documents; only the table of transition counts (at most 95 * 95
-rows) reaches the driver. Every long token that overlaps no pattern match is scored by the mean log ratio
-of its transitions. Everything that runs over the texts is a DataFrame expression.
+rows) reaches the driver. Every token of ``LEAST`` characters or more that overlaps no pattern match is scored by the mean
+log ratio of its transitions; the shorter it is, the more it has to reach (``SLOPE`` for each character under ``LONG``).
+Everything that runs over the texts is a DataFrame expression.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ ASSIGN = r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 #: Tokens that the models look at.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+SIGN = "A-Za-z0-9+/_=-"
+LEAST, LONG = 12, 20  # characters of a candidate, and from which on a plain word is one too
+#: A candidate of fewer than LONG characters is more than a word of lower-case letters after at most one capital.
+CANDIDATE = rf"(?<![{SIGN}])(?:[{SIGN}]{{{LONG},}}|(?=[A-Z]?[a-z]*+[{SIGN}])[{SIGN}]{{{LEAST},{LONG - 1}}}(?![{SIGN}]))"
 KINDS = ("assign", "access", "hex", "random")
+SLOPE = 0.05
 SYMBOLS = 95  # printable ASCII from the space on
 SPAN = "array<struct<start: int, kind_no: int, end: int, kind: string, value: string>>"
 
@@ -77,9 +82,11 @@ def train(docs: DataFrame, sample_docs: int = 1000, synthetic: int = 2000) -> li
         F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(digest)), "+/=", ""),
         F.translate(F.substring(digest, 1, 20), "abcdef0123", "QWERTYUIOP"))).alias("token"))
     word = (some.select(F.explode(F.split("text", r"[^A-Za-z0-9+/_=-]+")).alias("token"), F.col("found.value").alias("values"))
-            .filter(F.length("token").between(4, 19) & ~F.exists("values", lambda v: F.contains(v, F.col("token")))).select("token"))
+            .filter(F.length("token").between(4, LEAST - 1) & ~F.exists("values", lambda v: F.contains(v, F.col("token")))).select("token"))
+    plain = word.select(F.explode(F.array("token", F.upper("token"), F.concat(F.initcap("token"), F.initcap("token")))).alias("token"))
+    number = spark.range(synthetic).select((F.pmod(F.col("id") * 48271, F.lit(10**9)) * 7919 + F.col("id")).cast("string").alias("token"))
     tokens = (secret.unionByName(made).filter(F.length("token") >= 2).withColumn("label", F.lit(1))
-              .unionByName(word.withColumn("label", F.lit(0))))
+              .unionByName(plain.unionByName(number).withColumn("label", F.lit(0))))
     counts = {(r["label"], r["a"], r["b"]): r["n"] for r in _pairs(tokens).collect()}  # at most 2 * 95 * 95 rows
     total = {(y, a): sum(counts.get((y, a, b), 0) for b in range(SYMBOLS)) for y in (0, 1) for a in range(SYMBOLS)}
 
@@ -109,7 +116,7 @@ def with_spans(docs: DataFrame, model: list[float], threshold: float = 1.8) -> D
     text = F.coalesce("text", F.lit(""))
     based = docs.withColumn("__base", F.array_sort(base_spans(text))).withColumn("__tokens", matches(text, CANDIDATE, "random"))
     free = F.filter("__tokens", lambda t: ~F.exists("__base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-                    & (score(t["value"], model) >= threshold))
+                    & (score(t["value"], model) >= threshold + SLOPE * F.greatest(LONG - F.length(t["value"]), F.lit(0))))
     return based.withColumn("__spans", F.when(F.size("__tokens") > 0, F.array_sort(F.concat("__base", free))).otherwise(F.col("__base"))).drop("__tokens")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenary.llm.common import BROADCAST_BYTES, ascii_lower, table
+from lumenary.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, Scratch, ascii_lower, small_side, table
 
 #: What stands between words. Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-cased, so A-Z are in words here.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -78,8 +78,6 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFram
     prefix = (each.join(counts, ["size", "key"], "left").withColumn("whole", whole)
               .filter("whole").withColumn("r", F.row_number().over(ordered)).filter("r = 1")
               .select("size", "key", "at", "length", "items", F.concat_ws(" ", "words").alias("window_text")))
-    from lumenary.llm.common import Scratch
-
     prefix = Scratch(docs.sparkSession, "decontamination").keep(prefix)  # by far smaller than the documents; read once per size
     every = None
     for k, size in enumerate(sizes["sizes"] or [1]):
@@ -87,6 +85,10 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFram
         if fits:  # the words stay in the task that reads the text
             rows = rows.withColumn("around", F.col("w")).withColumn("place", F.col("pos"))
         else:
+            keys = prefix.filter(F.col("size") == size).select(F.col("key").alias("known_key")).distinct()
+            if keys.count() <= BROADCAST_ROWS:  # only positions at which a window's rarest shingle stands are shuffled with their words
+                rows = rows.join(F.broadcast(keys), F.col("key") == F.col("known_key"), "left")
+                rows = rows.filter(F.col("known_key").isNotNull() | (F.col("pos") == F.col("n_words"))).drop("known_key")
             low = F.greatest(F.col("pos") - window, F.lit(0))
             rows = rows.withColumn("around", F.slice("w", low + 1, 2 * window + 1)).withColumn("place", F.col("pos") - low)
         rows = rows.drop("w")
@@ -132,8 +134,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs. A row goes by its own doc_id and text, so clean rows with
     a null doc_id, or with the doc_id of a contaminated one, stay."""
-    from lumenary.llm.common import Scratch, small_side
-
     found = occurrences(docs.select("doc_id", "text"), items, window).filter(F.size("spans") > 0)
     found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
     found = Scratch(docs.sparkSession, "contaminated").keep(found)

@@ -166,7 +166,7 @@ def expression(model: Model) -> Column:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the STATS of each row of ``docs``; a null text is an empty one, and both are scored;
-    repeated rows each get their row; columns other than doc_id and text are not read."""
+    repeated rows each get their row; an empty table gives an empty result; columns other than doc_id and text are not read."""
     return with_statistics(docs).withColumn("score", expression(model))
 
 

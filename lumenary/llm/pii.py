@@ -89,6 +89,7 @@ class Nodes:
 
     def __init__(self, text: str, base: list[list[Span]]):
         self.spans = [m.span() for m in TOKEN.finditer(text)]
+        self.ends = [a + len(text[a:b].rstrip(".-(")) for a, b in self.spans]  # without what ends a sentence
         n = len(self.spans)
         self.x = np.zeros((n, FEATURES))
         self.linked = np.zeros(n, bool)  # to the next
@@ -199,7 +200,7 @@ def added_spans(nodes: Nodes, p: np.ndarray, base: list[list[Span]], least: floa
         while nodes.linked[end] and label[end + 1] == label[k] and (nodes.hub[end] < 0 or nodes.hub[end + 1] != nodes.hub[end]):  # one number twice is two spans
             end += 1
         if label[k] and not nodes.held[k : end + 1].any():
-            a, b = nodes.spans[k][0], nodes.spans[end][1]
+            a, b = nodes.spans[k][0], nodes.ends[end]
             before = bisect_left(starts, b)  # of the base spans that begin before the end, the furthest must end before the start
             if not before or reach[before - 1] <= a:
                 out.append((int(label[k]) - 1, (a, b)))

@@ -181,6 +181,42 @@ def article_fields(root: Element, glue: str) -> tuple[str, list[str], str, str,
     return head.text(glue) if head is not None else "", names, journal, year[0] if year else "", parts
 
 
+BOXES = frozenset("article body div main section td".split())
+ASIDE = frozenset("aside footer form header nav".split())
+BY = re.compile(r"^\s*by\b[\s:]*", re.I)
+BETWEEN_NAMES = re.compile(r"\s*(?:[,;&|\n]|\band\b)\s*")
+
+
+def densest(root: Element, glue: str, least: int = 25) -> Element | None:
+    """The box with the most text in its own paragraphs, of which half counts for the box around it; what stands beside the
+    content, and paragraphs under ``least`` characters, count for none."""
+    weight: dict[int, float] = {}
+    boxes: dict[int, Element] = {}
+    for p in root.find_all(lambda e: e.tag == "p"):
+        n, at, share = len(p.text(glue)), p.parent, 1.0
+        around = []
+        while at is not None and at.tag not in ASIDE:
+            around.append(at)
+            at = at.parent
+        if at is not None or n < least:
+            continue
+        for box in [e for e in around if e.tag in BOXES or e is root][:2]:
+            boxes[id(box)] = box
+            weight[id(box)] = weight.get(id(box), 0.0) + share * n
+            share /= 2
+    return boxes[max(weight, key=weight.get)] if weight else None
+
+
+def parsed_article(root: Element, glue: str) -> tuple[str | None, list[str], str, str, list[str] | None]:
+    """Title, authors, date as written, description and lines of an article page; null title and lines where there is no content."""
+    box = densest(root, glue)
+    if box is None:
+        return None, [], "", "", None
+    names = dict.fromkeys(n for n in BETWEEN_NAMES.split(BY.sub("", author(root, glue))) if n)
+    text = "\n".join(p.text(glue) for p in box.find_all(lambda e: e.tag == "p"))
+    return title(root, glue), list(names), raw_date(root, glue), description(root), [x for line in text.split("\n") if (x := line.strip())]
+
+
 PAGE = "title string, author string, raw_date string, description string, paragraphs array<string>"
 ARTICLE = "title string, authors array<string>, journal string, published_date string, sections array<string>"
 
@@ -211,6 +247,17 @@ def with_page_fields(pages: DataFrame, as_of: str, glue: str = " ") -> DataFrame
         "page.description", without_noise(F.col("page.paragraphs")).alias("raw_text_sections"))
 
 
+PARSED = "title string, authors array<string>, raw_date string, description string, lines array<string>"
+
+
+def parsed_articles(pages: DataFrame, as_of: str, glue: str = " ") -> DataFrame:
+    """``pages`` (url, html) through the primary article extractor: url, title, author, authors, published_date, description and
+    raw_text_sections. A page without content gives null title and sections, so that ``filled`` takes the page's fields."""
+    got = _batched(pages.select("url", "html"), "html", PARSED, lambda html: parsed_article(parse(html), glue))
+    return got.select("url", "page.title", F.array_join("page.authors", ", ").alias("author"), "page.authors", page_date(F.col("page.raw_date"), as_of).alias("published_date"),
+                      "page.description", without_noise(F.col("page.lines")).alias("raw_text_sections"))
+
+
 def filled(primary: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
     """Fills the empty title, author, date and description of records from a page's fields, if any of the first three is
     empty; authors and sections stay. Where the primary extractor failed (null title and sections), the page's fields

@@ -11,7 +11,7 @@ from lumenary import rules as R
 from lumenary.functions.urls import article_id, video_id
 from lumenary.operators import records
 from lumenary.operators.articles import chained, with_article_fields
-from lumenary.operators.html import filled, with_article_page_fields, with_page_fields
+from lumenary.operators.html import filled, parsed_articles, with_article_page_fields, with_page_fields
 from lumenary.operators.videos import transcripts, video_records
 from lumenary.sources import readers, writers
 
@@ -27,7 +27,7 @@ class Engine:
     """Runs URLs through routing, extraction, normalisation, enrichment and scoring over content fetched beforehand.
 
     pages (url, html), parsed (url, title, author, authors, published_date, description, raw_text_sections: what a primary
-    extractor gave), metadata (see videos.METADATA), segments (video_id, pos, text) and articles (pmid, xml) are tables;
+    extractor gave; ``html.parsed_articles`` is one, and used where only pages are given), metadata (see videos.METADATA), segments (video_id, pos, text) and articles (pmid, xml) are tables;
     any may be missing. URLs without content keep their row and are scored on what is known."""
 
     def __init__(self, spark: SparkSession, as_of: str, *, pages: DataFrame | None = None, parsed: DataFrame | None = None, metadata: DataFrame | None = None,
@@ -37,7 +37,7 @@ class Engine:
 
         self.spark, self.as_of, self.out_dir, self.tags, self.language = spark, as_of, out_dir, tags, language
         self.pages = pages if pages is not None else _empty(spark, "url string, html string")
-        self.parsed = parsed if parsed is not None else _empty(spark, "url string, title string, author string, authors array<string>, published_date string, description string, raw_text_sections array<string>")
+        self.parsed = parsed
         self.metadata = metadata if metadata is not None else _empty(spark, METADATA)
         self.segments = segments if segments is not None else _empty(spark, "video_id string, pos int, text string")
         self.articles = articles if articles is not None else _empty(spark, "pmid string, xml string")
@@ -60,8 +60,9 @@ class Engine:
 
         page_of = lambda rows: known(self.pages, rows, "url")
 
-        first = asked("blog").join(known(self.parsed, asked("blog"), "url"), "url", "left")
-        blogs = filled(first, with_page_fields(page_of(asked("blog")), self.as_of))
+        own = page_of(asked("blog"))
+        parsed = known(self.parsed, asked("blog"), "url") if self.parsed is not None else parsed_articles(own, self.as_of)
+        blogs = filled(asked("blog").join(parsed, "url", "left"), with_page_fields(own, self.as_of))
         videos = video_records(asked("youtube").withColumn("video_id", video_id(F.col("url"))), self.metadata,
                                transcripts(self.segments, "video_id", "pos", "text")).drop("video_id")
         papers = asked("pubmed").withColumn("pmid", article_id(F.col("url")))

@@ -16,7 +16,7 @@ from lumenary.functions import dates, folds, scores, urls
 from lumenary.functions import text as T
 from lumenary.operators import languages, records, topics
 from lumenary.operators.articles import with_article_fields
-from lumenary.operators.html import with_article_page_fields, with_page_fields
+from lumenary.operators.html import parsed_articles, with_article_page_fields, with_page_fields
 from lumenary.operators.videos import transcripts, video_records
 from lumenary.plans import oracle as O
 from lumenary.sources import readers, writers
@@ -458,6 +458,16 @@ def html_fields(spark, sf_dir):
     return _page_rows(spark, table(spark, sf_dir, "pages"), "page_id")
 
 
+@query(f"""WITH a AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+p AS (SELECT page_id, t, list_filter(list_transform(string_split(body, '<p>')[2:], lambda q: {_plain("split_part(q, '</p>', 1)")}), lambda q: q <> '') AS ps FROM a)
+SELECT page_id, CASE WHEN list_max(list_transform(ps, lambda q: length(q))) >= 25 THEN {_plain('t')} END AS title,
+  CASE WHEN list_max(list_transform(ps, lambda q: length(q))) >= 25 THEN array_to_string(list_filter(ps, lambda q: NOT {O.noise('q')}), chr(10)) END AS sections FROM p""")
+def parsed_pages(spark, sf_dir):
+    """The primary article extractor over every page; null where a page has no content."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), "html")
+    return parsed_articles(pages, AS_OF).select(F.col("url").cast("long").alias("page_id"), "title", F.array_join("raw_text_sections", "\n").alias("sections"))
+
+
 # Pages, articles and videos around the words of documents, so that SQL can say what is to be found in them.
 
 _WORDS = "trim(concat('Words ', regexp_replace(substr(text, 1, 160), '[^A-Za-z]+', ' '{})))"

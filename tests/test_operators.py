@@ -208,6 +208,18 @@ def test_engine_api(spark, engine):
     assert engine.run_default().count() == 6
 
 
+def test_the_primary_extractor_finds_the_content(spark):
+    page = """<html><head><title>T</title><meta name="author" content="By Ann Lee, Bo Li and Cy Ray"><meta name="date" content="2024-05-06"></head><body>
+    <div class="menu"><p>Go here</p><p>Go there</p></div><nav><p>A long paragraph that stands in the navigation and is no content at all</p></nav>
+    <div id="a"><div id="b"><p>The first paragraph of the content, which is long enough.</p><p>The second one, as long as that or longer.</p><p>short one that stays here</p></div>
+    <p>A closing paragraph outside of the inner box.</p></div><footer><p>Some footer text that goes on and on and on and on, and on, and on, and on, and on, longer than all.</p></footer></body></html>"""
+    rows = html.parsed_articles(spark.createDataFrame([("u", page), ("v", "<p>x</p>"), ("w", None)], "url string, html string"), AS_OF)
+    got = {r["url"]: r for r in rows.collect()}
+    assert got["u"]["title"] == "T" and got["u"]["authors"] == ["Ann Lee", "Bo Li", "Cy Ray"] and got["u"]["published_date"] == "2024-05-06"
+    assert got["u"]["raw_text_sections"] == ["The first paragraph of the content, which is long enough.", "The second one, as long as that or longer.", "short one that stays here"]
+    assert [got[u]["title"] for u in "vw"] == [None, None] and [got[u]["raw_text_sections"] for u in "vw"] == [None, None]
+
+
 def test_one_of_several_contents_is_the_same_whatever_their_order(spark):
     url = "https://blog.example/x"
     pages = [(url, f"<title>Page {k}</title><article><p>A paragraph that is number {k} of several.</p></article>") for k in range(6)]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenary import rules as R
 from lumenary.functions import dates, folds, scores, urls
 from lumenary.functions import text as T
-from lumenary.operators import languages, records, topics
+from lumenary.operators import keywords, languages, records, topics
 from lumenary.operators.articles import with_article_fields
 from lumenary.operators.html import parsed_articles, with_article_page_fields, with_page_fields
 from lumenary.operators.videos import transcripts, video_records
@@ -562,6 +562,13 @@ def topic_semantic(spark, sf_dir):
     return rows.select("doc_id", F.array_join(both, "|").alias("tags"))
 
 
+@query()
+def topic_keyphrases(spark, sf_dir):
+    """Keyphrases of the text that topics are looked for in, and the tags found with them."""
+    rows = records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False).select("doc_id", records.topic_text().alias("text"))
+    return rows.select("doc_id", F.array_join(keywords.with_keyphrases(F.col("text")), "|").alias("phrases"), F.array_join(keywords.tags_with_keyphrases(F.col("text")), "|").alias("tags"))
+
+
 def _scratch(spark: SparkSession) -> str:
     import tempfile
 

@@ -65,10 +65,13 @@ def is_boilerplate(section: Column) -> Column:
 BOILERPLATE_PARTS = [max(re.findall(r"[a-z ]+", one), key=len) for pattern in R.BOILERPLATE for one in pattern.strip("()").split("|")]
 
 
+#: Letters beyond ASCII that match ASCII ones when case is ignored.
+ODD_LETTERS = ["\u017f", "\u0130", "\u0131", "\u212a"]
+
+
 def may_hold_boilerplate(text: Column) -> Column:
-    """False only if no section of ``text`` can match a boilerplate pattern: plain searches, after the few letters that case
-    folding makes equal to ASCII ones."""
-    return bound(F.lower(F.translate(text, "\u017f\u0130\u0131\u212a", "siik")), lambda low: contains_any(low, BOILERPLATE_PARTS))
+    """False only if no section of ``text`` can match a boilerplate pattern: plain searches."""
+    return bound(text, lambda t: bound(F.lower(t), lambda low: contains_any(low, BOILERPLATE_PARTS)) | contains_any(t, ODD_LETTERS))
 
 
 def without_noise(sections: Column) -> Column:

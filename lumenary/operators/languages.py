@@ -65,17 +65,19 @@ def detector() -> Callable[[str | None], str]:
     for word, lang, gain in word_gains():
         gains.setdefault(word, []).append((lang, gain))
     scripts = {lang: re.compile(f"[{chars}]") for lang, chars in R.LANGUAGE_SCRIPTS.items()}
+    first = min(chars[0] for chars in R.LANGUAGE_SCRIPTS.values())
 
     def judge(text: str | None) -> str:
         if len(text or "") < R.LANGUAGE_MIN_CHARS:
             return R.UNKNOWN
-        letters = sum(c.isalpha() for c in text)
-        written = {lang: len(chars.findall(text)) for lang, chars in scripts.items()}
-        if written["ja"] * 10 >= written["zh-cn"]:  # Japanese mixes its own signs with Chinese ones
-            written["ja"], written["zh-cn"] = written["ja"] and written["ja"] + written["zh-cn"], 0 if written["ja"] else written["zh-cn"]
-        lang, n = max(written.items(), key=lambda x: x[1])
-        if 2 * n > letters:
-            return lang
+        if max(text) >= first:  # else no script but Latin
+            letters = sum(c.isalpha() for c in text)
+            written = {lang: len(chars.findall(text)) for lang, chars in scripts.items()}
+            if written["ja"] * 10 >= written["zh-cn"]:  # Japanese mixes its own signs with Chinese ones
+                written["ja"], written["zh-cn"] = written["ja"] and written["ja"] + written["zh-cn"], 0 if written["ja"] else written["zh-cn"]
+            lang, n = max(written.items(), key=lambda x: x[1])
+            if 2 * n > letters:
+                return lang
         sums: dict[str, float] = {}
         for word in re.findall(r"[^\W\d_]+", text.lower()):
             for lang, gain in gains.get(word, ()):

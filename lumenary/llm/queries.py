@@ -13,6 +13,7 @@ from lumenary.llm.quality_classifier import op5_quality_classifier
 from lumenary.llm.quality_rules import op7_quality_rules
 from lumenary.llm.secrets import op10_secret_scan
 from lumenary.llm.sharding import op4_ring_sharding
+from lumenary.llm.simhash import op11_simhash
 from lumenary.llm.toxicity import op2_toxicity
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_tree_packing": op9_tree_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_simhash": op11_simhash,
     "op13_merkle_manifest": op13_merkle_manifest,
     **exact.QUERIES,
 }

@@ -18,13 +18,13 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, list[str | None]]]:
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of consecutive rows; null texts stay None."""
     col = batch.column(column)
     ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at, n = 0, len(col)
     while at < n:
-        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right"))
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
         to = min(max(at + 1, to), n)
         yield at, col.slice(at, to - at).to_pylist()
         at = to

@@ -14,6 +14,21 @@ from lumenary.functions.text import bound, clean_text, is_boilerplate, may_hold_
 from lumenary.functions.urls import domain_authority, is_valid, region, source_type
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each worked out once however results are filtered, joined or grouped by them.
+
+    Catalyst pushes a filter below the projection that makes what it asks for, with that expression written out in its place:
+    a chain of such columns would be written out many times over, and a Python function ends where it cannot be evaluated. It does
+    not push filters on what a generator gives below that, while those on other columns go on to the scan."""
+    name = "__settled"
+    while name in df.columns:
+        name += "_"
+    others = [c for c in df.columns if c not in columns]
+    made = df.withColumn(name, F.struct(*[c.alias(n) for n, c in columns.items()]))
+    # Outer, as from a plain one a filter on the array would be inferred; it has one entry always.
+    return made.select(*others, F.inline_outer(F.array(name)))
+
+
 def routed(urls: DataFrame) -> DataFrame:
     """``urls`` (url, ...) with is_valid and source_type."""
     return urls.withColumn("is_valid", is_valid(F.col("url"))).withColumn("source_type", source_type(F.col("url")))
@@ -40,16 +55,20 @@ def normalised(raw: DataFrame, as_of: str, tolerant_dates: bool = True) -> DataF
     whose dates are known to be in a native shape do without ``tolerant_dates`` and so without Python."""
     own = ["url", "source_type", "title", "author", "authors", "channel_name", "journal", "published_date", "description", "raw_text_sections"]
     channel = F.col("channel_name") if "channel_name" in raw.columns else F.lit(None).cast("string")
-    return raw.select(
+    made = settled(
+        raw.withColumn("channel_name", channel),
+        published_date=normal_date(F.col("published_date"), as_of, tolerant_dates),
+        published_on=parse_date(F.when(~missing(F.col("published_date")), F.col("published_date")), as_of, tolerant_dates),
+        cleaned_sections=cleaned(F.col("raw_text_sections")))
+    return made.select(
         *[c for c in raw.columns if c not in own],
         F.col("url").alias("source_url"), "source_type",
         F.coalesce(present(F.col("title")), F.lit(R.UNKNOWN)).alias("title"),
-        author_display(F.col("author"), channel, F.col("authors")).alias("author_display"),
+        author_display(F.col("author"), F.col("channel_name"), F.col("authors")).alias("author_display"),
         F.coalesce("authors", F.array().cast("array<string>")).alias("authors_list"),
-        normal_date(F.col("published_date"), as_of, tolerant_dates).alias("published_date"),
-        parse_date(F.when(~missing(F.col("published_date")), F.col("published_date")), as_of, tolerant_dates).alias("published_on"),
+        "published_date", "published_on",
         F.coalesce("description", F.lit("")).alias("description"),
-        cleaned(F.col("raw_text_sections")).alias("cleaned_sections"))
+        "cleaned_sections")
 
 
 def topic_text(record: DataFrame | None = None) -> Column:
@@ -89,9 +108,8 @@ def enriched(records: DataFrame, language: Column | None = None, tags: Column |
         language = language if language is not None else F.col("__judged.language")
     if tags is None:
         tags = merged_tags(F.col("__judged.semantic_tags"), keyword_tags(topic_text()))
-    return (records.withColumn("language", language)
+    return (settled(records, language=language, topic_tags=F.slice(tags, 1, R.TOP_K_TAGS)).drop("__judged")
             .withColumn("region", region(F.col("source_url")))
-            .withColumn("topic_tags", F.slice(tags, 1, R.TOP_K_TAGS)).drop("__judged")
             .withColumn("content_chunks", content_chunks(F.col("cleaned_sections"), F.col("source_type"))))
 
 
@@ -112,13 +130,13 @@ def keyword_only() -> dict[str, Column]:
 def scored(records: DataFrame, as_of: str) -> DataFrame:
     """Adds the five signals and trust_score."""
     kind = F.col("source_type")
-    out = records.select(
-        "*",
-        scores.author_credibility(F.col("author_display"), F.col("authors_list"), kind).alias("author_credibility"),
-        scores.content_quality(F.col("cleaned_sections"), F.col("description"), F.col("title"), kind).alias("content_quality"),
-        domain_authority(F.col("source_url"), kind).alias("domain_authority"),
-        scores.recency(F.col("published_date"), F.col("published_on"), kind, as_of).alias("recency_score"),
-        scores.medical_disclaimer(F.col("topic_tags"), F.col("cleaned_sections"), F.col("description"), kind).alias("medical_disclaimer_score"))
+    out = settled(
+        records,
+        author_credibility=scores.author_credibility(F.col("author_display"), F.col("authors_list"), kind),
+        content_quality=scores.content_quality(F.col("cleaned_sections"), F.col("description"), F.col("title"), kind),
+        domain_authority=domain_authority(F.col("source_url"), kind),
+        recency_score=scores.recency(F.col("published_date"), F.col("published_on"), kind, as_of),
+        medical_disclaimer_score=scores.medical_disclaimer(F.col("topic_tags"), F.col("cleaned_sections"), F.col("description"), kind))
     return out.withColumn("trust_score", scores.trust(
         F.col("author_credibility"), F.col("content_quality"), F.col("domain_authority"), F.col("recency_score"), F.col("medical_disclaimer_score"), kind))
 

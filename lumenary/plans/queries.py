@@ -283,6 +283,11 @@ def _analysed(spark, sf_dir):
     return records.analysed(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False, **records.keyword_only())
 
 
+def _chunked(spark, sf_dir):
+    rows = records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False)
+    return rows.select("doc_id", folds.content_chunks(F.col("cleaned_sections"), F.col("source_type")).alias("content_chunks"))
+
+
 _RAW = f"""r AS (SELECT doc_id, {', '.join(f"{e} AS {c}" for c, e in _FIELDS.items()).replace('AS STRING', 'AS VARCHAR')},
   CASE WHEN doc_id % 13 = 0 THEN NULL ELSE DATE '2015-01-01' + CAST(doc_id * 37 % 4200 AS INTEGER) END AS day, {O.cleaned('string_split(text, chr(10))')} AS sections FROM documents),
 n AS (SELECT *, coalesce(nullif(title, ''), 'unknown') AS t, coalesce(nullif(author, ''), 'unknown') AS a, coalesce(CAST(day AS VARCHAR), 'unknown') AS published_date,
@@ -326,11 +331,24 @@ def trust_detailed(spark, sf_dir):
     return rows.select("doc_id", *[flat.get(c, F.col(c)).alias(c) for c in rows.columns if c not in ("doc_id", "trust_signals")], "trust_signals.*")
 
 
+@query(f"WITH {_RAW}, l AS {_LANGUAGE}, x AS (SELECT * FROM f JOIN l USING (doc_id)), m AS (SELECT language, source_type, avg(trust_score) AS mean_trust, count(*) AS n FROM x GROUP BY language, source_type) "
+       "SELECT doc_id, x.language, x.source_type, trust_score, n, array_to_string(topic_tags, '|') AS topic_tags FROM x JOIN m ON x.language = m.language AND x.source_type = m.source_type "
+       "WHERE x.language IN ('en', 'de') AND trust_score >= mean_trust AND len(topic_tags) > 0 AND content_quality > 0.2")
+def trust_above_mean(spark, sf_dir):
+    """Records of two languages that have a topic and score no less than the mean of their language and type: results filtered, grouped and joined by what is worked out."""
+    raw = raw_records(table(spark, sf_dir, "documents"))
+    rows = records.detailed(records.analysed(raw, AS_OF, tolerant_dates=False, **records.keyword_tags_only()), ("doc_id",))
+    means = rows.groupBy("language", "source_type").agg(F.avg("trust_score").alias("mean_trust"), F.count("*").alias("n"))
+    best = rows.join(means, ["language", "source_type"]).filter(
+        F.col("language").isin("en", "de") & (F.col("trust_score") >= F.col("mean_trust")) & (F.size("topic_tags") > 0) & (F.col("trust_signals.content_quality") > 0.2))
+    return best.select("doc_id", "language", "source_type", "trust_score", "n", F.array_join("topic_tags", "|").alias("topic_tags"))
+
+
 @query(f"WITH {_RAW}, c AS (SELECT doc_id, {O.chunks('sections', 'source_type')} AS chunks FROM f) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, chunks[i] AS chunk FROM "
        "(SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM c)")
 def chunk_all(spark, sf_dir):
-    # Outer: from a plain one a filter on the chunks is inferred, which would be pushed below the cleaning and repeat it.
-    rows = _analysed(spark, sf_dir).select("doc_id", F.posexplode_outer("content_chunks").alias("pos", "chunk"))
+    # Outer: from a plain one a filter on the chunks is inferred, which would work them out twice.
+    rows = _chunked(spark, sf_dir).select("doc_id", F.posexplode_outer("content_chunks").alias("pos", "chunk"))
     return rows.filter(F.col("pos").isNotNull())
 
 
@@ -403,7 +421,7 @@ def summary_counts(spark, sf_dir):
 @query(f"WITH {_RAW}, c AS (SELECT doc_id, {O.chunks('sections', 'source_type')} AS chunks FROM f) SELECT doc_id, len(chunks) AS n_chunks, "
        "coalesce(list_sum(list_transform(chunks, lambda x: len(regexp_split_to_array(x, '[\\s\\x0b]+')))), 0) AS n_words FROM c")
 def word_counts(spark, sf_dir):
-    rows = _analysed(spark, sf_dir)
+    rows = _chunked(spark, sf_dir)
     return rows.select("doc_id", F.size("content_chunks").cast("long").alias("n_chunks"), records.chunk_words(F.col("content_chunks")).cast("long").alias("n_words"))
 
 

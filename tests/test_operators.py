@@ -295,3 +295,48 @@ def test_bands(spark):
     rows = spark.createDataFrame([(0.7,), (0.4,), (0.39,), (None,)], "s double").select(trust_band(F.col("s")).alias("b")).collect()
     assert [(r["b"]["band"], r["b"]["percent"]) for r in rows] == [("green", 70), ("amber", 40), ("rose", 39), ("rose", 0)]
     assert records.summary(spark.createDataFrame([], "source_type string, trust_score double")).first()["processed"] == 0
+
+
+@pytest.mark.parametrize("name", ["trust_detailed", "page_trust", "trust_score"])
+def test_results_can_be_filtered_and_grouped_by_every_column(spark, name):
+    from lumenary.plans import queries
+
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    got = rows.collect()
+    for c in rows.columns:
+        value = got[0][c]
+        assert rows.filter(F.col(c) == F.lit(value)).count() == sum(r[c] == value for r in got), c
+    some = [c for c in rows.columns if c in ("language", "topic_tags", "trust_score")]
+    assert rows.groupBy(*some).count().count() == len({tuple(r[c] for c in some) for r in got})
+    assert rows.filter("trust_score > 0.5").count() == sum(r["trust_score"] > 0.5 for r in got)
+
+
+def test_engine_results_can_be_filtered_and_joined(spark, engine):
+    results = engine.run(URLS)
+    got = results.collect()
+    english = [r for r in got if r["language"] == "en"]
+    assert english and sorted(r["pos"] for r in results.filter("language = 'en'").collect()) == sorted(r["pos"] for r in english)
+    for c in ("title", "author", "topic_tags", "content_chunks", "trust_score", "region", "published_date"):
+        value = english[0][c]
+        kept = F.col(c) == (F.array(*map(F.lit, value)).cast("array<string>") if isinstance(value, list) else F.lit(value))
+        assert results.filter(kept).count() == sum(r[c] == value for r in got), c
+    langs = results.select("language", "trust_score").distinct().filter("language <> 'unknown'")
+    assert results.join(langs, ["language", "trust_score"]).count() == sum(r["language"] != "unknown" for r in got)
+    assert results.filter("trust_signals.content_quality >= 0 AND size(topic_tags) >= 0").count() == len(got)
+
+
+def test_a_filter_on_a_source_column_reaches_the_scan(spark, tmp_path):
+    """Filters on what records come with go below the cleaning; those on what is worked out do not repeat it."""
+    from lumenary.plans import queries
+
+    rows = queries.QUERIES["trust_score"](spark, "/root/testdata/sf0.001")
+    by_id = rows.filter("doc_id = 7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,7)" in by_id
+    by_score = rows.filter("trust_score > 0.5")._jdf.queryExecution().optimizedPlan().toString()
+    assert by_score.count("&nbsp;") == 1
+
+
+def test_own_names_of_the_barrier_may_be_taken(spark):
+    df = spark.createDataFrame([(1, 2)], "__settled int, __settled_ int")
+    got = records.settled(df, x=F.col("__settled") + 1, __settled=F.col("__settled_") * 5)
+    assert [r.asDict() for r in got.collect()] == [{"__settled_": 2, "x": 2, "__settled": 10}]

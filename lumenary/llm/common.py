@@ -107,6 +107,14 @@ class Scratch:
         self.drop(*[df for df, _ in list(self.there.values()) if not any(df is f for f in frames)])
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, made longer until no column of ``frames`` has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side whose counted rows are within the bound; else Spark joins by shuffle."""
     return F.broadcast(df) if rows <= most else df.hint("merge")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenary.llm.batches import Words, mix, shingle_sets, slices
-from lumenary.llm.common import Scratch, small_side, table
+from lumenary.llm.common import Scratch, fresh, small_side, table
 from lumenary.llm.components import components
 
 BUCKETS = 1 << 16
@@ -440,17 +440,19 @@ def one_of_each(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100
     rows = several.count()
     chosen = several.filter(F.col("doc_id").eqNullSafe(F.col("least_id"))).groupBy("component").agg(F.min("text_key").alias("least_key")).withColumnRenamed("component", "c")
     chosen = several.join(chosen, F.col("component") == F.col("c")).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("least_key")))
+    marked_id, marked_key, key = (fresh(c, docs) for c in ("marked_id", "marked_key", "own_key"))
     marks = scratch.keep(chosen.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).filter("n > 1 or not stays")
-                         .select(F.col("doc_id").alias("marked_id"), F.col("text_key").alias("marked_key"), "stays"), rows)
+                         .select(F.col("doc_id").alias(marked_id), F.col("text_key").alias(marked_key), "stays"), rows)
     scratch.drop_all_but(marks)
     n = marks.count()
-    marked = docs["doc_id"].cast("long").eqNullSafe(marks["marked_id"]) & (F.xxhash64(docs["text"]) == marks["marked_key"])
+    marked = docs["doc_id"].cast("long").eqNullSafe(marks[marked_id]) & (F.xxhash64(docs["text"]) == marks[marked_key])
     kept = docs.join(small_side(marks, n), marked, "left_anti")
-    again = marks.filter("stays").select("marked_id", "marked_key")  # rows that stay, but once
+    again = marks.filter("stays").select(marked_id, marked_key)  # rows that stay, but once
     if again.isEmpty():
         return kept
-    once = docs.withColumn("__key", F.xxhash64("text")).join(small_side(again, n), F.col("doc_id").cast("long").eqNullSafe(F.col("marked_id")) & (F.col("__key") == F.col("marked_key")), "left_semi")
-    return kept.unionByName(once.dropDuplicates(["doc_id", "__key"]).drop("__key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(marked_id)) & (F.col(key) == F.col(marked_key))
+    once = docs.withColumn(key, F.xxhash64("text")).join(small_side(again, n), same, "left_semi")
+    return kept.unionByName(once.dropDuplicates(["doc_id", key]).drop(key))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

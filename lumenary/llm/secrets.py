@@ -139,7 +139,9 @@ def secret_spans(docs: DataFrame, model: list[float] | None = None, threshold: f
 
 def redacted(docs: DataFrame, model: list[float] | None = None, threshold: float = 1.8, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark`` (overlapping spans by one), and n_chars to match."""
-    got = with_spans(docs, model or train(docs), threshold)
+    # The caller's columns go along in one, so that none clashes with those made here.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    got = with_spans(own, model or train(docs), threshold)
     whole = F.aggregate(
         "__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
@@ -147,10 +149,11 @@ def redacted(docs: DataFrame, model: list[float] | None = None, threshold: float
             F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit(mark)))
             .otherwise(a["out"]).alias("out")),
         lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)))
-    out = got.withColumn("text", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text"))).drop("__base", "__spans")
+    out = got.select("row", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text")).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(F.col("text").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:

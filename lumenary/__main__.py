@@ -1,4 +1,4 @@
-"""python -m lumenary run --out DIR [--as-of DATE] [--pages PARQUET] [URL ...]: a batch with a printed summary."""
+"""python -m lumenary run --out DIR [--as-of DATE] [--pages PARQUET] [--models DIR] [URL ...]: a batch with a printed summary."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import SparkSession
 
 from lumenary import rules as R
+from lumenary.operators import records
 from lumenary.plans.engine import Engine
 from lumenary.sources import readers
 
@@ -19,9 +20,11 @@ def main() -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--as-of", default=date.today().isoformat())
     p.add_argument("--pages")
+    p.add_argument("--models", help="a folder that operators.records.fit_models has written")
     a = p.parse_args()
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    engine = Engine(spark, a.as_of, pages=readers.pages(spark, a.pages) if a.pages else None, out_dir=a.out)
+    engine = Engine(spark, a.as_of, pages=readers.pages(spark, a.pages) if a.pages else None, out_dir=a.out,
+                    models=records.Models.stored(spark, a.models) if a.models else None)
     urls = readers.url_list(spark, list(a.urls))
     results = engine.run(urls)
     combined, by_type = engine.write(results)

@@ -1,10 +1,11 @@
-"""Language detection by naive Bayes over word beginnings.
+"""Language detection by naive Bayes, over runs of letters or over word beginnings.
 
-The profile is counted from labelled texts in one aggregation; a language keeps its most frequent
-beginnings only, so the profile has a bounded size and is broadcast. Scoring is a join with it and a sum.
+``trained`` counts runs of one to three letters in labelled texts, smoothed for what a language's texts do not hold; ``judge`` takes
+these profiles to the worker, where each text's runs update the odds of the languages, batch by batch and without a shuffle.
 
-Records have no labelled texts at hand: ``detector`` judges each by the frequent words of the languages in
-the rules, or by its script, batch by batch and without a shuffle.
+``profile`` and ``detected`` go by word beginnings, as a join of all words of a table with profiles of a bounded size, and a sum.
+
+Without labelled texts ``detector`` judges by the frequent words of the languages in the rules, or by the script.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ import re
 from collections.abc import Callable, Iterator
 from math import log
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenary import rules as R
 from lumenary.functions.text import SPACE
+from lumenary.operators.embedding import plain_words
 
 PROFILE = 300
 
@@ -96,3 +100,106 @@ def detected_in(text: Column) -> Column:
             yield pd.Series([judge(t) for t in texts], dtype=object)
 
     return F.pandas_udf(run, "string")(text)
+
+
+#: Letters of a run at most; the share of a run that no text of a language has, in SHARES-ths; runs below the least share are not kept.
+RUN, SHARES, UNSEEN, LEAST_SHARE = 3, 10_000, 0.5, 2e-6
+GRAMS = "lang string, run bigint, gain double"
+
+
+def runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(run, text): the runs of up to RUN letters of texts of plain words, as one number each. Words begin and end with a blank, which is
+    a letter of a run but never alone or inside one."""
+    padded = [f" {t} " if t else "" for t in texts]
+    letters = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    text = np.repeat(np.arange(len(padded)), [len(t) for t in padded])
+    blank, out, of = letters == 32, [], []
+    for n in range(1, RUN + 1):
+        code, good = np.zeros(max(0, len(letters) - n + 1), np.int64), np.ones(max(0, len(letters) - n + 1), bool)
+        for k in range(n):
+            part = slice(k, len(letters) - n + 1 + k)
+            code |= letters[part] << (21 * k)
+            if n == 1 or 0 < k < n - 1:
+                good &= ~blank[part]
+        good &= text[: len(code)] == text[n - 1 :][: len(code)]
+        out.append(code[good])
+        of.append(text[: len(code)][good])
+    return np.concatenate(out), np.concatenate(of)
+
+
+def trained(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, run, gain of each run of letters in the labelled texts: the logarithm of its share among the language's runs of that length, over
+    that of a run no text of it has. Runs are summed in the task that reads them; shares have a least value, so a language has 3 / LEAST_SHARE
+    runs at most. Texts without a label or words have no part."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, of_label = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+            code, of = runs(batch.column(1).to_pylist())
+            order = np.lexsort((code, of_label[of]))
+            code, label = code[order], of_label[of][order]
+            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (label[1:] != label[:-1]))[: len(code)])
+            yield pa.RecordBatch.from_arrays([pa.array(labels[label[first]].tolist(), pa.string()), pa.array(code[first]), pa.array(np.diff(np.append(first, len(code))).astype(np.int64))],
+                                             ["lang", "run", "n"])
+
+    texts = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), plain_words(F.col(text)).alias("words")).filter("words <> ''")
+    counts = texts.mapInArrow(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    length = F.when(F.col("run") < 1 << 21, 1).when(F.col("run") < 1 << 42, 2).otherwise(3)
+    counts = counts.withColumn("length", length)
+    total = counts.groupBy("lang", "length").agg(F.sum("n").alias("total"))  # three rows a language
+    share = F.col("n") / F.col("total")
+    return (counts.join(F.broadcast(total), ["lang", "length"]).filter(share >= LEAST_SHARE)
+            .select("lang", "run", F.log(1 + share * (SHARES / UNSEEN)).alias("gain")))
+
+
+class Profiles:
+    """Judges texts by the profiles that ``trained`` gives."""
+
+    def __init__(self, rows: list[tuple[str, int, float]]):
+        self.langs = sorted({r[0] for r in rows}, reverse=True)  # of languages that tie the last by name
+        place = {lang: k for k, lang in enumerate(self.langs)}
+        self.runs, of = np.unique(np.array([r[1] for r in rows], np.int64), return_inverse=True)
+        self.gains = np.zeros((len(self.runs), len(self.langs)))
+        self.gains[of, [place[r[0]] for r in rows]] = [r[2] for r in rows]
+
+    def __call__(self, texts: list[str | None], most: int = 200_000) -> list[str]:
+        """The language of each text of plain words; unknown where no run is known."""
+        out, at = [], 0
+        while at < len(texts):
+            to, size = at + 1, len(texts[at] or "")
+            while to < len(texts) and size < most:
+                size, to = size + len(texts[to] or ""), to + 1
+            out += self._some(texts[at:to])
+            at = to
+        return out
+
+    def _some(self, texts: list[str | None]) -> list[str]:
+        if not self.langs:
+            return [R.UNKNOWN] * len(texts)
+        code, of = runs(texts)
+        place = np.minimum(np.searchsorted(self.runs, code), len(self.runs) - 1)
+        there = self.runs[place] == code
+        place, of = place[there], of[there]
+        sums = np.stack([np.bincount(of, self.gains[place, k], len(texts)) for k in range(len(self.langs))], axis=1).round(6)
+        best = sums.argmax(axis=1)
+        return [self.langs[k] if s[k] > 0 else R.UNKNOWN for k, s in zip(best, sums, strict=True)]
+
+
+def judge(profiles: DataFrame) -> Callable[[list[str | None]], list[str]]:
+    """A function from texts of plain words to their languages; the profiles, of a bounded size, go to each worker once."""
+    shared = profiles.sparkSession.sparkContext.broadcast(Profiles([tuple(r) for r in profiles.select("lang", "run", "gain").collect()]))
+    return lambda texts: shared.value(texts)
+
+
+def judged_language(text: Column, judges: Callable[[list[str | None]], list[str]]) -> Column:
+    """The language of ``text``; unknown under LANGUAGE_MIN_CHARS and where no run of letters is known."""
+
+    @F.arrow_udf("string")
+    def told(words: pa.Array) -> pa.Array:
+        return pa.array(judges(words.to_pylist()), pa.string())
+
+    return told(long_enough(text))
+
+
+def long_enough(text: Column) -> Column:
+    return F.when(F.length(text) >= R.LANGUAGE_MIN_CHARS, plain_words(text))

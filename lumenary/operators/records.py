@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary import rules as R
@@ -12,6 +16,33 @@ from lumenary.functions.dates import normal_date, parse_date
 from lumenary.functions.folds import content_chunks, drop_near_duplicates
 from lumenary.functions.text import bound, clean_text, is_boilerplate, may_hold_boilerplate, missing, present
 from lumenary.functions.urls import domain_authority, is_valid, region, source_type
+from lumenary.sources.scratch import kept, shared_folder
+
+
+@dataclass(frozen=True)
+class Models:
+    """What is learned: an encoder of texts, and a judge of the languages of texts of plain words. Without them texts are encoded by
+    hashing, and languages told by frequent words."""
+
+    encode: Callable[[list[str]], np.ndarray] | None = None
+    detect: Callable[[list[str | None]], list[str]] | None = None
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str) -> Models:
+        """The models that ``fit_models`` has stored at ``path``."""
+        from lumenary.operators import embedding, languages
+
+        return cls(embedding.encoder(embedding.stored(spark, path)), languages.judge(spark.read.schema(languages.GRAMS).parquet(f"{path}/languages")))
+
+
+def fit_models(texts: DataFrame, labelled: DataFrame, path: str | None = None, text: str = "text", lang: str = "lang", **fit) -> Models:
+    """Models of all ``texts`` and of the ``labelled`` ones, stored at ``path`` (a new shared folder without one)."""
+    from lumenary.operators import embedding, languages
+
+    path = path or shared_folder(texts.sparkSession, "models")
+    embedding.fit(texts, text, path=path, **fit)
+    kept(languages.trained(labelled, text, lang), f"{path}/languages")
+    return Models.stored(texts.sparkSession, path)
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -79,32 +110,34 @@ def language_text() -> Column:
     return F.trim(F.concat_ws(" ", F.slice("cleaned_sections", 1, 5), present(F.col("description")), F.when(~missing(F.col("title")), F.col("title"))))
 
 
-def judged(language: Column, topics: Column, with_tags: bool = True) -> Column:
+def judged(language: Column, topics: Column, with_tags: bool = True, models: Models | None = None) -> Column:
     """A struct of language (of the text ``language``) and semantic_tags (of the text ``topics``; null without ``with_tags``).
     Two short texts go to Python; the records stay where they are."""
-    from lumenary.operators.languages import detector
+    from lumenary.operators.languages import detector, long_enough
     from lumenary.operators.topics import nearest
 
-    near = nearest() if with_tags else None
+    models = models or Models()
+    near = nearest(models.encode) if with_tags else None
 
     @F.arrow_udf("language string, semantic_tags array<string>")
     def judge(texts: pa.Array, about: pa.Array) -> pa.Array:
-        detect = detector()
-        langs = pa.array([detect(t) for t in texts.to_pylist()], pa.string())
+        texts = texts.to_pylist()
+        langs = pa.array(models.detect(texts) if models.detect else map(detector(), texts), pa.string())
         tags = near(about.to_pylist()) if near else [None] * len(about)
         return pa.StructArray.from_arrays([langs, pa.array(tags, pa.list_(pa.string()))], ["language", "semantic_tags"])
 
-    return judge(language, topics)
+    return judge(long_enough(language) if models.detect else language, topics)
 
 
-def enriched(records: DataFrame, language: Column | None = None, tags: Column | None = None) -> DataFrame:
-    """Adds language, region, topic_tags (semantic ones before keyword ones) and content_chunks."""
+def enriched(records: DataFrame, language: Column | None = None, tags: Column | None = None, models: Models | None = None) -> DataFrame:
+    """Adds language, region, topic_tags (semantic ones before keyword ones) and content_chunks. Language and semantic tags are by
+    ``models``, where there are any."""
     from lumenary.operators.topics import keyword_tags, merged_tags
 
     if language is None or tags is None:
         named = F.when(~missing(F.col("title")), F.col("title")), F.when(~missing(F.col("description")), F.col("description"))
         topic = F.trim(F.concat_ws(" ", *named, F.slice("cleaned_sections", 1, 3)))
-        records = records.withColumn("__judged", judged(language_text(), topic, tags is None))
+        records = records.withColumn("__judged", judged(language_text(), topic, tags is None, models))
         language = language if language is not None else F.col("__judged.language")
     if tags is None:
         tags = merged_tags(F.col("__judged.semantic_tags"), keyword_tags(topic_text()))

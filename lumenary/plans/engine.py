@@ -28,14 +28,14 @@ class Engine:
 
     pages (url, html), parsed (url, title, author, authors, published_date, description, raw_text_sections: what a primary
     extractor gave; ``html.parsed_articles`` is one, and used where only pages are given), metadata (see videos.METADATA), segments (video_id, pos, text) and articles (pmid, xml) are tables;
-    any may be missing. URLs without content keep their row and are scored on what is known."""
+    any may be missing. URLs without content keep their row and are scored on what is known. ``models`` are those of ``records.fit_models``."""
 
     def __init__(self, spark: SparkSession, as_of: str, *, pages: DataFrame | None = None, parsed: DataFrame | None = None, metadata: DataFrame | None = None,
                  segments: DataFrame | None = None, articles: DataFrame | None = None, out_dir: str | None = None,
-                 tags: Callable[[], Column] | None = None, language: Callable[[], Column] | None = None):
+                 tags: Callable[[], Column] | None = None, language: Callable[[], Column] | None = None, models: records.Models | None = None):
         from lumenary.operators.videos import METADATA
 
-        self.spark, self.as_of, self.out_dir, self.tags, self.language = spark, as_of, out_dir, tags, language
+        self.spark, self.as_of, self.out_dir, self.tags, self.language, self.models = spark, as_of, out_dir, tags, language, models
         self.pages = pages if pages is not None else _empty(spark, "url string, html string")
         self.parsed = parsed
         self.metadata = metadata if metadata is not None else _empty(spark, METADATA)
@@ -79,7 +79,7 @@ class Engine:
 
     def analyse(self, urls: DataFrame) -> DataFrame:
         extra = {k: f() for k, f in (("tags", self.tags), ("language", self.language)) if f}
-        return records.detailed(records.analysed(self.raw(urls), self.as_of, **extra), ("pos",))
+        return records.detailed(records.analysed(self.raw(urls), self.as_of, models=self.models, **extra), ("pos",))
 
     def run(self, urls: DataFrame | list[str]) -> DataFrame:
         """The detailed results of a batch, with pos; they replace the cached ones. ValueError for no URLs."""

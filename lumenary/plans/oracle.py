@@ -207,3 +207,25 @@ def language(rows: str, key: str, x: str, gains: list[tuple[str, str, float]]) -
   best AS (SELECT {key}, lang FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, lang DESC) AS r FROM (
     SELECT {key}, lang, round(sum(gain), 6) AS gain FROM (SELECT {key}, unnest(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS w FROM src) JOIN kw USING (w) GROUP BY ALL)) WHERE r = 1)
   SELECT {key}, coalesce(told, lang, 'unknown') AS language FROM src LEFT JOIN best USING ({key}))"""
+
+
+def plain_words(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^\\p{{L}}]+', ' ', 'g'))"
+
+
+def _runs(rows: str, keys: str, x: str) -> str:
+    """keys, n, run and m, how often: the runs of one to three letters of each word of the texts ``x`` of ``rows``; words begin and end with a blank, which is no run alone."""
+    return (f"(SELECT {keys}, n, run, sum(m) AS m FROM (SELECT {keys}, m, n, substr(t, unnest(range(1, length(t) - n + 2)), n) AS run FROM "
+            f"(SELECT {keys}, ' ' || w || ' ' AS t, count(*) AS m FROM (SELECT {keys}, unnest(string_split({plain_words(x)}, ' ')) AS w FROM {rows}) WHERE w <> '' GROUP BY ALL), (VALUES (1), (2), (3)) v(n)) "
+            "WHERE run <> ' ' GROUP BY ALL)")
+
+
+def language_by_profiles(rows: str, key: str, x: str, least: float, odds: float) -> str:
+    """key and language of the texts ``x`` of ``rows``, by runs of letters in the labelled documents."""
+    return f"""(WITH lk AS {_runs('documents', 'lang', 'text')},
+  lp AS (SELECT lang AS told, run, ln(1 + m / total * {odds!r}) AS gain FROM (SELECT *, sum(m) OVER (PARTITION BY lang, n) AS total FROM lk WHERE lang IS NOT NULL) WHERE m / total >= {least!r}),
+  xt AS (SELECT {key}, {x} AS x FROM {rows} WHERE length({x}) >= {R.LANGUAGE_MIN_CHARS}),
+  xk AS {_runs('xt', key, 'x')},
+  xb AS (SELECT {key}, told FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, told DESC) AS r FROM (
+    SELECT {key}, told, round(sum(m * gain), 6) AS gain FROM xk JOIN lp USING (run) GROUP BY ALL)) WHERE r = 1)
+  SELECT {key}, coalesce(told, 'unknown') AS language FROM {rows} LEFT JOIN xb USING ({key}))"""

@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,13 @@ from pyspark.sql import functions as F
 from lumenary import rules as R
 from lumenary.functions import dates, folds, scores, urls
 from lumenary.functions import text as T
-from lumenary.operators import keywords, languages, records, topics
+from lumenary.operators import embedding, keywords, languages, records, topics
 from lumenary.operators.articles import with_article_fields
 from lumenary.operators.html import parsed_articles, with_article_page_fields, with_page_fields
 from lumenary.operators.videos import transcripts, video_records
 from lumenary.plans import oracle as O
 from lumenary.sources import readers, writers
+from lumenary.sources.scratch import kept, shared_folder
 from lumenary.streaming.incremental import append_analysed, stream_records
 
 AS_OF = "2026-04-01"
@@ -316,7 +316,19 @@ content_quality, recency, disclaimer = map(_signal, ("content_quality", "recency
 
 
 _LANGUAGE_TEXT = "trim(concat_ws(' ', CASE WHEN len(sections) > 0 THEN array_to_string(list_slice(sections, 1, 5), ' ') END, nullif(description, ''), CASE WHEN t <> 'unknown' THEN t END))"
-_LANGUAGE = O.language("n", "doc_id", _LANGUAGE_TEXT, languages.word_gains())
+_ODDS = languages.SHARES / languages.UNSEEN
+_LANGUAGE = O.language_by_profiles("n", "doc_id", _LANGUAGE_TEXT, languages.LEAST_SHARE, _ODDS)
+
+
+def _judges(spark, sf_dir) -> records.Models:
+    """A judge of languages, by profiles of the labelled documents."""
+    profiles = languages.trained(table(spark, sf_dir, "documents"))
+    return records.Models(detect=languages.judge(kept(profiles, f"{shared_folder(spark, 'queries')}/languages")))
+
+
+def _models(spark, sf_dir) -> records.Models:
+    docs = table(spark, sf_dir, "documents")
+    return records.fit_models(docs, docs, words=8_000, contexts=1_000, dims=64)
 
 
 @query(f"WITH {_RAW}, l AS {_LANGUAGE}, c AS (SELECT *, {O.chunks('sections', 'source_type')} AS chunks FROM f JOIN l USING (doc_id)) SELECT doc_id, url AS source_url, source_type, a AS author, published_date, language, region, "
@@ -324,9 +336,9 @@ _LANGUAGE = O.language("n", "doc_id", _LANGUAGE_TEXT, languages.word_gains())
        "round(author_credibility, 3) AS author_credibility, round(content_quality, 3) AS content_quality, round(domain_authority, 3) AS domain_authority, "
        "round(recency_score, 3) AS recency_score, round(medical_disclaimer_score, 3) AS medical_disclaimer_score FROM c")
 def trust_detailed(spark, sf_dir):
-    """Whole records, with the language detected; of the tags the keyword ones, as SQL has no encoder."""
+    """Whole records, with the language detected by profiles; of the tags the keyword ones, as SQL has no encoder."""
     raw = raw_records(table(spark, sf_dir, "documents"))
-    rows = records.detailed(records.analysed(raw, AS_OF, tolerant_dates=False, **records.keyword_tags_only()), ("doc_id",))
+    rows = records.detailed(records.analysed(raw, AS_OF, tolerant_dates=False, models=_judges(spark, sf_dir), **records.keyword_tags_only()), ("doc_id",))
     flat = {"topic_tags": F.array_join("topic_tags", "|"), "content_chunks": F.array_join("content_chunks", "\n")}
     return rows.select("doc_id", *[flat.get(c, F.col(c)).alias(c) for c in rows.columns if c not in ("doc_id", "trust_signals")], "trust_signals.*")
 
@@ -337,7 +349,7 @@ def trust_detailed(spark, sf_dir):
 def trust_above_mean(spark, sf_dir):
     """Records of two languages that have a topic and score no less than the mean of their language and type: results filtered, grouped and joined by what is worked out."""
     raw = raw_records(table(spark, sf_dir, "documents"))
-    rows = records.detailed(records.analysed(raw, AS_OF, tolerant_dates=False, **records.keyword_tags_only()), ("doc_id",))
+    rows = records.detailed(records.analysed(raw, AS_OF, tolerant_dates=False, models=_judges(spark, sf_dir), **records.keyword_tags_only()), ("doc_id",))
     means = rows.groupBy("language", "source_type").agg(F.avg("trust_score").alias("mean_trust"), F.count("*").alias("n"))
     best = rows.join(means, ["language", "source_type"]).filter(
         F.col("language").isin("en", "de") & (F.col("trust_score") >= F.col("mean_trust")) & (F.size("topic_tags") > 0) & (F.col("trust_signals.content_quality") > 0.2))
@@ -455,6 +467,41 @@ def language_detect(spark, sf_dir):
     return languages.detected(docs, "doc_id", "text", languages.profile(docs, "text", "lang"))
 
 
+@query(f"SELECT doc_id, language FROM {O.language_by_profiles('documents', 'doc_id', 'text', languages.LEAST_SHARE, _ODDS)}")
+def language_profiles(spark, sf_dir):
+    """The language of every document by runs of letters, learned from the labelled ones."""
+    judges = _judges(spark, sf_dir).detect
+    return table(spark, sf_dir, "documents").select("doc_id", languages.judged_language(F.col("text"), judges).alias("language"))
+
+
+@query("SELECT doc_id, word_language, text_language FROM (SELECT doc_id, language AS text_language FROM "
+       f"{O.language_by_profiles('documents', 'doc_id', 'text', languages.LEAST_SHARE, _ODDS)}) JOIN (SELECT doc_id, language AS word_language FROM {O.language('documents', 'doc_id', 'text', languages.word_gains())}) USING (doc_id)")
+def language_compared(spark, sf_dir):
+    """Learned profiles beside the frequent words that stand in for them where there are no labelled texts."""
+    judges = _judges(spark, sf_dir).detect
+    return table(spark, sf_dir, "documents").select("doc_id", languages.detected_in(F.col("text")).alias("word_language"), languages.judged_language(F.col("text"), judges).alias("text_language"))
+
+
+_PAIRS = dict(words=400, contexts=100, window=3)
+
+
+@query(f"""WITH t AS (SELECT doc_id, {O.plain_words('text')} AS t FROM documents),
+w AS (SELECT doc_id, unnest(string_split(t, ' ')) AS word, unnest(range(len(string_split(t, ' ')))) AS i FROM t WHERE t <> ''),
+v AS (SELECT word, k FROM (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS k FROM w GROUP BY word) WHERE k < {_PAIRS['words']}),
+p AS (SELECT doc_id, i, word, k FROM w JOIN v USING (word)),
+n AS (SELECT a.word AS word, b.word AS context, count(*) AS n FROM p a JOIN (SELECT * FROM p WHERE k < {_PAIRS['contexts']}) b ON a.doc_id = b.doc_id AND a.i <> b.i AND abs(a.i - b.i) <= {_PAIRS['window']} GROUP BY ALL)
+SELECT word, context, n, round(x, 6) AS ppmi FROM (SELECT word, context, n, ln(n * sum(n) OVER () / (CAST(sum(n) OVER (PARTITION BY word) AS DOUBLE) * sum(n) OVER (PARTITION BY context))) AS x FROM n) WHERE x > 0""")
+def word_pairs(spark, sf_dir):
+    """How often frequent words stand near each other, and how much more than by chance: what word vectors are factored from."""
+    docs = table(spark, sf_dir, "documents")
+    known = [r["word"] for r in embedding.vocabulary(docs, words=_PAIRS["words"]).collect()]
+    pairs = kept(embedding.cooccurrences(docs, {w: k for k, w in enumerate(known)}, contexts=_PAIRS["contexts"], window=_PAIRS["window"]), f"{shared_folder(spark, 'queries')}/pairs")
+    names = spark.createDataFrame(list(enumerate(known)), "k long, name string")
+    rows = embedding.informative(pairs).join(F.broadcast(names), F.col("w") == F.col("k")).select(F.col("name").alias("word"), "c", "n", "ppmi")
+    rows = rows.join(F.broadcast(names), F.col("c") == F.col("k"))  # as many names as words are asked for
+    return rows.select("word", F.col("name").alias("context"), "n", F.round("ppmi", 6).alias("ppmi"))
+
+
 # Pages, sinks, stream.
 
 
@@ -566,17 +613,19 @@ def video_fields(spark, sf_dir):
 
 @query()
 def page_trust(spark, sf_dir):
-    """Pages from HTML to trust score."""
+    """Pages from HTML to trust score, with language and semantic tags by models of the documents."""
     raw = with_page_fields(table(spark, sf_dir, "pages").select("page_id", "url", "html"), AS_OF).withColumn("source_type", urls.source_type(F.col("url")))
-    rows = records.detailed(records.analysed(raw, AS_OF), ("page_id",))
+    rows = records.detailed(records.analysed(raw, AS_OF, models=_models(spark, sf_dir)), ("page_id",))
     return rows.select("page_id", "source_url", "title", "language", F.array_join("topic_tags", "|").alias("topic_tags"), "trust_score", F.size("content_chunks").alias("n_chunks"))
 
 
 @query()
 def topic_semantic(spark, sf_dir):
-    """Nearest topic descriptions by hashed vectors, merged with the keyword tags."""
+    """Nearest topic descriptions by word vectors of the documents, merged with the keyword tags."""
+    docs = table(spark, sf_dir, "documents").select("text").unionByName(values(spark, [(about,) for _, about in R.TOPICS] * 3, "text string"))
+    encode = embedding.encoder(embedding.fit(docs, words=8_000, contexts=1_000, dims=64))
     rows = records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False).select("doc_id", records.topic_text().alias("text"))
-    both = topics.merged_tags(topics.semantic_tags(F.col("text"), threshold=0.2), topics.keyword_tags(F.col("text")))
+    both = topics.merged_tags(topics.semantic_tags(F.col("text"), encode), topics.keyword_tags(F.col("text")))
     return rows.select("doc_id", F.array_join(both, "|").alias("tags"))
 
 
@@ -587,20 +636,9 @@ def topic_keyphrases(spark, sf_dir):
     return rows.select("doc_id", F.array_join(keywords.with_keyphrases(F.col("text")), "|").alias("phrases"), F.array_join(keywords.tags_with_keyphrases(F.col("text")), "|").alias("tags"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="lumenary-")
-    return f"{root.rstrip('/')}/queries-{uuid.uuid4().hex[:12]}"
-
-
 @query(f"WITH {_RAW} SELECT url AS source_url, source_type, trust_score FROM f")
 def export_roundtrip(spark, sf_dir):
-    path = _scratch(spark)
+    path = shared_folder(spark, "queries")
     writers.write_combined(records.detailed(_analysed(spark, sf_dir)), f"{path}/combined")
     return readers.results(spark, f"{path}/combined").select("source_url", "source_type", "trust_score")
 
@@ -608,7 +646,7 @@ def export_roundtrip(spark, sf_dir):
 @query(f"WITH {_RAW} SELECT source_type, count(*) AS n FROM f GROUP BY source_type")
 def dynamic_overwrite(spark, sf_dir):
     """All types are written, then blogs again: the folders of the others stay."""
-    path, rows = _scratch(spark), records.exported(_analysed(spark, sf_dir))
+    path, rows = shared_folder(spark, "queries"), records.exported(_analysed(spark, sf_dir))
     writers.write_by_type(rows, path)
     writers.write_by_type(rows.filter("source_type = 'blog'"), path)
     return spark.read.schema(readers.RESULT).json(path).groupBy("source_type").agg(F.count("*").alias("n"))
@@ -617,7 +655,7 @@ def dynamic_overwrite(spark, sf_dir):
 @query(f"WITH {_RAW} SELECT doc_id, trust_score FROM f")
 def stream_append(spark, sf_dir):
     """The batch result by way of a stream of files."""
-    path = _scratch(spark)
+    path = shared_folder(spark, "queries")
     raw = raw_records(table(spark, sf_dir, "documents"))
     raw.repartition(4, "doc_id").write.parquet(f"{path}/in")
     append_analysed(stream_records(spark, f"{path}/in", raw.schema, 2), f"{path}/out", f"{path}/state", AS_OF, ("doc_id",), **records.keyword_only()).awaitTermination()

@@ -124,7 +124,7 @@ def squared(matrix: DataFrame, contexts: int, by: np.ndarray) -> np.ndarray:
     return sum((np.frombuffer(r["part"]).reshape(by.shape) for r in parts), np.zeros(by.shape))
 
 
-def factored(matrix: DataFrame, contexts: int, dims: int, rounds: int = 4, seed: int = 17) -> DataFrame:
+def factored(matrix: DataFrame, contexts: int, dims: int, rounds: int = 2, seed: int = 17) -> DataFrame:
     """w and vector: the rows of ``matrix`` (w, cs, xs; sparse, of ``contexts`` columns) in the ``dims`` leading directions of a
     randomised decomposition, each scaled by the inverse root of its singular value."""
     more = min(contexts, dims + 16)

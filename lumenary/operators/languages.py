@@ -11,6 +11,7 @@ Without labelled texts ``detector`` judges by the frequent words of the language
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from math import log
 
@@ -104,6 +105,7 @@ def detected_in(text: Column) -> Column:
 
 #: Letters of a run at most; the share of a run that no text of a language has, in SHARES-ths; runs below the least share are not kept.
 RUN, SHARES, UNSEEN, LEAST_SHARE = 3, 10_000, 0.5, 2e-6
+HELD = 100_000  # words that a task keeps at once
 GRAMS = "lang string, run bigint, gain double"
 
 
@@ -129,18 +131,26 @@ def runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def trained(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, run, gain of each run of letters in the labelled texts: the logarithm of its share among the language's runs of that length, over
-    that of a run no text of it has. Runs are summed in the task that reads them; shares have a least value, so a language has 3 / LEAST_SHARE
+    that of a run no text of it has. Words, then their runs, are summed in the task that reads them; shares have a least value, so a language has 3 / LEAST_SHARE
     runs at most. Texts without a label or words have no part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, counted in words.items():
+                code, of = runs(list(counted))
+                code, place = np.unique(code, return_inverse=True)
+                n = np.bincount(place, np.fromiter(counted.values(), np.int64, len(counted))[of], len(code)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "run", "n"])
+            words.clear()
+
         for batch in batches:
-            labels, of_label = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
-            code, of = runs(batch.column(1).to_pylist())
-            order = np.lexsort((code, of_label[of]))
-            code, label = code[order], of_label[of][order]
-            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (label[1:] != label[:-1]))[: len(code)])
-            yield pa.RecordBatch.from_arrays([pa.array(labels[label[first]].tolist(), pa.string()), pa.array(code[first]), pa.array(np.diff(np.append(first, len(code))).astype(np.int64))],
-                                             ["lang", "run", "n"])
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words.setdefault(lang, Counter()).update(text.split(" "))
+                if sum(map(len, words.values())) > HELD:
+                    yield from told()
+        yield from told()
 
     texts = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), plain_words(F.col(text)).alias("words")).filter("words <> ''")
     counts = texts.mapInArrow(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
@@ -162,28 +172,42 @@ class Profiles:
         self.gains = np.zeros((len(self.runs), len(self.langs)))
         self.gains[of, [place[r[0]] for r in rows]] = [r[2] for r in rows]
 
-    def __call__(self, texts: list[str | None], most: int = 200_000) -> list[str]:
-        """The language of each text of plain words; unknown where no run is known."""
-        out, at = [], 0
-        while at < len(texts):
-            to, size = at + 1, len(texts[at] or "")
-            while to < len(texts) and size < most:
-                size, to = size + len(texts[to] or ""), to + 1
-            out += self._some(texts[at:to])
+        self.known: dict[str, int] = {}  # words seen of late, by row of what they gain
+        self.of_words = np.zeros((0, len(self.langs)))
+
+    def _gains(self, words: list[str]) -> np.ndarray:
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if len(self.known) + len(new) > HELD:
+            self.known, self.of_words, new = {}, self.of_words[:0], list(dict.fromkeys(words))
+        if new:
+            code, of = runs(new)
+            place = np.minimum(np.searchsorted(self.runs, code), len(self.runs) - 1)
+            there = self.runs[place] == code
+            gains = np.stack([np.bincount(of[there], self.gains[place[there], k], len(new)) for k in range(len(self.langs))], axis=1)
+            self.known.update((w, len(self.of_words) + k) for k, w in enumerate(new))
+            self.of_words = np.concatenate([self.of_words, gains])
+        return self.of_words[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+
+    def __call__(self, texts: list[str | None], most: int = 1 << 20) -> list[str]:
+        """The language of each text of plain words; unknown where no run is known. Texts are taken some at a time."""
+        out, at = [R.UNKNOWN] * len(texts), 0
+        while at < len(texts) and self.langs:
+            to, size, words, first, of = at, 0, [], [], []
+            while to < len(texts) and (to == at or size < most):
+                if texts[to]:
+                    of.append(to)
+                    first.append(len(words))
+                    words += texts[to].split(" ")
+                    size += len(texts[to])
+                to += 1
+            if words:
+                sums = np.add.reduceat(self._gains(words), first, axis=0).round(6)
+                for k, best, most_gained in zip(of, sums.argmax(axis=1), sums.max(axis=1), strict=True):
+                    if most_gained > 0:
+                        out[k] = self.langs[best]
             at = to
         return out
 
-    def _some(self, texts: list[str | None]) -> list[str]:
-        if not self.langs:
-            return [R.UNKNOWN] * len(texts)
-        code, of = runs(texts)
-        place = np.minimum(np.searchsorted(self.runs, code), len(self.runs) - 1)
-        there = self.runs[place] == code
-        place, of = place[there], of[there]
-        sums = np.stack([np.bincount(of, self.gains[place, k], len(texts)) for k in range(len(self.langs))], axis=1).round(6)
-        best = sums.argmax(axis=1)
-        return [self.langs[k] if s[k] > 0 else R.UNKNOWN for k, s in zip(best, sums, strict=True)]
-
 
 def judge(profiles: DataFrame) -> Callable[[list[str | None]], list[str]]:
     """A function from texts of plain words to their languages; the profiles, of a bounded size, go to each worker once."""

@@ -69,28 +69,29 @@ def author_display(author: Column, channel: Column, authors: Column) -> Column:
     return F.coalesce(present(author), present(channel), present(F.array_join(authors, ", ")), F.lit(R.UNKNOWN))
 
 
-def cleaned(sections: Column) -> Column:
-    """Cleaned, without empty, boilerplate and near-duplicate sections.
+def cleaned(sections: Column, indexed: int | None = None) -> Column:
+    """Cleaned, without empty, boilerplate and near-duplicate sections; ``indexed`` as for ``drop_near_duplicates``.
 
     Cleaned texts have no white space but blanks, so trimming is enough, and the boilerplate patterns run over records
     that hold a part of one only."""
     texts = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), clean_text), lambda s: s != "")
     kept = bound(texts, lambda t: F.when(may_hold_boilerplate(F.array_join(t, "\n")), F.filter(t, lambda s: ~is_boilerplate(s)))
                  .otherwise(F.filter(t, lambda s: F.length(F.trim(s)) >= R.BOILERPLATE_MIN_CHARS)))
-    return drop_near_duplicates(F.transform(kept, F.trim), F.lower)
+    return drop_near_duplicates(F.transform(kept, F.trim), F.lower, indexed)
 
 
-def normalised(raw: DataFrame, as_of: str, tolerant_dates: bool = True) -> DataFrame:
+def normalised(raw: DataFrame, as_of: str, tolerant_dates: bool = True, indexed: int | None = None) -> DataFrame:
     """Raw records (url, source_type, title, author, authors, channel_name, published_date, description, raw_text_sections)
     in the normalised shape; other columns go on. ``published_on`` is the date that published_date names, or null. Sources
-    whose dates are known to be in a native shape do without ``tolerant_dates`` and so without Python."""
+    whose dates are known to be in a native shape do without ``tolerant_dates`` and so without Python, as do those without records of
+    ``indexed`` sections or more."""
     own = ["url", "source_type", "title", "author", "authors", "channel_name", "journal", "published_date", "description", "raw_text_sections"]
     channel = F.col("channel_name") if "channel_name" in raw.columns else F.lit(None).cast("string")
     made = settled(
         raw.withColumn("channel_name", channel),
         published_date=normal_date(F.col("published_date"), as_of, tolerant_dates),
         published_on=parse_date(F.when(~missing(F.col("published_date")), F.col("published_date")), as_of, tolerant_dates),
-        cleaned_sections=cleaned(F.col("raw_text_sections")))
+        cleaned_sections=cleaned(F.col("raw_text_sections"), indexed))
     return made.select(
         *[c for c in raw.columns if c not in own],
         F.col("url").alias("source_url"), "source_type",
@@ -189,8 +190,8 @@ def detailed(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         *keys, *BASE, "title", "description", F.struct(*[F.round(c, 3).alias(c) for c in SIGNALS]).alias("trust_signals"))
 
 
-def analysed(raw: DataFrame, as_of: str, tolerant_dates: bool = True, **enrichment) -> DataFrame:
-    return scored(enriched(normalised(raw, as_of, tolerant_dates), **enrichment), as_of)
+def analysed(raw: DataFrame, as_of: str, tolerant_dates: bool = True, indexed: int | None = None, **enrichment) -> DataFrame:
+    return scored(enriched(normalised(raw, as_of, tolerant_dates, indexed), **enrichment), as_of)
 
 
 def summary(results: DataFrame, total: DataFrame | None = None) -> DataFrame:

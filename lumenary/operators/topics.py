@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,62 @@ def keyword_tags(text: Column, topics: list[tuple[str, str]] | None = None) -> C
     return F.array_remove(F.array(*tags), "")
 
 
+class Phrases:
+    """All phrases of the topics as one automaton, which passes over a text once, whatever their number."""
+
+    def __init__(self, topics: list[tuple[str, str]]):
+        self.names = [tag for tag, _ in topics]
+        self.tags: dict[str, int] = {}  # of each phrase, as bits
+        for k, (tag, about) in enumerate(topics):
+            for phrase in (tag.lower(), *about.lower().split(", ")):
+                self.tags[phrase] = self.tags.get(phrase, 0) | 1 << k
+        always = self.tags.pop("", 0)  # the empty phrase stands in every text
+        self.always, self.every = always, (1 << len(topics)) - 1
+        try:
+            import ahocorasick
+        except ImportError:
+            # The longest phrase from each place on, with the tags of all phrases that begin it.
+            longest = sorted(self.tags, key=len, reverse=True)
+            begun = {p: sum(1 << k for k in range(len(topics)) if any(self.tags[q] >> k & 1 for q in longest if p.startswith(q))) for p in longest}
+            pattern = re.compile(f"(?=({'|'.join(map(re.escape, longest))}))") if longest else None
+            self.matches = lambda text: (begun[m[1]] for m in pattern.finditer(text)) if pattern else ()
+        else:
+            automaton = ahocorasick.Automaton()
+            for phrase, tags in self.tags.items():
+                automaton.add_word(phrase, tags)
+            automaton.make_automaton()
+            self.matches = (lambda text: (tags for _, tags in automaton.iter(text))) if self.tags else lambda text: ()
+
+    def __call__(self, text: str | None) -> list[str]:
+        """The tags, in vocabulary order, of a text in lower case; it is left as soon as all are found."""
+        if text is None:
+            return []
+        found = self.always
+        for tags in self.matches(text):
+            found |= tags
+            if found == self.every:
+                break
+        return [name for k, name in enumerate(self.names) if found >> k & 1]
+
+
+_phrases: dict[tuple, Phrases] = {}
+
+
+def phrase_tags(text: Column, topics: list[tuple[str, str]] | None = None) -> Column:
+    """As ``keyword_tags``, for long texts and large vocabularies: one pass over each text, in batches, where that one searches
+    for a phrase at a time."""
+    topics = tuple(map(tuple, topics or R.TOPICS))
+
+    @F.arrow_udf("array<string>")
+    def tags(texts: pa.Array) -> pa.Array:
+        if topics not in _phrases:
+            _phrases[topics] = Phrases(list(topics))
+        look = _phrases[topics]
+        return pa.array([look(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return tags(F.lower(text))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

@@ -16,6 +16,8 @@ from lumenary.operators.videos import transcripts, video_records
 from lumenary.sources import readers, writers
 
 VERSION = "1.0.0"
+#: Sections of a record from which near copies are found by an index.
+LONG = 2000
 RAW = ["title", "author", "authors", "channel_name", "journal", "published_date", "description", "raw_text_sections"]
 
 
@@ -79,7 +81,7 @@ class Engine:
 
     def analyse(self, urls: DataFrame) -> DataFrame:
         extra = {k: f() for k, f in (("tags", self.tags), ("language", self.language)) if f}
-        return records.detailed(records.analysed(self.raw(urls), self.as_of, models=self.models, **extra), ("pos",))
+        return records.detailed(records.analysed(self.raw(urls), self.as_of, indexed=LONG, models=self.models, **extra), ("pos",))
 
     def run(self, urls: DataFrame | list[str]) -> DataFrame:
         """The detailed results of a batch, with pos; they replace the cached ones. ValueError for no URLs."""

@@ -328,7 +328,7 @@ def _judges(spark, sf_dir) -> records.Models:
 
 def _models(spark, sf_dir) -> records.Models:
     docs = table(spark, sf_dir, "documents")
-    return records.fit_models(docs, docs, words=8_000, contexts=1_000, dims=64)
+    return records.fit_models(docs, docs, words=3_000, contexts=400, dims=48)
 
 
 @query(f"WITH {_RAW}, l AS {_LANGUAGE}, c AS (SELECT *, {O.chunks('sections', 'source_type')} AS chunks FROM f JOIN l USING (doc_id)) SELECT doc_id, url AS source_url, source_type, a AS author, published_date, language, region, "
@@ -370,7 +370,7 @@ def chunk_all(spark, sf_dir):
 @query(f"WITH {_RAW} SELECT doc_id, array_to_string({O.tags("lower(description || ' ' || array_to_string(sections, ' '))")}, '|') AS tags FROM r")
 def topic_keyword(spark, sf_dir):
     rows = records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False)
-    return rows.select("doc_id", F.array_join(topics.keyword_tags(F.concat_ws(" ", F.col("description"), F.array_join("cleaned_sections", " "))), "|").alias("tags"))
+    return rows.select("doc_id", F.array_join(topics.phrase_tags(F.concat_ws(" ", F.col("description"), F.array_join("cleaned_sections", " "))), "|").alias("tags"))
 
 
 @query(f"WITH {_RAW}, m AS (SELECT doc_id, topic_tags AS k, CASE doc_id % 3 WHEN 0 THEN ['finance', 'healthcare'] WHEN 1 THEN ['robotics'] ELSE CAST([] AS VARCHAR[]) END AS s FROM e) "
@@ -623,7 +623,7 @@ def page_trust(spark, sf_dir):
 def topic_semantic(spark, sf_dir):
     """Nearest topic descriptions by word vectors of the documents, merged with the keyword tags."""
     docs = table(spark, sf_dir, "documents").select("text").unionByName(values(spark, [(about,) for _, about in R.TOPICS] * 3, "text string"))
-    encode = embedding.encoder(embedding.fit(docs, words=8_000, contexts=1_000, dims=64))
+    encode = embedding.encoder(embedding.fit(docs, words=3_000, contexts=400, dims=48))
     rows = records.normalised(raw_records(table(spark, sf_dir, "documents")), AS_OF, tolerant_dates=False).select("doc_id", records.topic_text().alias("text"))
     both = topics.merged_tags(topics.semantic_tags(F.col("text"), encode), topics.keyword_tags(F.col("text")))
     return rows.select("doc_id", F.array_join(both, "|").alias("tags"))

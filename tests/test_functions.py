@@ -168,3 +168,48 @@ def test_chunks_by_type(spark):
 def test_rule_data_is_whole():
     assert len(R.TOPICS) == 20 and len(R.TRUSTED_CHANNELS) == 25 and len(R.INSTITUTIONAL) == 20 and len(R.CORPORATE) == 13 and len(R.DISCLAIMERS) == 10
     assert all(abs(sum(w) - 1) < 1e-9 for w in R.WEIGHTS.values())
+
+
+def test_the_index_keeps_what_the_fold_keeps(spark):
+    """Sections that contain each other at either end, of lengths about those of keys, with and without some too short for one."""
+    import random
+
+    from lumenary.functions import folds
+
+    def fold(texts):
+        kept = []
+        for i, n in enumerate(texts):
+            if not any(abs(len(texts[k]) - len(n)) < 50 and (n in texts[k] or texts[k] in n) for k in kept):
+                kept.append(i)
+        return kept
+
+    rng, records = random.Random(2), []
+    for t in range(80):
+        base = ["".join(rng.choice("ab cdé日") for _ in range(rng.choice([0, 1, 5, 14, 15, 16, 26, 30, 58, 64, 65, 66, 90, 107, 108, 200]))) for _ in range(25)]
+        texts = []
+        for _ in range(150):
+            b, r = rng.choice(base), rng.random()
+            a = rng.randrange(max(1, min(60, len(b))))
+            texts.append(b if r < 0.3 else b[a:] if r < 0.5 else b[: len(b) - a] if r < 0.7 else "".join(rng.choice("xyz") for _ in range(a)) + b if r < 0.85 else b + "q" * a)
+        records.append([x for x in texts if len(x) >= 15] if t % 2 else texts)
+    for texts in records:
+        assert folds.first_of_each(texts) == fold(texts)
+    rows = [(i, [x.strip() for x in r]) for i, r in enumerate(records[:12])] + [(90, []), (91, None), (92, ["A", "a", None])]
+    got = spark.createDataFrame(rows, "i int, xs array<string>").select("i", folds.drop_near_duplicates(F.col("xs")).alias("a"), folds.drop_near_duplicates(F.col("xs"), indexed=120).alias("b")).collect()
+    for r in got:
+        assert r["a"] == r["b"], r["i"]
+        if r["i"] < 12:
+            assert r["a"] == [dict(rows)[r["i"]][k] for k in fold(dict(rows)[r["i"]])]
+
+
+def test_a_record_of_many_sections(spark):
+    import random
+    import time
+
+    from lumenary.functions import folds
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(90)) for _ in range(rng.randrange(4, 40))) for _ in range(20_000)]
+    began = time.perf_counter()
+    assert spark.createDataFrame([(texts + texts[:5000],)], "xs array<string>").select(F.size(folds.drop_near_duplicates(F.col("xs"), indexed=2000))).first()[0] >= 19_000
+    assert time.perf_counter() - began < 60

@@ -340,3 +340,20 @@ def test_own_names_of_the_barrier_may_be_taken(spark):
     df = spark.createDataFrame([(1, 2)], "__settled int, __settled_ int")
     got = records.settled(df, x=F.col("__settled") + 1, __settled=F.col("__settled_") * 5)
     assert [r.asDict() for r in got.collect()] == [{"__settled_": 2, "x": 2, "__settled": 10}]
+
+
+def test_one_pass_finds_what_a_search_for_each_phrase_does(spark, monkeypatch):
+    """Phrases inside words, inside each other and overlapping, with and without the compiled automaton."""
+    import builtins
+    import random
+
+    made = [("ab", "abc, b c, xx"), ("bc", "abcd, a"), ("data", "data science, big data, \u00e9t\u00e9"), ("science of data", "x|y, (z)")]
+    rng = random.Random(1)
+    texts = ["", None, "DATA SCIENCE OF DATA", "b cx x|y", "\u00c9T\u00c9 (Z)", *["".join(rng.choice("abcd x|y") for _ in range(30)) for _ in range(200)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(topics.keyword_tags(F.col("t"), made).alias("a"), topics.phrase_tags(F.col("t"), made).alias("b")).collect()
+    assert [r["a"] for r in got if r["a"] is not None] == [r["b"] for r in got if r["a"] is not None]
+    compiled, real = topics.Phrases(made), builtins.__import__
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ImportError()) if name == "ahocorasick" else real(name, *a, **k))
+    plain = topics.Phrases(made)
+    assert [plain((t or "").lower()) for t in texts] == [compiled((t or "").lower()) for t in texts]

@@ -1,7 +1,7 @@
 """Fields of web pages: a tolerant parser and the priority rules for title, author, date, description and body.
 
 Pages are parsed in Arrow batches (the parser is Python), each once; everything after is column expressions.
-``glue`` joins the text nodes of an element: a blank keeps words apart, "" runs them together.
+``glue`` joins the text nodes of an element: "" runs them together, a blank keeps words apart.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class Element:
             else:
                 stack += reversed(e.parts)
 
-    def text(self, glue: str = " ") -> str:
+    def text(self, glue: str = "") -> str:
         return glue.join(s for x in self.strings() if (s := x.strip()))
 
     @property
@@ -231,7 +231,7 @@ def _batched(df: DataFrame, column: str, schema: str, fields) -> DataFrame:
     return df.withColumn("page", F.pandas_udf(read, schema)(F.col(column)))
 
 
-def with_page_fields(pages: DataFrame, as_of: str, glue: str = " ") -> DataFrame:
+def with_page_fields(pages: DataFrame, as_of: str, glue: str = "") -> DataFrame:
     """``pages`` (url, html, ...) as raw records: title, author, authors, published_date, description, raw_text_sections.
 
     A page that is missing keeps its row, with empty fields."""
@@ -250,7 +250,7 @@ def with_page_fields(pages: DataFrame, as_of: str, glue: str = " ") -> DataFrame
 PARSED = "title string, authors array<string>, raw_date string, description string, lines array<string>"
 
 
-def parsed_articles(pages: DataFrame, as_of: str, glue: str = " ") -> DataFrame:
+def parsed_articles(pages: DataFrame, as_of: str, glue: str = "") -> DataFrame:
     """``pages`` (url, html) through the primary article extractor: url, title, author, authors, published_date, description and
     raw_text_sections. A page without content gives null title and sections, so that ``filled`` takes the page's fields."""
     got = _batched(pages.select("url", "html"), "html", PARSED, lambda html: parsed_article(parse(html), glue))
@@ -258,21 +258,41 @@ def parsed_articles(pages: DataFrame, as_of: str, glue: str = " ") -> DataFrame:
                       "page.description", without_noise(F.col("page.lines")).alias("raw_text_sections"))
 
 
+def whole_pages(pages: DataFrame, as_of: str, glue: str = "") -> DataFrame:
+    """``pages`` (url, html) through the primary extractor, and where that leaves gaps by the page's fields (see ``filled``): each page is
+    parsed once for both."""
+
+    def fields(html):
+        root = parse(html)
+        own = title(root, glue), author(root, glue), raw_date(root, glue), description(root)
+        return *parsed_article(root, glue), *own, paragraphs(root, glue)
+
+    got = _batched(pages.select("url", "html"), "html", f"{PARSED}, " + ", ".join(f"p_{c.strip()}" for c in PAGE.split(",")), fields)
+    raw = got.select(
+        "url", "page.title", F.array_join("page.authors", ", ").alias("author"), "page.authors", page_date(F.col("page.raw_date"), as_of).alias("published_date"), "page.description",
+        without_noise(F.col("page.lines")).alias("raw_text_sections"), "page.p_title", "page.p_author", page_date(F.col("page.p_raw_date"), as_of).alias("p_published_date"), "page.p_description",
+        without_noise(F.col("page.p_paragraphs")).alias("p_raw_text_sections"))
+    return _filled(raw, [c for c in raw.columns if not c.startswith("p_")])
+
+
 def filled(primary: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
     """Fills the empty title, author, date and description of records from a page's fields, if any of the first three is
     empty; authors and sections stay. Where the primary extractor failed (null title and sections), the page's fields
     stand for all but the authors."""
     page = pages.select(F.col(key).alias("page_key"), *[F.col(c).alias(f"p_{c}") for c in ("title", "author", "published_date", "description", "raw_text_sections")])
-    both = primary.join(page, F.col(key) == F.col("page_key"), "left")
+    return _filled(primary.join(page, F.col(key) == F.col("page_key"), "left"), primary.columns)
+
+
+def _filled(both: DataFrame, columns: list[str]) -> DataFrame:
     failed = F.col("title").isNull() & F.col("raw_text_sections").isNull()
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     gaps = failed | blank("title") | blank("author") | blank("published_date")
     out = {c: F.when(failed, F.col(f"p_{c}")).when(gaps & blank(c), F.coalesce(F.col(f"p_{c}"), F.col(c))).otherwise(F.col(c)) for c in ("title", "author", "published_date", "description")}
     out["raw_text_sections"] = F.when(failed, F.col("p_raw_text_sections")).otherwise(F.col("raw_text_sections"))
-    return both.select(*[out[c].alias(c) if c in out else F.col(c) for c in primary.columns])
+    return both.select(*[out[c].alias(c) if c in out else F.col(c) for c in columns])
 
 
-def with_article_page_fields(pages: DataFrame, glue: str = " ") -> DataFrame:
+def with_article_page_fields(pages: DataFrame, glue: str = "") -> DataFrame:
     """``pages`` (url, html) of articles as raw records."""
     got = _batched(pages, "html", ARTICLE, lambda html: article_fields(parse(html), glue))
     return got.select(

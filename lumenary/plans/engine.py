@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lumenary import rules as R
 from lumenary.functions.urls import article_id, video_id
 from lumenary.operators import records
-from lumenary.operators.articles import chained, with_article_fields
-from lumenary.operators.html import filled, parsed_articles, with_article_page_fields, with_page_fields
+from lumenary.operators.articles import article_records
+from lumenary.operators.html import filled, whole_pages, with_page_fields
 from lumenary.operators.videos import transcripts, video_records
 from lumenary.sources import readers, writers
 
@@ -63,13 +63,15 @@ class Engine:
         page_of = lambda rows: known(self.pages, rows, "url")
 
         own = page_of(asked("blog"))
-        parsed = known(self.parsed, asked("blog"), "url") if self.parsed is not None else parsed_articles(own, self.as_of)
-        blogs = filled(asked("blog").join(parsed, "url", "left"), with_page_fields(own, self.as_of))
+        if self.parsed is not None:
+            blogs = filled(asked("blog").join(known(self.parsed, asked("blog"), "url"), "url", "left"), with_page_fields(own, self.as_of))
+        else:
+            blogs = asked("blog").join(whole_pages(own, self.as_of), "url", "left")
         videos = video_records(asked("youtube").withColumn("video_id", video_id(F.col("url"))), self.metadata,
                                transcripts(self.segments, "video_id", "pos", "text")).drop("video_id")
         papers = asked("pubmed").withColumn("pmid", article_id(F.col("url")))
         xml = papers.select("url", "pmid").distinct().join(known(self.articles, papers, "pmid"), "pmid", "left").select("url", "xml")
-        paper = chained([with_article_fields(xml, whole_text=False), with_article_fields(xml), with_article_page_fields(page_of(papers))], "url")
+        paper = article_records(xml, page_of(papers))
         papers = papers.drop("pmid").join(paper, "url", "left")
 
         def shaped(df: DataFrame) -> DataFrame:

@@ -505,8 +505,8 @@ def word_pairs(spark, sf_dir):
 # Pages, sinks, stream.
 
 
-def _page_rows(spark, pages: DataFrame, key: str) -> DataFrame:
-    rows = with_page_fields(pages.select(key, "url", "html"), AS_OF)
+def _page_rows(spark, pages: DataFrame, key: str, glue: str = "") -> DataFrame:
+    rows = with_page_fields(pages.select(key, "url", "html"), AS_OF, glue)
     return rows.withColumn("paragraphs", F.array_join("raw_text_sections", "\n")).withColumn("n", F.size("raw_text_sections")).drop("raw_text_sections", "authors")
 
 
@@ -558,17 +558,30 @@ def _filled(shape: str) -> str:
     return "concat(" + ", ".join(O.text(x) if k % 2 == 0 else x for k, x in enumerate(parts)) + ")"
 
 
-@query(f"""WITH {_SAID}, f AS (SELECT doc_id, s, doc_id % 4 AS k FROM d),
-p AS (SELECT *, list_filter(CASE k WHEN 0 THEN ['First ' || s || ' & more of it', 'Second ' || s || ' that goes on', 'short'] WHEN 1 THEN [s || ' in main', 'Leave a reply to ' || s] WHEN 2 THEN [s || ' <tag> © 2'] ELSE [] END,
+def _page_fields_sql(glue: str) -> str:
+    return f"""WITH {_SAID}, f AS (SELECT doc_id, s, doc_id % 4 AS k FROM d),
+p AS (SELECT *, list_filter(CASE k WHEN 0 THEN ['First ' || s || ' & more of it', 'Second{glue}' || s || '{glue}that goes on', 'short'] WHEN 1 THEN [s || ' in main', 'Leave a reply to ' || s] WHEN 2 THEN [s || ' <tag> © 2'] ELSE [] END,
   lambda q: NOT {O.noise('q')}) AS ps FROM f)
-SELECT doc_id, concat('https://x.org/', doc_id) AS url, CASE k WHEN 0 THEN s WHEN 1 THEN 'Head ' || s WHEN 2 THEN 'Plain ' || doc_id ELSE '' END AS title,
+SELECT doc_id, concat('https://x.org/', doc_id) AS url, CASE k WHEN 0 THEN s WHEN 1 THEN 'Head{glue}' || s WHEN 2 THEN 'Plain ' || doc_id ELSE '' END AS title,
   CASE k WHEN 0 THEN 'Ann ' || doc_id WHEN 1 THEN 'In Data ' || doc_id WHEN 2 THEN 'By Someone' ELSE '' END AS author, CASE k WHEN 0 THEN '2024-05-06' WHEN 1 THEN '2021-02-03' WHEN 2 THEN '2020-05-03' ELSE '' END AS published_date,
-  CASE k WHEN 0 THEN 'About ' || s WHEN 1 THEN s ELSE '' END AS description, array_to_string(ps, chr(10)) AS paragraphs, CAST(len(ps) AS INTEGER) AS n FROM p""")
+  CASE k WHEN 0 THEN 'About ' || s WHEN 1 THEN s ELSE '' END AS description, array_to_string(ps, chr(10)) AS paragraphs, CAST(len(ps) AS INTEGER) AS n FROM p"""
+
+
+def _filled_pages(spark, sf_dir) -> DataFrame:
+    html = "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {_filled(x)}" for k, x in enumerate(_PAGES)) + " END"
+    return _said(spark, sf_dir).select("doc_id", F.expr("concat('https://x.org/', doc_id)").alias("url"), F.expr(html).alias("html"))
+
+
+@query(_page_fields_sql(""))
 def page_fields(spark, sf_dir):
     """Each source of each field: social and plain titles, headings, linked data, bylines, dates of three kinds, four kinds of body, no page at all."""
-    html = "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {_filled(x)}" for k, x in enumerate(_PAGES)) + " END"
-    pages = _said(spark, sf_dir).select("doc_id", F.expr("concat('https://x.org/', doc_id)").alias("url"), F.expr(html).alias("html"))
-    return _page_rows(spark, pages, "doc_id")
+    return _page_rows(spark, _filled_pages(spark, sf_dir), "doc_id")
+
+
+@query(_page_fields_sql(" "))
+def page_fields_spaced(spark, sf_dir):
+    """The same with a blank between the text nodes of an element."""
+    return _page_rows(spark, _filled_pages(spark, sf_dir), "doc_id", " ")
 
 
 _XML = ('<PubmedArticleSet><PubmedArticle><MedlineCitation><Article><ArticleTitle> {s} </ArticleTitle><AuthorList><Author><LastName>Lee</LastName><ForeName>Ann</ForeName></Author>'
@@ -591,7 +604,7 @@ _ARTICLE_PAGE = ('<h1 class="heading-title"> {s} </h1><div class="authors-list">
                  '<span class="cit">2018 Mar;5(2)</span><div id="eng-abstract"><p>{s} first</p><p> </p><p><b>Aim:</b> {s}</p></div>')
 
 
-@query(f"WITH {_SAID} SELECT doc_id, s AS title, 'Ann Lee, Bo ' || doc_id AS author, 'J. ' || doc_id AS journal, '2018' AS published_date, s || ' first Aim: ' || s AS description, 2 AS n FROM d")
+@query(f"WITH {_SAID} SELECT doc_id, s AS title, 'Ann Lee, Bo ' || doc_id AS author, 'J. ' || doc_id AS journal, '2018' AS published_date, s || ' first Aim:' || s AS description, 2 AS n FROM d")
 def article_page(spark, sf_dir):
     pages = _said(spark, sf_dir).select("doc_id", F.expr(_filled(_ARTICLE_PAGE)).alias("html"))
     return with_article_page_fields(pages).select("doc_id", "title", "author", "journal", "published_date", "description", F.size("raw_text_sections").alias("n"))

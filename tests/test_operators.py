@@ -102,6 +102,31 @@ def test_article_pages_and_the_chain(spark):
     assert (got["title"], got["author"]) == ("Only", "Ann Lee, B Li")  # what the partial attempt had survives
 
 
+def test_the_chain_of_articles_is_its_attempts_one_by_one(spark):
+    from lumenary.operators.articles import article_records
+
+    nested = XML.replace("<ArticleTitle> A title </ArticleTitle>", "").replace("</AbstractText>", " <i>more</i> tail</AbstractText>")
+    rows = [("a", XML), ("b", XML.replace("<ArticleTitle> A title </ArticleTitle>", "")), ("c", None), ("d", "<broken"), ("e", nested), ("f", nested), ("g", XML), ("h", None)]
+    xml = spark.createDataFrame(rows, "url string, xml string")
+    pages = spark.createDataFrame([(u, ARTICLE_PAGE) for u in "abcdg"] + [("f", "<h1 class='heading-title'>Only</h1>"), ("h", None)], "url string, html string")
+    want = chained([with_article_fields(xml, whole_text=False), with_article_fields(xml), html.with_article_page_fields(pages)], "url")
+    got = article_records(xml, pages)
+    assert got.columns == want.columns
+    blank = lambda r: {k: v or None for k, v in r.asDict().items()}
+    assert sorted(map(blank, got.collect()), key=lambda r: r["url"]) == sorted(map(blank, want.collect()), key=lambda r: r["url"])
+    parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    assert (parses(got), parses(want)) == (2, 3)  # XML once, pages once
+
+
+def test_a_page_is_parsed_once_for_both_extractors(spark):
+    pages = [("a", PAGE), ("b", "<title>T</title><p>x</p>"), ("c", None), ("d", ""), ("e", "<body><p>A paragraph that is long enough to be content.</p><h1>H <b>x</b></h1><time datetime='2021-02-03'>x</time></body>"), ("f", ARTICLE_PAGE)]
+    df = spark.createDataFrame(pages, "url string, html string")
+    want = html.filled(html.parsed_articles(df, AS_OF), html.with_page_fields(df, AS_OF))
+    got = html.whole_pages(df, AS_OF)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_topics(spark):
     frame = spark.createDataFrame([("He quietly did it",), ("Machine Learning for HOSPITALS",), ("",), (None,)], "t string")
     assert [r["g"] for r in frame.select(topics.keyword_tags(F.col("t")).alias("g")).collect()] == [["data engineering"], ["machine learning", "healthcare", "education"], [], []]

@@ -16,7 +16,7 @@ from lumenary.functions import text as T
 from lumenary.operators import embedding, keywords, languages, records, topics
 from lumenary.operators.articles import with_article_fields
 from lumenary.operators.html import parsed_articles, with_article_page_fields, with_page_fields
-from lumenary.operators.videos import transcripts, video_records
+from lumenary.operators.videos import transcript_blocks, transcripts, video_records
 from lumenary.plans import oracle as O
 from lumenary.sources import readers, writers
 from lumenary.sources.scratch import kept, shared_folder
@@ -185,6 +185,14 @@ def transcript_merge(spark, sf_dir):
     return transcripts(segments, "video_id", "turn", "text").select("video_id", F.array_join("blocks", "\n").alias("blocks"))
 
 
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS video_id, CAST(i - 1 AS BIGINT) AS pos, b[i] AS block FROM (SELECT conv_id, b, unnest(range(1, len(b) + 1)) AS i FROM "
+       f"(SELECT conv_id, {O.transcript('segs')} AS b FROM (SELECT conv_id, list(coalesce(text, '') ORDER BY turn, text) AS segs FROM conversations GROUP BY conv_id)))")
+def transcript_stream(spark, sf_dir):
+    """Blocks of transcripts, folded as sorted segments pass."""
+    segments = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("video_id"), "turn", "text")
+    return transcript_blocks(segments, "video_id", "turn", "text")
+
+
 # Authors and dates.
 
 AUTHORS = [
@@ -656,6 +664,16 @@ def export_roundtrip(spark, sf_dir):
     return readers.results(spark, f"{path}/combined").select("source_url", "source_type", "trust_score")
 
 
+@query(f"WITH {_RAW} SELECT CAST(row_number() OVER (ORDER BY trust_score DESC, doc_id) - 1 AS BIGINT) AS pos, url AS source_url, trust_score, t AS title FROM f")
+def export_ordered(spark, sf_dir):
+    """All records in one JSON array, best first, read back with their places in it."""
+    path = f"{shared_folder(spark, 'queries')}/all.json"
+    rows = _analysed(spark, sf_dir).withColumn("pos", F.struct((-F.col("trust_score")).alias("s"), F.col("doc_id").alias("i")))
+    writers.export_array(rows.select("pos", "source_url", "trust_score", "title"), path)
+    back = spark.read.option("multiLine", True).schema("source_url string, trust_score double, title string").json(path)  # one file, so one task, in order
+    return back.select(F.monotonically_increasing_id().alias("pos"), "*")
+
+
 @query(f"WITH {_RAW} SELECT source_type, count(*) AS n FROM f GROUP BY source_type")
 def dynamic_overwrite(spark, sf_dir):
     """All types are written, then blogs again: the folders of the others stay."""

@@ -1,11 +1,13 @@
-"""Sinks: combined, per type, and a single JSON array for small exports."""
+"""Sinks: combined, per type, and a single JSON array."""
 
 from __future__ import annotations
 
 import json
-import os
+import uuid
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_combined(results: DataFrame, path: str, append: bool = False) -> str | None:
@@ -25,12 +27,50 @@ def write_by_type(results: DataFrame, path: str, append: bool = False) -> str |
     return path
 
 
-def export_array(results: DataFrame, path: str, most: int = 10_000) -> str:
-    """One JSON array with indent 2, non-ASCII kept, for a download of at most ``most`` rows; more raise ValueError."""
-    rows = [json.loads(x) for x in results.limit(most + 1).toJSON().collect()]
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows: write them with write_combined")
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, indent=2, ensure_ascii=False)
+def export_array(results: DataFrame, path: str, order: str | None = "pos") -> str:
+    """One JSON array with indent 2, non-ASCII kept, in one file at ``path`` of any file system that Spark reaches, replacing what was there.
+
+    Rows go by ``order``, which is no part of them, or, where they lack it, as they come. They are sorted by range and written in parallel;
+    the file is the parts one after the other, copied as bytes, so no row passes through Python on the driver and their number has no bound."""
+    spark = results.sparkSession
+    rows = results
+    if order in results.columns:
+        rows = results.repartitionByRange(order).sortWithinPartitions(order).drop(order)
+
+    @F.arrow_udf("string")
+    def laid_out(texts: pa.Array) -> pa.Array:
+        return pa.array(["\n".join(f"  {x}" for x in json.dumps(json.loads(t), indent=2, ensure_ascii=False).split("\n")) for t in texts.to_pylist()], pa.string())
+
+    # With their names in the text, so that columns that do not go into JSON fields by themselves do as well.
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+    between = ",\n"
+    parts = f"{path}.parts-{uuid.uuid4().hex[:12]}"
+    rows.select(laid_out(text).alias("value")).write.option("lineSep", between).text(parts)
+    _joined(spark, parts, path, between)
     return path
+
+
+def _joined(spark: SparkSession, parts: str, path: str, between: str) -> None:
+    """The files of ``parts``, in the order of their names, framed as an array in one file; ``parts`` goes."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    source, to, half = hadoop.fs.Path(parts), hadoop.fs.Path(path), hadoop.fs.Path(f"{parts}-joined")
+    files = source.getFileSystem(conf)
+    found = sorted(((f.getPath().getName(), f.getPath(), f.getLen()) for f in files.listStatus(source)), key=lambda f: f[0])
+    found = [(at, size) for name, at, size in found if name.startswith("part-") and size]
+    out = files.create(half, True)
+    try:
+        out.write(b"[\n" if found else b"[")
+        for k, (at, size) in enumerate(found):
+            part = files.open(at)
+            try:  # the last separator of all goes
+                spark._jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, size - (len(between) if k == len(found) - 1 else 0))
+            finally:
+                part.close()
+        out.write(b"\n]" if found else b"]")
+    finally:
+        out.close()
+    files.mkdirs(to.getParent()) if to.getParent() is not None else None
+    files.delete(to, True)
+    if not files.rename(half, to):
+        raise OSError(f"could not move {half} to {to}")
+    files.delete(source, True)

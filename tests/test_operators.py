@@ -1,6 +1,7 @@
 """Extraction, topics, records, engine, sinks and stream."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -280,8 +281,33 @@ def test_sinks(spark, engine, tmp_path):
     path = writers.export_array(rows, str(tmp_path / "deep" / "all.json"))
     data = json.loads(open(path, encoding="utf-8").read())
     assert len(data) == 7 and list(data[0])[:3] == ["source_url", "source_type", "author"] and "©" in open(path, encoding="utf-8").read()
-    with pytest.raises(ValueError, match="more than"):
-        writers.export_array(rows, path, most=3)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_an_array_is_what_one_writer_would_write(spark, tmp_path, n):
+    """Byte for byte, in the order of pos, with nulls, line ends and letters beyond ASCII, over whatever stood there."""
+    rows = spark.range(n).select((F.lit(n) - F.col("id")).alias("pos"), (F.col("id") * 2).alias("a.b"), F.lit('é\n"日').alias("t"), F.lit(None).cast("string").alias("z"), F.array(F.col("id") / 4).alias("l"))
+    (tmp_path / "all.json").write_text("what stood there")
+    path = writers.export_array(rows.repartition(7), str(tmp_path / "all.json"))
+    want = [{"a.b": 2 * i, "t": 'é\n"日', "z": None, "l": [i / 4]} for i in reversed(range(n))]
+    assert open(path, encoding="utf-8").read() == json.dumps(want, indent=2, ensure_ascii=False)
+    assert [p for p in os.listdir(tmp_path) if not p.startswith(".")] == ["all.json"]
+
+
+def test_transcripts_of_any_length(spark):
+    """Blocks folded as segments pass are those of the whole transcript, also over many batches, with keys that repeat or lack."""
+    import random
+
+    from lumenary.operators.videos import transcript_blocks
+
+    rng = random.Random(3)
+    rows = [(v, p, rng.choice([None, "", " ", "\u00a0x ", "y" * 250, "some words", "日本 " * rng.randrange(9)])) for v in ("a", "b", None, "c") for p in range(300)] + [("a", 7, "again")] * 3 + [("d", 0, " ")]
+    df = spark.createDataFrame(rows, "id string, p int, t string").repartition(3)
+    want = {(r["id"], k, b) for r in transcripts(df, "id", "p", "t").collect() for k, b in enumerate(r["blocks"])}
+    assert {tuple(r) for r in transcript_blocks(df, "id", "p", "t").collect()} == want
+    long = spark.range(400_000).select(F.lit("v").alias("id"), F.col("id").alias("p"), F.lit("a segment of ten words that goes on for a while").alias("t"))
+    got = transcript_blocks(long, "id", "p", "t").agg(F.count("*"), F.max("pos"), F.sum(F.length("block"))).first()
+    assert (got[0], got[1]) == (80_000, 79_999)
 
 
 def test_sources(spark, tmp_path):

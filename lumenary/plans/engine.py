@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +16,12 @@ from lumenary.operators.articles import article_records
 from lumenary.operators.html import filled, whole_pages, with_page_fields
 from lumenary.operators.videos import transcripts, video_records
 from lumenary.sources import readers, writers
+from lumenary.sources.scratch import kept, shared_folder
 
 VERSION = "1.0.0"
 #: Sections of a record from which near copies are found by an index.
 LONG = 2000
+STORED = f"pos bigint, {readers.RESULT}"
 RAW = ["title", "author", "authors", "channel_name", "journal", "published_date", "description", "raw_text_sections"]
 
 
@@ -43,7 +47,9 @@ class Engine:
         self.metadata = metadata if metadata is not None else _empty(spark, METADATA)
         self.segments = segments if segments is not None else _empty(spark, "video_id string, pos int, text string")
         self.articles = articles if articles is not None else _empty(spark, "pmid string, xml string")
-        self.cached: DataFrame | None = None
+        self.batch: DataFrame | None = None
+        self.requests: str | None = None  # the folder of single results
+        self.since: dict[str, None] = {}  # names of those since the last batch
 
     def health(self) -> dict[str, str]:
         return {"status": "ok", "version": VERSION}
@@ -93,21 +99,34 @@ class Engine:
             urls = readers.url_list(self.spark, urls)
         elif urls.isEmpty():
             raise ValueError("No URLs provided.")
-        self.cached = self.analyse(urls)
-        return self.cached
+        self.batch, self.since = self.analyse(urls), {}
+        return self.batch
+
+    @property
+    def cached(self) -> DataFrame | None:
+        """The last batch and the single results since: two frames, however many those are."""
+        one = self.spark.read.schema(STORED).parquet(*[f"{self.requests}/{r}" for r in self.since]) if self.since else None
+        return one if self.batch is None else self.batch if one is None else self.batch.unionByName(one)
 
     def summary(self, urls: DataFrame, results: DataFrame) -> DataFrame:
         return records.summary(results, urls)
 
-    def run_one(self, url: str) -> DataFrame:
-        """The result of one URL, which is appended to the cached ones and to what is written; ValueError if it is not valid."""
-        got = self.analyse(readers.url_list(self.spark, [url])).persist()  # worked out once, here
+    def run_one(self, url: str, request: str | None = None) -> DataFrame:
+        """The result of one URL, which joins the cached ones and what is written; ValueError if it is not valid. A result is stored under
+        ``request`` (a new name without one), so that a call made again with the same name, as after a failure, replaces it and adds nothing."""
+        request = request or uuid.uuid4().hex
+        if not re.fullmatch(r"[\w-]+", request):
+            raise ValueError(f"No name for a request: {request}")
+        self.requests = self.requests or (f"{self.out_dir}/requests" if self.out_dir else shared_folder(self.spark, "requests"))
+        got = kept(self.analyse(readers.url_list(self.spark, [url])).coalesce(1), f"{self.requests}/{request}")
         if got.isEmpty():
-            got.unpersist()
             raise ValueError(f"Could not process URL: {url}")
-        self.cached = got if self.cached is None else self.cached.unionByName(got)
+        self.since[request] = None
         if self.out_dir:
-            self.write(got, append=True)
+            writers.write_combined(got.drop("pos"), f"{self.out_dir}/combined/one-{request}")
+            if not writers.exists(self.spark, f"{self.out_dir}/done/{request}"):
+                writers.write_by_type(got.drop("pos"), f"{self.out_dir}/by_type", append=True)
+                writers.touch(self.spark, f"{self.out_dir}/done/{request}")
         return got
 
     def run_default(self) -> DataFrame:
@@ -122,7 +141,7 @@ class Engine:
 
     def results(self) -> tuple[str, DataFrame | None]:
         """("success", rows) of the cache or else of the last export; ("empty", None) where there is neither."""
-        if self.cached is not None:
-            return "success", self.cached
+        if (cached := self.cached) is not None:
+            return "success", cached
         stored = readers.results(self.spark, f"{self.out_dir}/combined") if self.out_dir else None
         return ("success", stored) if stored is not None else ("empty", None)

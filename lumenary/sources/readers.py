@@ -49,12 +49,10 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def results(spark: SparkSession, path: str) -> DataFrame | None:
-    """Exported results, from JSON lines or an array; None where nothing was exported."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return None
-    return spark.read.schema(RESULT).json(path)
+    """Exported results, those of single requests included; None where nothing was exported."""
+    from lumenary.sources.writers import exists
+
+    return spark.read.schema(RESULT).option("recursiveFileLookup", True).json(path) if exists(spark, path) else None
 
 
 SIGNALS = "struct<author_credibility: double, content_quality: double, domain_authority: double, recency_score: double, medical_disclaimer_score: double>"

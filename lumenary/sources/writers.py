@@ -74,3 +74,14 @@ def _joined(spark: SparkSession, parts: str, path: str, between: str) -> None:
     if not files.rename(half, to):
         raise OSError(f"could not move {half} to {to}")
     files.delete(source, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, as a mark that something is done."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True).close()

@@ -234,6 +234,30 @@ def test_engine_api(spark, engine):
     assert engine.run_default().count() == 6
 
 
+def test_single_requests_join_the_batch_once_each(spark, engine):
+    """However many there are the plan stays flat, and one made again adds nothing; a new batch replaces them."""
+    batch = engine.run(URLS[:3])
+    for k in range(5):
+        engine.run_one(URLS[2 * (k % 2)], request=f"r{k}")
+    before = engine.cached._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    for k in (0, 3, 3):
+        engine.run_one(URLS[2 * (k % 2)], request=f"r{k}")
+    assert engine.cached.count() == batch.count() + 5
+    assert engine.cached._jdf.queryExecution().optimizedPlan().toString().count("Relation") == before
+    assert sorted(r["source_type"] for r in engine.cached.filter("trust_score > 0").collect()) == ["blog"] * 4 + ["youtube"] * 3
+    again = Engine(spark, AS_OF, pages=engine.pages, metadata=engine.metadata, segments=engine.segments, out_dir=engine.out_dir)
+    again.run_one(URLS[0], request="r0")  # by another process, after a failure
+    assert readers.results(spark, f"{engine.out_dir}/combined").count() == 5
+    by_type = spark.read.json(f"{engine.out_dir}/by_type")
+    assert {r["source_type"]: r["count"] for r in by_type.groupBy("source_type").count().collect()} == {"blog": 3, "youtube": 2}
+    with pytest.raises(ValueError, match="No name"):
+        engine.run_one(URLS[0], request="../x")
+    engine.run(URLS[:1])
+    assert engine.cached.count() == 1
+    engine.run_one(URLS[0], request="after")
+    assert engine.cached.count() == 2
+
+
 def test_the_primary_extractor_finds_the_content(spark):
     page = """<html><head><title>T</title><meta name="author" content="By Ann Lee, Bo Li and Cy Ray"><meta name="date" content="2024-05-06"></head><body>
     <div class="menu"><p>Go here</p><p>Go there</p></div><nav><p>A long paragraph that stands in the navigation and is no content at all</p></nav>

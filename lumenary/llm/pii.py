@@ -79,7 +79,9 @@ def _bucket(n: int) -> int:
     return int(np.searchsorted((1, 4, 7, 9, 13, 20), n, "right"))
 
 
-FEATURES = 34
+FEATURES = 36
+#: Numbers written as dates or times of day.
+DATE = re.compile(r"\W*(?:\d{4}[-.]\d{1,2}[-.]\d{1,2}|\d{1,2}[-.]\d{1,2}[-.](?:19|20)\d{2}|(?:[01]?\d|2[0-3])\.[0-5]\d(?:\.[0-5]\d)?)\W*")
 AT = re.compile(r"[A-Za-z0-9]\(at\)[A-Za-z0-9]", re.I)
 ENDS = re.compile(r"[A-Za-z0-9-]\.[A-Za-z]{2,}\W*$")
 
@@ -96,7 +98,7 @@ class Nodes:
         self.hub = np.full(n, -1)
         self.held = np.zeros(n, np.int64)
         keys: dict[str, int] = {}
-        digits = []
+        digits = self.digits = []
         for k, (a, b) in enumerate(self.spans):
             tok = text[a:b]
             d = NOT_DIGIT.sub("", tok)
@@ -121,7 +123,9 @@ class Nodes:
                 rows[:, 15 + _bucket(len(run))] = 1
                 rows[:, 22:26] = (text[self.spans[first][0]] == "+", 13 <= len(run) <= 19 and luhn(run), k > first, 9 <= len(run) <= 15)
                 first = k + 1
-        self.x[:, 33] = 1
+            self.x[k, 33] = DATE.fullmatch(text[self.spans[k][0] : self.spans[k][1]]) is not None
+            self.x[k, 34] = self.x[k, 0] == 0 and text[self.spans[k][0] : self.spans[k][1]].strip("().-").isdigit()
+        self.x[:, 35] = 1
         starts, ends = np.array([a for a, _ in self.spans]), np.array([b for _, b in self.spans])
         for kind, spans in enumerate(base, 1):
             for a, b in spans:  # nodes stand in order and apart, so those that a span touches are a run
@@ -189,22 +193,37 @@ class Field:
         return np.exp(self.beliefs(Graph(nodes.x, nodes.held, nodes.linked, nodes.hub, nodes.hubs), rounds)[0])
 
 
+#: Digits of a whole number of each kind, at least and at most.
+WHOLE = {3: (13, 19), 4: (7, 15)}
+
+
 def added_spans(nodes: Nodes, p: np.ndarray, base: list[list[Span]], least: float = 0.5) -> list[tuple[int, Span]]:
-    """Runs of linked nodes with one likely kind that touch no base span of any kind."""
+    """Runs of linked nodes with one likely kind that touch no base span of any kind. A card or phone is a whole number: figures
+    linked to it belong to it, unless they are a date or stand in a base span; what then has too few or too many digits, or a letter, is none."""
     taken = sorted(s for spans in base for s in spans)
     starts, reach = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0)
     label = np.where(p[:, 1:].max(axis=1) >= least, p[:, 1:].argmax(axis=1) + 1, 0) if len(p) else np.zeros(0, int)
-    out, k = [], 0
+    goes_on = lambda k: nodes.linked[k] and (nodes.hub[k] < 0 or nodes.hub[k + 1] != nodes.hub[k])  # noqa: E731  one number twice is two spans
+    figures = lambda k, kind: not nodes.held[k] and not nodes.x[k, 33] and (nodes.x[k, 34] or label[k] == kind)
+    out, k, done = [], 0, 0
     while k < len(label):
-        end = k
-        while nodes.linked[end] and label[end + 1] == label[k] and (nodes.hub[end] < 0 or nodes.hub[end + 1] != nodes.hub[end]):  # one number twice is two spans
+        first = end = k
+        while goes_on(end) and label[end + 1] == label[k]:
             end += 1
-        if label[k] and not nodes.held[k : end + 1].any():
-            a, b = nodes.spans[k][0], nodes.ends[end]
+        whole = True
+        if label[k] in WHOLE:
+            while goes_on(end) and figures(end + 1, label[k]):
+                end += 1
+            while first > done and goes_on(first - 1) and figures(first - 1, label[k]):
+                first -= 1
+            low, high = WHOLE[int(label[k])]
+            whole = low <= sum(map(len, nodes.digits[first : end + 1])) <= high and not nodes.x[first : end + 1][:, [9, 33]].any()  # no letters, no dates
+        if label[k] and whole and not nodes.held[first : end + 1].any():
+            a, b = nodes.spans[first][0], nodes.ends[end]
             before = bisect_left(starts, b)  # of the base spans that begin before the end, the furthest must end before the start
             if not before or reach[before - 1] <= a:
                 out.append((int(label[k]) - 1, (a, b)))
-        k = end + 1
+        k = done = end + 1
     return out
 
 
@@ -244,7 +263,7 @@ def respelled(kind: int, value: str, rng: random.Random) -> str | None:
         return rng.choice([".".join(groups), "--".join(groups), f"{d} {d}", f"{d} {d} {d}"])
     if kind == 3 and len(d) > 10:
         d = d[-10:]
-        return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"({d[:3]}){d[3:6]}-{d[6:]}"])
+        return rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"({d[:3]}){d[3:6]}-{d[6:]}", f"{d[:3]} {d[3:6]} {d[6:]}", f"0{d[:2]} {d[2:6]} {d[6:]}", f"00{d[:2]} {d[2:4]} {d[4:7]} {d[7:]}"])
     return None
 
 
@@ -286,13 +305,18 @@ def made(n: int, seed: int = 7) -> list[str]:
         d = rng.choice("3456") + digits(rng.choice([13, 14, 14, 14]))
         return next(d + c for c in "0123456789" if luhn(d + c))
 
+    def day() -> str:
+        y, m, d = rng.randrange(1900, 2100), rng.randrange(1, 13), rng.randrange(1, 32)
+        return rng.choice([f"{y}-{m:02}-{d:02}", f"{d:02}.{m:02}.{y}", f"{d}-{m}-{y}", f"{y}.{m:02}.{d:02}"])
+
     def ordinary() -> str:
         d = digits(16)
         return rng.choice([
             str(rng.randrange(3000)), f"{rng.randrange(1, 20)}.{rng.randrange(10)}", f"{rng.randrange(20)}.{rng.randrange(20)}.{rng.randrange(99)}", f"{rng.randrange(1900, 2100)}-{rng.randrange(10, 13)}-{rng.randrange(10, 32)}",
             f"{rng.randrange(300, 999)}.{rng.randrange(999)}.{rng.randrange(999)}.{rng.randrange(999)}", "7" + digits(5), digits(8), digits(10), next(d[:-1] + c for c in "0123456789" if not luhn(d[:-1] + c)), f"{rng.randrange(99)}%",
             f"{rng.randrange(10, 99)}-{rng.randrange(10, 99)}", f"v{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(9)}.{rng.randrange(9)}", "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 32, 40]))),
-            f"@{rng.choice(['ann', 'bo', 'cy'])}{rng.randrange(99)}", f"({rng.randrange(100)})", f"{rng.randrange(24)}.{rng.randrange(10, 60)}"])
+            f"@{rng.choice(['ann', 'bo', 'cy'])}{rng.randrange(99)}", f"({rng.randrange(100)})", f"{rng.randrange(24)}.{rng.randrange(10, 60)}",
+            f"{day()} {rng.randrange(24)}.{rng.randrange(10, 60)}", f"{day()} - {day()}", f"{rng.randrange(1, 99)} {rng.randrange(1, 99)}"])
 
     def private() -> str:
         return [

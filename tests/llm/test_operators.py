@@ -682,6 +682,28 @@ def test_pii_field_finds_what_patterns_miss(spark, empty):
     assert missed > 300 and found >= 0.9 * missed and right >= 0.99 * added
 
 
+def test_pii_numbers_are_whole_and_dates_are_none(spark, empty):
+    """Written apart from what the fit makes: whole numbers in groups, and dates, times and counts that are nobody's."""
+    field, rng = pii.fit(empty), random.Random(5)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    phones = [f"{rng.randrange(200, 999)} {d(3)} {d(4)}" for _ in range(60)] + [f"0{rng.randrange(20, 99)} {d(4)} {d(4)}" for _ in range(60)] + [f"({rng.randrange(200, 999)}) {d(3)}-{d(4)}" for _ in range(60)]
+    exact = part = 0
+    for n in phones:
+        for text in (f"call {n} now", f"tel. {n}, or write"):
+            at = text.index(n)
+            found = pii.find(text, field)[1][3]
+            exact += (at, at + len(n)) in found
+            part += any((a, b) != (at, at + len(n)) and a < at + len(n) and at < b for a, b in found)
+    assert exact >= 0.9 * 2 * len(phones) and part <= 0.01 * 2 * len(phones), (exact, part, 2 * len(phones))
+    wrong = 0
+    plain = [f"on {y}-{m:02}-{q:02} {h}.{i:02} we met" for y, m, q, h, i in ((rng.randrange(1950, 2060), rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24), rng.randrange(60)) for _ in range(100))]
+    plain += [f"from {q:02}.{m:02}.{y} to {q + 1:02}.{m:02}.{y}" for y, m, q in ((rng.randrange(1950, 2060), rng.randrange(1, 13), rng.randrange(1, 28)) for _ in range(100))]
+    plain += [f"pages {rng.randrange(9)} {rng.randrange(99)} and {rng.randrange(999)} of {rng.randrange(1000, 3000)}" for _ in range(100)]
+    for text in plain:
+        wrong += any(pii.find(text, field)[1])
+    assert wrong <= 0.01 * len(plain), wrong
+
+
 # 9
 
 

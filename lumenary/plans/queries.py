@@ -202,26 +202,36 @@ AUTHORS = [
 ]
 
 
-def _authors(spark):
-    rows = values(spark, [(i, *a) for i, a in enumerate(AUTHORS)], "id int, author string, channel string, names string")
+def _dealt(spark, sf_dir, rows: list[tuple], names: str, *more) -> DataFrame:
+    """Each document, ``more`` of it, and the row of ``rows`` that its id picks."""
+    options = F.array(*[F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(names.split(), r, strict=True)]) for r in rows])
+    return table(spark, sf_dir, "documents").select("doc_id", F.struct(*more).alias("m"), F.get(options, F.expr(f"CAST(doc_id % {len(rows)} AS INT)")).alias("r")).select("doc_id", "r.*", *(["m.*"] if more else []))
+
+
+def _authors(spark, sf_dir):
+    """An author, channel and list of names for each document; every fifth signs with the first words of its text."""
+    rows = _dealt(spark, sf_dir, AUTHORS, "author channel names", F.expr(_SIGNED).alias("signed"))
+    rows = rows.withColumn("author", F.when(F.col("doc_id") % 5 == 0, F.col("signed")).otherwise(F.col("author")))
     return rows.withColumn("authors", F.filter(F.split("names", r"\|"), lambda n: n != ""))
 
 
-_AUTHORS = f"(SELECT *, list_filter(string_split(names, '|'), lambda n: n <> '') AS authors FROM {sql_values([(i, *a) for i, a in enumerate(AUTHORS)], 'id, author, channel, names')}) x"
+_SIGNED = "trim(regexp_replace(substr(coalesce(text, ''), 1, 24), '[^A-Za-z]+', ' '))"  # the first words, in SQL of both engines but for what follows
+_AUTHORS = (f"(SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN {_SIGNED[:-2]}, 'g')) ELSE author END AS author, channel, names, list_filter(string_split(names, '|'), lambda n: n <> '') AS authors "
+            f"FROM documents JOIN {sql_values([(i, *a) for i, a in enumerate(AUTHORS)], 'id, author, channel, names')} ON id = doc_id % {len(AUTHORS)}) x")
 _DISPLAY = "coalesce(nullif(author, ''), nullif(channel, ''), nullif(array_to_string(authors, ', '), ''), 'unknown')"
 
 
-@query(f"SELECT id, {_DISPLAY} AS author_display FROM {_AUTHORS}")
+@query(f"SELECT doc_id, {_DISPLAY} AS author_display FROM {_AUTHORS}")
 def normalize_author(spark, sf_dir):
-    return _authors(spark).select("id", records.author_display(F.col("author"), F.col("channel"), F.col("authors")).alias("author_display"))
+    return _authors(spark, sf_dir).select("doc_id", records.author_display(F.col("author"), F.col("channel"), F.col("authors")).alias("author_display"))
 
 
-@query("SELECT id, source_type, " + O.author("a", "authors", "source_type") + f" AS author_credibility FROM (SELECT *, {_DISPLAY} AS a FROM {_AUTHORS}), "
+@query("SELECT doc_id, source_type, " + O.author("a", "authors", "source_type") + f" AS author_credibility FROM (SELECT *, {_DISPLAY} AS a FROM {_AUTHORS}), "
        "(VALUES ('blog'), ('youtube'), ('pubmed'), ('other')) k(source_type)")
 def author_credibility(spark, sf_dir):
     kinds = F.explode(F.array(*map(F.lit, ["blog", "youtube", "pubmed", "other"]))).alias("source_type")
-    rows = _authors(spark).select("id", "authors", records.author_display(F.col("author"), F.col("channel"), F.col("authors")).alias("a"), kinds)
-    return rows.select("id", "source_type", scores.author_credibility(F.col("a"), F.col("authors"), F.col("source_type")).alias("author_credibility"))
+    rows = _authors(spark, sf_dir).select("doc_id", "authors", records.author_display(F.col("author"), F.col("channel"), F.col("authors")).alias("a"), kinds)
+    return rows.select("doc_id", "source_type", scores.author_credibility(F.col("a"), F.col("authors"), F.col("source_type")).alias("author_credibility"))
 
 
 _RENDERED = {0: ("yyyy-MM-dd", "%Y-%m-%d"), 1: ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"), 2: ("MMM d, yyyy", "%b %-d, %Y"), 3: ("d MMM yyyy", "%-d %b %Y"), 4: ("yyyyMMdd", "%Y%m%d"), 5: ("MM/dd/yyyy", "%m/%d/%Y")}
@@ -240,13 +250,13 @@ def normalize_date(spark, sf_dir):
 PARTS = [("2024", "Nov", None), ("2024", "Winter", "3"), ("", "1", "1"), (None, "Jan", "2"), ("2020", "7", "x"), ("2019", None, None), ("2021", "DEC", "31"), ("1999", "012", "100")]
 
 
-@query("SELECT id, CASE WHEN coalesce(y, '') = '' THEN '' ELSE y || '-' || CASE WHEN lower(coalesce(m, '01')) IN ('jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec') "
+@query("SELECT doc_id, CASE WHEN coalesce(y, '') = '' THEN '' ELSE y || '-' || CASE WHEN lower(coalesce(m, '01')) IN ('jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec') "
        "THEN lpad(CAST((position(lower(m) IN 'janfebmaraprmayjunjulaugsepoctnovdec') + 2) // 3 AS VARCHAR), 2, '0') WHEN regexp_full_match(coalesce(m, '01'), '\\d+') THEN "
        "lpad(coalesce(m, '01'), CAST(greatest(2, length(coalesce(m, '01'))) AS INTEGER), '0') ELSE '01' END || '-' || CASE WHEN regexp_full_match(coalesce(d, '01'), '\\d+') THEN "
-       f"lpad(coalesce(d, '01'), CAST(greatest(2, length(coalesce(d, '01'))) AS INTEGER), '0') ELSE '01' END END AS published_date FROM {sql_values([(i, *p) for i, p in enumerate(PARTS)], 'id, y, m, d')}")
+       f"lpad(coalesce(d, '01'), CAST(greatest(2, length(coalesce(d, '01'))) AS INTEGER), '0') ELSE '01' END END AS published_date FROM documents JOIN {sql_values([(i, *p) for i, p in enumerate(PARTS)], 'id, y, m, d')} ON id = doc_id % {len(PARTS)}")
 def pubmed_date(spark, sf_dir):
-    rows = values(spark, [(i, *p) for i, p in enumerate(PARTS)], "id int, y string, m string, d string")
-    return rows.select("id", dates.article_date(F.col("y"), F.col("m"), F.col("d")).alias("published_date"))
+    rows = _dealt(spark, sf_dir, PARTS, "y m d")
+    return rows.select("doc_id", dates.article_date(F.col("y"), F.col("m"), F.col("d")).alias("published_date"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '2024' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS published_date FROM orders")

@@ -95,3 +95,18 @@ def tags_with_keyphrases(text: Column, topics: list[tuple[str, str]] | None = No
     """Keyword tags where a phrase of a topic may stand in the text or in one of its keyphrases."""
     both = F.concat_ws("\n", text, F.array_join(with_keyphrases(text), "\n"))  # no topic phrase spans a line end
     return keyword_tags(both, topics or R.TOPICS)
+
+
+#: What may stand between two words of a keyphrase other than the one blank that the phrase has there.
+_OTHERWISE = re.compile(r"_|\s\s|[^\S ]")
+
+
+def tags_of_keyphrases(text: str | None, topics: list[tuple[str, str]] | None = None) -> list[str]:
+    """The tags of which a phrase of the description stands in a keyphrase of the text but may not stand in the text itself.
+
+    A keyphrase is words that follow each other, with a blank between. Where the text has one blank between its words, the keyphrase is a part
+    of it, and so is what stands in the keyphrase: then there is nothing to add, and no keyphrases are worked out."""
+    if not text or not _OTHERWISE.search(text):
+        return []
+    phrases = [p for p, _ in keyphrases(text)]
+    return [tag for tag, about in topics or R.TOPICS if any(part in p for part in about.lower().split(", ") for p in phrases)]

@@ -112,20 +112,23 @@ def language_text() -> Column:
 
 
 def judged(language: Column, topics: Column, with_tags: bool = True, models: Models | None = None) -> Column:
-    """A struct of language (of the text ``language``) and semantic_tags (of the text ``topics``; null without ``with_tags``).
-    Two short texts go to Python; the records stay where they are."""
+    """A struct of language (of the text ``language``), semantic_tags and phrase_tags (those that only keyphrases tell; of the text
+    ``topics``; null without ``with_tags``). Two short texts go to Python; the records stay where they are."""
+    from lumenary.operators.keywords import tags_of_keyphrases
     from lumenary.operators.languages import detector, long_enough
     from lumenary.operators.topics import nearest
 
     models = models or Models()
     near = nearest(models.encode) if with_tags else None
 
-    @F.arrow_udf("language string, semantic_tags array<string>")
+    @F.arrow_udf("language string, semantic_tags array<string>, phrase_tags array<string>")
     def judge(texts: pa.Array, about: pa.Array) -> pa.Array:
         texts = texts.to_pylist()
         langs = pa.array(models.detect(texts) if models.detect else map(detector(), texts), pa.string())
-        tags = near(about.to_pylist()) if near else [None] * len(about)
-        return pa.StructArray.from_arrays([langs, pa.array(tags, pa.list_(pa.string()))], ["language", "semantic_tags"])
+        about = about.to_pylist()
+        tags = near(about) if near else [None] * len(about)
+        phrases = map(tags_of_keyphrases, about) if near else [None] * len(about)
+        return pa.StructArray.from_arrays([langs, pa.array(tags, pa.list_(pa.string())), pa.array(phrases, pa.list_(pa.string()))], ["language", "semantic_tags", "phrase_tags"])
 
     return judge(long_enough(language) if models.detect else language, topics)
 
@@ -141,7 +144,9 @@ def enriched(records: DataFrame, language: Column | None = None, tags: Column |
         records = records.withColumn("__judged", judged(language_text(), topic, tags is None, models))
         language = language if language is not None else F.col("__judged.language")
     if tags is None:
-        tags = merged_tags(F.col("__judged.semantic_tags"), keyword_tags(topic_text()))
+        said, phrased = keyword_tags(topic_text()), F.col("__judged.phrase_tags")
+        both = F.filter(F.array(*[F.lit(tag) for tag, _ in R.TOPICS]), lambda t: F.array_contains(said, t) | F.array_contains(phrased, t))
+        tags = merged_tags(F.col("__judged.semantic_tags"), F.when(F.size(phrased) > 0, both).otherwise(said))
     return (settled(records, language=language, topic_tags=F.slice(tags, 1, R.TOP_K_TAGS)).drop("__judged")
             .withColumn("region", region(F.col("source_url")))
             .withColumn("content_chunks", content_chunks(F.col("cleaned_sections"), F.col("source_type"))))

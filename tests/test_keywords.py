@@ -22,3 +22,23 @@ def test_odd_texts():
 def test_tags(spark):
     frame = spark.createDataFrame([("Drug discovery, and drones.",), ("",), (None,)], "t string")
     assert [r["g"] for r in frame.select(tags_with_keyphrases(F.col("t")).alias("g")).collect()] == [["medical research", "robotics"], [], []]
+
+
+def test_records_take_tags_that_only_keyphrases_tell(spark):
+    """Words with something other than one blank between; elsewhere keyphrases add nothing to what the text says."""
+    import random
+
+    from lumenary.operators import keywords, records
+
+    schema = "doc_id long, url string, source_type string, title string, author string, authors array<string>, published_date string, description string, raw_text_sections array<string>"
+    raw = spark.createDataFrame([(k, "https://a.b/c", "blog", t, "", [], "", "", []) for k, t in enumerate(["All about data_visualization and drones", "All about data visualization and drones", "Plain"])], schema)
+    got = {r["doc_id"]: r["topic_tags"] for r in records.analysed(raw, "2026-04-01").collect()}
+    assert "data science" in got[0] and "data science" in got[1] and got[2] == []
+    plain = records.analysed(raw, "2026-04-01", **records.keyword_only()).filter("doc_id = 0").first()["topic_tags"]
+    assert "data science" not in plain  # the text alone does not tell
+    rng = random.Random(2)
+    words = "data science big Data, machine learning (deep) learning search engines - drones actuators CRISPR the of and".split()
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 25)))
+        phrases = [p for p, _ in keywords.keyphrases(text)]
+        assert all(p in text.lower() for p in phrases), (text, phrases)

@@ -10,11 +10,12 @@ The vectors are a table, stored once and loaded once per worker.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary.sources.scratch import kept, shared_folder
@@ -23,17 +24,33 @@ VECTORS = "word string, n bigint, vector array<float>"
 #: Pairs counted in a task before they are summed up, and sums that a task holds before it passes them on.
 HELD = 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words times contexts up to which a task counts in one array.
+DENSE = 1 << 23
 
 
-def plain_words(text: Column) -> Column:
-    """The words of a text, runs of letters in lower case, with one blank between."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+def words_of(text: str | None) -> list[str]:
+    """The words of a text: runs of letters (categories L of Unicode) in lower case."""
+    found = _WORD.findall(text.lower()) if text else []
+    if not "".join(found).isalpha():  # numbers that are no digits, such as fractions, end words too
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found
 
 
 def vocabulary(texts: DataFrame, text: str = "text", words: int = 20_000, least: int = 3) -> DataFrame:
-    """word, n of the ``words`` most frequent words that stand ``least`` times or more."""
-    each = texts.select(F.explode(F.split(plain_words(F.col(text)), " ")).alias("word")).filter("word <> ''")
-    return each.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words)
+    """word, n of the ``words`` most frequent words that stand ``least`` times or more. Words are summed in the task that reads them first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found.update(words_of(t))
+                if len(found) > HELD // 8:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+                    found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+    each = texts.select(F.col(text).alias("t")).mapInArrow(count, "word string, n long")
+    return each.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +65,8 @@ def cooccurrences(texts: DataFrame, known: dict[str, int], text: str = "text", c
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value
+        width = len(number) * contexts
+        whole = np.zeros(width if width <= DENSE else 0, np.int64)
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         new: list[np.ndarray] = []
         gap = [-1] * window
@@ -68,22 +87,30 @@ def cooccurrences(texts: DataFrame, known: dict[str, int], text: str = "text", c
         for batch in batches:
             numbers: list[int] = []
             for t in [*batch.column(0).to_pylist(), None]:
-                numbers += [number.get(w, -1) for w in (t or "").split(" ")] + gap
+                numbers += [number.get(w, -1) for w in words_of(t)] + gap
                 if t is None or len(numbers) > 100_000:
-                    new.append(pairs(numbers))
-                    size += len(new[-1])
+                    found = pairs(numbers)
                     numbers = []
+                    if len(whole):
+                        whole += np.bincount(found, minlength=width)
+                        continue
+                    new.append(found)
+                    size += len(found)
                 if size > HELD:
                     keys, counts = summed(np.concatenate([keys, *new]), np.concatenate([counts, np.ones(size, np.int64)]))
                     new, size = [], 0
                     if len(keys) > HELD:
                         yield told()
                         keys, counts = keys[:0], counts[:0]
-        if size or len(keys):
+        if len(whole):
+            keys = np.flatnonzero(whole)
+            counts = whole[keys]
+            yield told()
+        elif size or len(keys):
             keys, counts = summed(np.concatenate([keys, *new]), np.concatenate([counts, np.ones(size, np.int64)]))
             yield told()
 
-    each = texts.select(plain_words(F.col(text)).alias("t")).mapInArrow(count, "w long, c long, n long")
+    each = texts.select(F.col(text).alias("t")).mapInArrow(count, "w long, c long, n long")
     return each.groupBy("w", "c").agg(F.sum("n").alias("n"))
 
 
@@ -181,7 +208,7 @@ class WordVectors:
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.vectors.shape[1]), np.float32)
         for k, text in enumerate(texts):
-            at = [n for w in _WORD.findall((text or "").lower()) if (n := self.number.get(w)) is not None]
+            at = [n for w in words_of(text) if (n := self.number.get(w)) is not None]
             if at:
                 mean = self.weight[at] @ self.vectors[at] / self.weight[at].sum() - self.mean
                 out[k] = mean / max(1e-12, np.linalg.norm(mean))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lumenary import rules as R
 from lumenary.functions.text import SPACE
-from lumenary.operators.embedding import plain_words
+from lumenary.operators.embedding import words_of
 
 PROFILE = 300
 
@@ -129,6 +129,36 @@ def runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
+def counted_runs(words: list[str], times: np.ndarray, most: int = 1 << 23) -> tuple[np.ndarray, np.ndarray]:
+    """(run, how often) over ``words`` that stand so many ``times``: counted by place where their letters are few, else sorted."""
+    letters = np.frombuffer(f" {'  '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    known = np.flatnonzero(np.bincount(letters))  # the blank is the first
+    if len(known) ** RUN > most or known[0] != 32:
+        code, of = runs(words)
+        code, place = np.unique(code, return_inverse=True)
+        return code, np.bincount(place, times[of], len(code)).astype(np.int64)
+    number = np.zeros(int(known[-1]) + 1, np.int64)
+    number[known] = np.arange(len(known))
+    at, n_of = number[letters], np.repeat(times, np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    out, counts = [], []
+    for n in range(1, RUN + 1):
+        end = len(at) - n + 1
+        code, good = np.zeros(end, np.int64), np.ones(end, bool)
+        for k in range(n):
+            code = code * len(known) + at[k : end + k]
+            if n == 1 or 0 < k < n - 1:
+                good &= at[k : end + k] > 0
+        if n == 2:
+            good &= (at[:end] > 0) | (at[1:] > 0)  # two blanks stand between words
+        elif n == 3:
+            good &= (at[:end] > 0) | (at[1 : end + 1] > 0)
+        total = np.bincount(code[good], n_of[:end][good], len(known) ** n).astype(np.int64)
+        some = np.flatnonzero(total)
+        out.append(sum(known[some // len(known) ** (n - 1 - k) % len(known)] << (21 * k) for k in range(n)))
+        counts.append(total[some])
+    return np.concatenate(out), np.concatenate(counts)
+
+
 def trained(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, run, gain of each run of letters in the labelled texts: the logarithm of its share among the language's runs of that length, over
     that of a run no text of it has. Words, then their runs, are summed in the task that reads them; shares have a least value, so a language has 3 / LEAST_SHARE
@@ -139,20 +169,20 @@ def trained(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Data
 
         def told() -> Iterator[pa.RecordBatch]:
             for lang, counted in words.items():
-                code, of = runs(list(counted))
-                code, place = np.unique(code, return_inverse=True)
-                n = np.bincount(place, np.fromiter(counted.values(), np.int64, len(counted))[of], len(code)).astype(np.int64)
+                if not counted:
+                    continue
+                code, n = counted_runs(list(counted), np.fromiter(counted.values(), np.int64, len(counted)))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "run", "n"])
             words.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(text.split(" "))
+                words.setdefault(lang, Counter()).update(words_of(text))
                 if sum(map(len, words.values())) > HELD:
                     yield from told()
         yield from told()
 
-    texts = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), plain_words(F.col(text)).alias("words")).filter("words <> ''")
+    texts = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     counts = texts.mapInArrow(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
     length = F.when(F.col("run") < 1 << 21, 1).when(F.col("run") < 1 << 42, 2).otherwise(3)
     counts = counts.withColumn("length", length)
@@ -189,15 +219,15 @@ class Profiles:
         return self.of_words[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def __call__(self, texts: list[str | None], most: int = 1 << 20) -> list[str]:
-        """The language of each text of plain words; unknown where no run is known. Texts are taken some at a time."""
+        """The language of each text; unknown where no run is known. Texts are taken some at a time."""
         out, at = [R.UNKNOWN] * len(texts), 0
         while at < len(texts) and self.langs:
             to, size, words, first, of = at, 0, [], [], []
             while to < len(texts) and (to == at or size < most):
-                if texts[to]:
+                if found := words_of(texts[to]):
                     of.append(to)
                     first.append(len(words))
-                    words += texts[to].split(" ")
+                    words += found
                     size += len(texts[to])
                 to += 1
             if words:
@@ -210,7 +240,7 @@ class Profiles:
 
 
 def judge(profiles: DataFrame) -> Callable[[list[str | None]], list[str]]:
-    """A function from texts of plain words to their languages; the profiles, of a bounded size, go to each worker once."""
+    """A function from texts to their languages; the profiles, of a bounded size, go to each worker once."""
     shared = profiles.sparkSession.sparkContext.broadcast(Profiles([tuple(r) for r in profiles.select("lang", "run", "gain").collect()]))
     return lambda texts: shared.value(texts)
 
@@ -226,4 +256,4 @@ def judged_language(text: Column, judges: Callable[[list[str | None]], list[str]
 
 
 def long_enough(text: Column) -> Column:
-    return F.when(F.length(text) >= R.LANGUAGE_MIN_CHARS, plain_words(text))
+    return F.when(F.length(text) >= R.LANGUAGE_MIN_CHARS, text)

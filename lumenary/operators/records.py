@@ -21,7 +21,7 @@ from lumenary.sources.scratch import kept, shared_folder
 
 @dataclass(frozen=True)
 class Models:
-    """What is learned: an encoder of texts, and a judge of the languages of texts of plain words. Without them texts are encoded by
+    """What is learned: an encoder of texts, and a judge of the languages of texts. Without them texts are encoded by
     hashing, and languages told by frequent words."""
 
     encode: Callable[[list[str]], np.ndarray] | None = None

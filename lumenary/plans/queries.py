@@ -344,11 +344,6 @@ def _judges(spark, sf_dir) -> records.Models:
     return records.Models(detect=languages.judge(kept(profiles, f"{shared_folder(spark, 'queries')}/languages")))
 
 
-def _models(spark, sf_dir) -> records.Models:
-    docs = table(spark, sf_dir, "documents")
-    return records.fit_models(docs, docs, words=3_000, contexts=400, dims=48)
-
-
 @query(f"WITH {_RAW}, l AS {_LANGUAGE}, c AS (SELECT *, {O.chunks('sections', 'source_type')} AS chunks FROM f JOIN l USING (doc_id)) SELECT doc_id, url AS source_url, source_type, a AS author, published_date, language, region, "
        "array_to_string(topic_tags, '|') AS topic_tags, trust_score, array_to_string(chunks, chr(10)) AS content_chunks, t AS title, description, "
        "round(author_credibility, 3) AS author_credibility, round(content_quality, 3) AS content_quality, round(domain_authority, 3) AS domain_authority, "
@@ -644,9 +639,9 @@ def video_fields(spark, sf_dir):
 
 @query()
 def page_trust(spark, sf_dir):
-    """Pages from HTML to trust score, with language and semantic tags by models of the documents."""
+    """Pages from HTML to trust score, with the language by profiles of the documents; semantic tags by hashing (by vectors: topic_semantic)."""
     raw = with_page_fields(table(spark, sf_dir, "pages").select("page_id", "url", "html"), AS_OF).withColumn("source_type", urls.source_type(F.col("url")))
-    rows = records.detailed(records.analysed(raw, AS_OF, models=_models(spark, sf_dir)), ("page_id",))
+    rows = records.detailed(records.analysed(raw, AS_OF, models=_judges(spark, sf_dir)), ("page_id",))
     return rows.select("page_id", "source_url", "title", "language", F.array_join("topic_tags", "|").alias("topic_tags"), "trust_score", F.size("content_chunks").alias("n_chunks"))
 
 

@@ -46,11 +46,13 @@ def test_word_vectors_of_documents_find_their_language(spark):
     assert (lang[near.argmax(axis=1)] == lang).mean() >= 0.97
 
 
-def test_pairs_are_those_of_a_plain_count(spark):
+def test_pairs_are_those_of_a_plain_count(spark, monkeypatch):
     texts = ["a b a c", "b", None, "", "c a\nb", "A x1y a"] * 3
     known = {"a": 0, "b": 1, "c": 2, "x": 3, "y": 4}
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     got = {(r["w"], r["c"]): r["n"] for r in embedding.cooccurrences(df, known, contexts=3, window=2).collect()}
+    monkeypatch.setattr(embedding, "DENSE", 0)
+    assert {(r["w"], r["c"]): r["n"] for r in embedding.cooccurrences(df, known, contexts=3, window=2).collect()} == got
     want = Counter()
     for t in texts:
         w = [x for x in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()]
@@ -101,6 +103,20 @@ def test_language_profiles_of_many_languages_and_scripts(spark):
     assert judges(["", None, "ʘʘʘ ǂǂ"]) == ["unknown"] * 3
 
 
+def test_runs_are_counted_alike_either_way():
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abcdé日ж") for _ in range(rng.randrange(1, 9))) for _ in range(400)})
+    times = np.array([rng.randrange(1, 50) for _ in words])
+    few, many = languages.counted_runs(words, times), languages.counted_runs(words, times, most=0)
+    want = Counter()
+    for w, m in zip(words, times.tolist(), strict=True):
+        for n in (1, 2, 3):
+            for run in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)):
+                if run != " ":
+                    want[sum(ord(c) << (21 * k) for k, c in enumerate(run))] += m
+    assert dict(zip(*map(np.ndarray.tolist, few), strict=True)) == dict(zip(*map(np.ndarray.tolist, many), strict=True)) == dict(want)
+
+
 def test_models_are_stored_and_used_by_records(spark, tmp_path):
     words, common, texts = corpus()
     rows = spark.createDataFrame([(f"{t} " + x, "xx" if k % 2 else "yy") for k, (t, x) in enumerate(texts)], "text string, lang string")

@@ -77,7 +77,8 @@ def cleaned(sections: Column, indexed: int | None = None) -> Column:
     texts = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), clean_text), lambda s: s != "")
     kept = bound(texts, lambda t: F.when(may_hold_boilerplate(F.array_join(t, "\n")), F.filter(t, lambda s: ~is_boilerplate(s)))
                  .otherwise(F.filter(t, lambda s: F.length(F.trim(s)) >= R.BOILERPLATE_MIN_CHARS)))
-    return drop_near_duplicates(F.transform(kept, F.trim), F.lower, indexed)
+    # Not F.trim itself: it takes a second argument, as which transform would pass the place, whose digit would be trimmed off.
+    return drop_near_duplicates(F.transform(kept, lambda s: F.trim(s)), F.lower, indexed)
 
 
 def normalised(raw: DataFrame, as_of: str, tolerant_dates: bool = True, indexed: int | None = None) -> DataFrame:

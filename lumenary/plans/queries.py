@@ -144,7 +144,7 @@ _SECTIONS = f"(SELECT doc_id, {O.cleaned('string_split(text, chr(10))')} AS sect
 
 @query(f"SELECT doc_id, array_to_string(sections, chr(10)) AS sections, len(sections) AS n_sections FROM {_SECTIONS}")
 def sections_clean(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", records.cleaned(F.split("text", "\n")).alias("s"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), records.cleaned(F.split("text", "\n"))).alias("s"))
     return docs.select("doc_id", F.array_join("s", "\n").alias("sections"), F.size("s").cast("long").alias("n_sections"))
 
 

@@ -30,6 +30,6 @@ def pages(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["html_fields"])
+@pytest.mark.parametrize("name", ["html_fields", "parsed_pages"])
 def test_pages_agree_with_sql(spark, pages, name):
     same(spark, connection(pages), QUERIES[name], ORACLE_SQL[name], pages)

@@ -30,6 +30,6 @@ def lines(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["sections_clean", "language_text", "chunk_all"])
+@pytest.mark.parametrize("name", ["sections_clean", "language_text", "chunk_all", "trust_detailed"])
 def test_lines_agree_with_sql(spark, lines, name):
     same(spark, connection(lines), QUERIES[name], ORACLE_SQL[name], lines)

@@ -70,15 +70,15 @@ def author_display(author: Column, channel: Column, authors: Column) -> Column:
 
 
 def cleaned(sections: Column, indexed: int | None = None) -> Column:
-    """Cleaned, without empty, boilerplate and near-duplicate sections; ``indexed`` as for ``drop_near_duplicates``.
+    """Cleaned, without empty, boilerplate and near-duplicate sections, null where there are none to clean; ``indexed`` as for ``drop_near_duplicates``.
 
     Cleaned texts have no white space but blanks, so trimming is enough, and the boilerplate patterns run over records
     that hold a part of one only."""
-    texts = F.filter(F.transform(F.coalesce(sections, F.array().cast("array<string>")), clean_text), lambda s: s != "")
+    texts = F.filter(F.transform(sections, clean_text), lambda s: s != "")
     kept = bound(texts, lambda t: F.when(may_hold_boilerplate(F.array_join(t, "\n")), F.filter(t, lambda s: ~is_boilerplate(s)))
                  .otherwise(F.filter(t, lambda s: F.length(F.trim(s)) >= R.BOILERPLATE_MIN_CHARS)))
     # Not F.trim itself: it takes a second argument, as which transform would pass the place, whose digit would be trimmed off.
-    return drop_near_duplicates(F.transform(kept, lambda s: F.trim(s)), F.lower, indexed)
+    return F.when(sections.isNotNull(), drop_near_duplicates(F.transform(kept, lambda s: F.trim(s)), F.lower, indexed))
 
 
 def normalised(raw: DataFrame, as_of: str, tolerant_dates: bool = True, indexed: int | None = None) -> DataFrame:
